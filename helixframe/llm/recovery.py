@@ -1,10 +1,15 @@
-"""Cutting lineage with files that outlive executors."""
+"""Cutting lineage with files that outlive executors, and joins whose side is broadcast behind a check of its size."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most ids (of 8 bytes) that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -18,3 +23,17 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows, computed now and kept in the shared checkpoint folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that nothing refers to any more, so that phases don't add up on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def only(df: DataFrame, ids: DataFrame, key: str, column: str) -> DataFrame:
+    """Rows of df whose key is among ids.column (stored, distinct): by broadcast if those are few, else by a shuffle."""
+    side = ids.select(ids[column].alias("_only"))
+    if side.count() <= BROADCAST_IDS:
+        side = F.broadcast(side)
+    return df.join(side, df[key] == side["_only"], "left_semi")
