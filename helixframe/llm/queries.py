@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, minhash, pii, quality
+from . import bpe, decontam, fingerprint, line_dedup, minhash, pii, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,23 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures_of(_table(spark, sf_dir, "pages")))
+    number = lambda c: F.substr(c, F.lit(2)).cast("long")
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.select(number(F.col("record_id")).alias("page_id"), "canonical_url", "ts", number(F.col("target_id")).alias("target_page"), "outcome", headers.alias("headers"), "payload")
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), digest.alias("kept_sha256"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -39,5 +56,24 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
-SQL: dict[str, str] = {}
+QUERIES = {"op5_lines": op5_lines, "op2_tiling": op2_tiling, "op4_revisits": op4_revisits, "op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
+SQL: dict[str, str] = {
+    "op4_revisits": """
+with p as (select page_id, url, md5(coalesce(html, '')) as m, length(coalesce(html, '')) as size from pages),
+u as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from p),
+parts as (select *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[.]', ''), ':(80|443)$', '') as host,
+  regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'),
+    lambda q: q <> '' and not regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)='))), '&') as query from u),
+c as (select page_id, m, size, host || path || case when query <> '' then '?' || query else '' end as canonical_url from parts),
+r as (select page_id, m, size, canonical_url, page_id * 10 as ts from c),
+v as (select page_id, canonical_url, page_id * 10 + 50005 as ts, 'day-' || substr(m, 2, 6) as day,
+  case when substr(m, 1, 1) < '4' then 'old' when substr(m, 1, 1) >= '8' then m end as etag from c),
+j as (select v.page_id, v.canonical_url, v.ts, v.etag, v.day, r.page_id as target_page, r.m, r.size
+  from v asof left join r on v.canonical_url = r.canonical_url and v.ts > r.ts),
+o as (select *, case when target_page is null then 'orphan'
+  when (etag is not null and etag = m) or (etag is null and day = 'day-' || substr(m, 2, 6)) then 'resolved' else 'changed' end as outcome from j)
+select page_id, canonical_url, ts, target_page, outcome,
+  case when outcome = 'resolved' then 'content-length=' || size || ';content-type=text/html;date=' || ts || ';etag=' || m || ';last-modified=day-' || substr(m, 2, 6) end as headers,
+  case when outcome = 'resolved' then m end as payload from o""",
+}
