@@ -1,7 +1,8 @@
 """Near-duplicate groups: MinHash with tensored banding, exact verification, connected components.
 
 Two small collections of SIDE bands of ROWS minhashes each are computed for a document; each of the SIDE x SIDE tables is
-keyed by a pair (band of the first, band of the second).  2 * SIDE * ROWS minhashes so serve as many tables as plain banding
+keyed by a pair (band of the first, band of the second).  A row travels only with each band of the first collection and is
+given its SIDE table keys where it arrives.  2 * SIDE * ROWS minhashes so serve as many tables as plain banding
 would need SIDE^2 * 2 * ROWS for.  A pair of similarity s is missed with probability below 2 (1 - s^ROWS)^SIDE: 1e-4 at 0.75.
 
 Documents of equal shingle sets are one representative before any table is built.  In a bucket every member is verified
@@ -27,6 +28,8 @@ WORDS, PERCENT = 5, 75
 SIDE, ROWS = 12, 2
 #: Mixed buckets of more members are refined by prefix filtering.
 LARGE = 64
+#: Bands of more members are grouped by aggregation and joins, which combine and split what one task need not hold.
+HOT = 20_000
 
 _rng = np.random.default_rng(1997)
 _ODD = _rng.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,11 +85,78 @@ def sets_of(docs: DataFrame, k: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "id long, shingles array<long>")
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """(key, id, n): each representative in its SIDE x SIDE tables."""
-    table = lambda i, j: F.xxhash64(F.lit(i * SIDE + j), F.col("bands")[i], F.col("bands")[SIDE + j])
-    keys = F.array(*[table(i, j) for i in range(SIDE) for j in range(SIDE)])
-    return reps.select(F.explode(keys).alias("key"), F.col("rep").alias("id"))
+def _banded(reps: DataFrame) -> DataFrame:
+    """(key, id, n, part, other): each representative under its SIDE bands of the first collection, with the bands of the second."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("bands")[i]) for i in range(SIDE)])
+    return reps.select(F.explode(keys).alias("key"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "part", F.slice("bands", SIDE + 1, SIDE).alias("other"))
+
+
+def _tables(banded: DataFrame) -> DataFrame:
+    """(key, id, n, part): one row for each of the SIDE tables that a row of `_banded` stands for."""
+    keys = F.transform("other", lambda b, j: F.xxhash64("key", j, b))
+    return banded.select(F.explode(keys).alias("key"), "id", "n", "part")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """All tables with several members in a partition of `_banded` rows: member ids, sizes, parts, and each table's first member."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return None
+    table = pa.Table.from_batches(parts)
+    key, ident, n, part = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "id", "n", "part"))
+    other = np.concatenate([np.asarray(c.flatten()) for c in table.column("other").chunks]).reshape(-1, SIDE)
+    order = np.argsort(key, kind="stable")
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[order][1:] == key[order][:-1]
+    member = order[same[1:] | same[:-1]]  # rows whose band has another member
+    if not len(member):
+        return None
+    sub = (other[member].view(np.uint32).astype(np.uint64) << np.uint64(8)) + np.arange(SIDE, dtype=np.uint64)
+    sub = mix(mix(sub) + key[member].view(np.uint64)[:, None]).ravel()
+    member = np.repeat(member, SIDE)
+    order = np.argsort(sub, kind="stable")
+    same = np.zeros(len(sub) + 1, bool)
+    same[1:-1] = sub[order][1:] == sub[order][:-1]
+    order = order[same[1:] | same[:-1]]
+    if not len(order):
+        return None
+    first = np.append(np.flatnonzero(np.diff(sub[order].view(np.int64), prepend=~sub[order][:1].view(np.int64))), len(order))
+    member = member[order]
+    return ident[member], n[member], part[member], first
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): every member of a table with the table's smallest id."""
+    if found := _gathered(batches):
+        ident, _, _, first = found
+        lead = np.repeat(np.minimum.reduceat(ident, first[:-1]), np.diff(first))
+        pairs = np.unique(np.column_stack([ident, lead])[ident != lead], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+
+def _across(large: int, percent: int):
+    """(u, v): members of a table in different parts, of fit sizes; (u, null): each member of a table of over `large` members in several parts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _gathered(batches)
+        if not found:
+            return
+        ident, n, part, first = found
+        at = first[:-1]
+        mixed = (np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at)) & (np.diff(first) > 2)
+        pairs, wide = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(at[mixed], first[1:][mixed]):
+            if b - a > large:
+                wide.append(ident[a:b])
+                continue
+            i, j = np.nonzero((part[a:b, None] != part[None, a:b]) & (ident[a:b, None] > ident[None, a:b]) & (np.minimum(n[a:b, None], n[None, a:b]) * 100 >= np.maximum(n[a:b, None], n[None, a:b]) * percent) & (ident[a:b] != ident[a:b].min())[None, :])
+            pairs.append(np.column_stack([ident[a + i], ident[a + j]]))
+            if len(pairs) > 4096:
+                pairs = [np.unique(np.concatenate(pairs), axis=0)]
+        pairs, wide = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(wide))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(pairs[:, 0], wide)), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(wide), pa.int64())])], ["u", "v"])
+
+    return rows
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
@@ -99,19 +169,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
     return stored(pairs.join(right, "v").join(left, "u").where(both * 100 >= (F.size("su") + F.size("sv") - both) * percent).select("u", "v"))
 
 
-def _crossing(reps: DataFrame, docs: DataFrame, parts: DataFrame, large: int, percent: int, k: int) -> DataFrame:
-    """Pairs in a common bucket but in different components, not led by the bucket's smallest id."""
-    member = _buckets(reps).join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("n > 2 and lo < hi")
-    member = stored(member.join(mixed.select("key", "n", "lead"), "key").where("id <> lead").join(reps.select(F.col("rep").alias("id"), "n_shingles"), "id"))
-    far = member.where(f"n <= {large}")
-    a = far.select("key", F.col("id").alias("u"), F.col("part").alias("pu"), F.col("n_shingles").alias("nu"))
-    b = far.select("key", F.col("id").alias("v"), F.col("part").alias("pv"), F.col("n_shingles").alias("nv"))
-    near = (F.col("pu") != F.col("pv")) & (F.col("u") > F.col("v")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    pairs = a.join(b, "key").where(near).select("u", "v")
-    wide = stored(member.where(f"n > {large}").select("id", "part", "n_shingles").distinct())
+def _crossing(banded: DataFrame, hot: DataFrame, docs: DataFrame, large: int, percent: int, k: int) -> DataFrame:
+    """Pairs in a common table but in different parts, not led by the table's smallest id."""
+    found = stored(banded.join(hot, "key", "left_anti").repartition("key").mapInArrow(_across(large, percent), "u long, v long"))
+    pairs = found.where("v is not null")
+    member = _tables(banded.join(hot, "key", "left_semi"))
+    mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    wide = found.where("v is null").select(F.col("u").alias("id")).union(member.join(mixed, "key", "left_semi").select("id")).distinct()
+    wide = stored(wide.join(banded.select("id", "part", F.col("n").alias("n_shingles")).distinct(), "id"))
     if wide.isEmpty():
         return pairs.distinct()
+    near = (F.col("pu") != F.col("pv")) & (F.col("u") > F.col("v")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     token = sets_of(only(docs, wide, "doc_id", "id"), k).dropDuplicates(["id"]).join(wide, "id").select("id", "part", "n_shingles", F.explode("shingles").alias("token"))
     token = token.join(token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     lists = token.groupBy("id", "part", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
@@ -124,7 +192,7 @@ def _crossing(reps: DataFrame, docs: DataFrame, parts: DataFrame, large: int, pe
     return pairs.union(a.join(b, "token").where(near).select("u", "v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, large: int = LARGE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, large: int = LARGE, hot_members: int = HOT) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id, kept).
 
     Links have 100 * intersection >= percent * union of their sets of distinct k-word shingles; component_id is the smallest
@@ -135,12 +203,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, lar
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketch = stored(sketches(docs, k))
     reps = stored(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    buckets = _buckets(reps)
-    leads = buckets.groupBy("key").agg(F.min("id").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    edges = _verified(buckets.join(leads, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), docs, percent, k)
+    banded = _banded(reps.withColumn("part", F.col("rep")))
+    hot = stored(banded.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {hot_members}").select("key"))
+    stars = banded.join(hot, "key", "left_anti").repartition("key").mapInArrow(_stars, "u long, v long")
+    tables = _tables(banded.join(hot, "key", "left_semi"))
+    leads = tables.groupBy("key").agg(F.min("id").alias("v"))
+    stars = stars.union(tables.join(leads, "key").where("id <> v").select(F.col("id").alias("u"), "v")).distinct()
+    edges = _verified(stars, docs, percent, k)
     release(spark)
     parts = stored(components(edges))
-    more = _verified(_crossing(reps, docs, parts, large, percent, k), docs, percent, k)
+    banded = _banded(reps.join(parts, F.col("rep") == F.col("id"), "left").withColumn("part", F.coalesce("component", "rep")))
+    more = _verified(_crossing(banded, hot, docs, large, percent, k), docs, percent, k)
     release(spark)
     if not more.isEmpty():
         parts = components(edges.union(more))

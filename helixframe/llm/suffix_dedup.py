@@ -225,7 +225,9 @@ class Suffixes:
     def compare(self, x: np.ndarray, y: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether x comes first (equal ones: the smaller index), and the full shared length, given a known part of it."""
         first, shared = x < y, np.full(len(x), self.last * 8, np.int64)
-        todo, word = np.arange(len(x)), known // 8
+        word = known // 8
+        todo = np.flatnonzero(word < self.last)
+        word = word[todo]
         while len(todo):
             a, b = self.words[x[todo], word], self.words[y[todo], word]
             apart = a != b
