@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprint, line_dedup, minhash, pii, quality, suffix_dedup, warc
+from . import bpe, decontam, fingerprint, katz, line_dedup, minhash, pii, quality, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_suffix": op1_suffix, "op5_lines": op5_lines, "op2_tiling": op2_tiling, "op4_revisits": op4_revisits, "op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_katz": op10_katz, "op1_suffix": op1_suffix, "op5_lines": op5_lines, "op2_tiling": op2_tiling, "op4_revisits": op4_revisits, "op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
 SQL: dict[str, str] = {
     "op4_revisits": """
 with p as (select page_id, url, md5(coalesce(html, '')) as m, length(coalesce(html, '')) as size from pages),
