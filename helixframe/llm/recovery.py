@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,11 @@ def only(df: DataFrame, ids: DataFrame, key: str, column: str) -> DataFrame:
     if side.count() <= BROADCAST_IDS:
         side = F.broadcast(side)
     return df.join(side, df[key] == side["_only"], "left_semi")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared checkpoint folder and read again."""
+    shared_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
