@@ -7,8 +7,9 @@ would need SIDE^2 * 2 * ROWS for.  A pair of similarity s is missed with probabi
 
 Documents of equal shingle sets are one representative before any table is built.  In a bucket every member is verified
 against the bucket's smallest id only; then, in buckets whose members still lie in several components, members of different
-components are verified against each other, so no link between components is lost.  Large mixed buckets reach that step
-through prefix filtering (two sets with enough overlap share one of their rarest shingles), which is exact as well.
+components are verified against each other, so no link between components is lost.  In large mixed buckets that happens by
+counting the shared shingles of all members at once, within a task and without a row for each pair; buckets too large for a
+task go through prefix filtering (two sets with enough overlap share one of their rarest shingles).
 """
 
 from __future__ import annotations
@@ -122,39 +123,41 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | Non
         return None
     first = np.append(np.flatnonzero(np.diff(sub[order].view(np.int64), prepend=~sub[order][:1].view(np.int64))), len(order))
     member = member[order]
-    return ident[member], n[member], part[member], first
+    return ident[member], n[member], part[member], key[member], first
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v): every member of a table with the table's smallest id."""
     if found := _gathered(batches):
-        ident, _, _, first = found
+        ident, _, _, _, first = found
         lead = np.repeat(np.minimum.reduceat(ident, first[:-1]), np.diff(first))
         pairs = np.unique(np.column_stack([ident, lead])[ident != lead], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
 def _across(large: int, percent: int):
-    """(u, v): members of a table in different parts, of fit sizes; (u, null): each member of a table of over `large` members in several parts."""
+    """(u, v, null): members of a table in different parts, of fit sizes; (u, null, key): each member of a table of over `large`
+    members in several parts, with its band."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _gathered(batches)
         if not found:
             return
-        ident, n, part, first = found
+        ident, n, part, key, first = found
         at = first[:-1]
         mixed = (np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at)) & (np.diff(first) > 2)
-        pairs, wide = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+        pairs, wide = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for a, b in zip(at[mixed], first[1:][mixed]):
             if b - a > large:
-                wide.append(ident[a:b])
+                wide.append(np.column_stack([ident[a:b], key[a:b]]))
                 continue
             i, j = np.nonzero((part[a:b, None] != part[None, a:b]) & (ident[a:b, None] > ident[None, a:b]) & (np.minimum(n[a:b, None], n[None, a:b]) * 100 >= np.maximum(n[a:b, None], n[None, a:b]) * percent) & (ident[a:b] != ident[a:b].min())[None, :])
             pairs.append(np.column_stack([ident[a + i], ident[a + j]]))
             if len(pairs) > 4096:
                 pairs = [np.unique(np.concatenate(pairs), axis=0)]
-        pairs, wide = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(wide))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(pairs[:, 0], wide)), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(wide), pa.int64())])], ["u", "v"])
+        pairs, wide = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(wide), axis=0)
+        none = lambda x: pa.nulls(len(x), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(pairs[:, 0], wide[:, 0])), pa.concat_arrays([pa.array(pairs[:, 1]), none(wide)]), pa.concat_arrays([none(pairs), pa.array(wide[:, 1])])], ["u", "v", "key"])
 
     return rows
 
@@ -169,16 +172,96 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFr
     return stored(pairs.join(right, "v").join(left, "u").where(both * 100 >= (F.size("su") + F.size("sv") - both) * percent).select("u", "v"))
 
 
-def _crossing(banded: DataFrame, hot: DataFrame, docs: DataFrame, large: int, percent: int, k: int) -> DataFrame:
-    """Pairs in a common table but in different parts, not led by the table's smallest id."""
-    found = stored(banded.join(hot, "key", "left_anti").repartition("key").mapInArrow(_across(large, percent), "u long, v long"))
-    pairs = found.where("v is not null")
-    member = _tables(banded.join(hot, "key", "left_semi"))
+def overlaps(tokens: np.ndarray, first: np.ndarray, rows: slice) -> np.ndarray:
+    """Sizes of the intersections of the sets in rows with all sets, a matrix; sets are runs of distinct tokens."""
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    order = np.argsort(tokens, kind="stable")
+    owner = owner[order]
+    start = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order].view(np.int64)) != 0])) if len(tokens) else np.zeros(0, int)
+    size = np.diff(start, append=len(tokens))
+    out = np.zeros((rows.stop - rows.start, n), np.float32)
+    common = np.flatnonzero(size > 32)
+    for i in range(0, len(common), 512):  # frequent tokens: products of 0/1 matrices
+        some = common[i : i + 512]
+        hit = np.zeros((n, len(some)), np.float32)
+        hit[owner[np.concatenate([np.arange(start[t], start[t] + size[t]) for t in some])], np.repeat(np.arange(len(some)), size[some])] = 1
+        out += hit[rows] @ hit.T
+    rare = np.flatnonzero((size > 1) & (size <= 32))
+    for k in np.unique(size[rare]):  # the others: their pairs, as many tokens of one count at a time
+        lists = owner[start[rare[size[rare] == k]][:, None] + np.arange(k)]
+        for a in range(k):
+            inside = np.flatnonzero((lists[:, a] >= rows.start) & (lists[:, a] < rows.stop))
+            np.add.at(out, (np.repeat(lists[inside, a] - rows.start, k), lists[inside].ravel()), 1)
+    return out
+
+
+def _linked(percent: int, block: int = 512):
+    """(u, v): links that join parts, among the members of each band (key, id, n, part, bands, shingles).
+
+    A pair is looked at in the first band that it shares; of links between the same parts one is enough.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).sort_by([("key", "ascending"), ("id", "ascending")])
+        key, ident, n, part = (table.column(c).to_numpy() for c in ("key", "id", "n", "part"))
+        bands = np.concatenate([np.asarray(c.flatten()) for c in table.column("bands").chunks]).reshape(len(key), -1)[:, :SIDE]
+        for a, b in zip(*(lambda s: (s, np.append(s[1:], len(key))))(np.flatnonzero(np.diff(key, prepend=~key[:1])))):
+            lists = table.column("shingles").slice(a, b - a).combine_chunks()
+            first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+            tokens = np.asarray(lists.flatten()).view(np.uint64)
+            index = next(i for i in range(SIDE) if (bands[a:b, i] == bands[a, i]).all())  # the band they are gathered by
+            label = {int(p): int(p) for p in np.unique(part[a:b])}
+
+            def root(x: int) -> int:
+                while label[x] != x:
+                    label[x] = label[label[x]]
+                    x = label[x]
+                return x
+
+            out = []
+            for i in range(a, b, block):
+                j = min(i + block, b)
+                both = overlaps(tokens, first, slice(i - a, j - a)).astype(np.int64)
+                close = (both * 100 >= (n[i:j, None] + n[None, a:b] - both) * percent) & (part[i:j, None] != part[None, a:b]) & (ident[i:j, None] > ident[None, a:b])
+                for before in range(index):
+                    close &= bands[i:j, before][:, None] != bands[a:b, before][None, :]
+                for x, y in zip(*np.nonzero(close)):
+                    p, q = root(int(part[i + x])), root(int(part[a + y]))
+                    if p != q:
+                        label[max(p, q)] = min(p, q)
+                        out.append((ident[i + x], ident[a + y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(out, np.int64).T], ["u", "v"])
+
+    return rows
+
+
+def _crossing(reps: DataFrame, hot: DataFrame, docs: DataFrame, large: int, percent: int, k: int) -> DataFrame:
+    """Verified links between parts, within tables, beyond those with the table's smallest id."""
+    banded = _banded(reps)
+    found = stored(banded.join(hot, "key", "left_anti").repartition("key").mapInArrow(_across(large, percent), "u long, v long, key long"))
+    links = _verified(found.where("v is not null").select("u", "v").distinct(), docs, percent, k)
+    wide = stored(found.where("v is null").select(F.col("u").alias("id"), "key").distinct())
+    if not wide.isEmpty():
+        ids = stored(wide.select("id").distinct())
+        about = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "part", "bands")
+        members = sets_of(only(docs, ids, "doc_id", "id"), k).dropDuplicates(["id"]).join(about, "id").join(wide, "id")
+        links = links.union(stored(members.select("key", "id", "n", "part", "bands", "shingles").repartition("key").mapInArrow(_linked(percent), "u long, v long")))
+    return links if hot.isEmpty() else links.union(_verified(_hot_pairs(banded.join(hot, "key", "left_semi"), docs, percent, k), docs, percent, k))
+
+
+def _hot_pairs(banded: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs of members of mixed hot tables that share one of the shingles that are rarest among them.
+
+    Two sets that overlap enough share one of the first n - ceil(n * percent / 100) + 1 shingles in any common order.
+    """
+    member = _tables(banded)
     mixed = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    wide = found.where("v is null").select(F.col("u").alias("id")).union(member.join(mixed, "key", "left_semi").select("id")).distinct()
-    wide = stored(wide.join(banded.select("id", "part", F.col("n").alias("n_shingles")).distinct(), "id"))
-    if wide.isEmpty():
-        return pairs.distinct()
+    wide = stored(member.join(mixed, "key", "left_semi").select("id", "part", F.col("n").alias("n_shingles")).distinct())
     near = (F.col("pu") != F.col("pv")) & (F.col("u") > F.col("v")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     token = sets_of(only(docs, wide, "doc_id", "id"), k).dropDuplicates(["id"]).join(wide, "id").select("id", "part", "n_shingles", F.explode("shingles").alias("token"))
     token = token.join(token.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
@@ -189,7 +272,7 @@ def _crossing(banded: DataFrame, hot: DataFrame, docs: DataFrame, large: int, pe
     token = token.join(split, "token")
     a = token.select("token", F.col("id").alias("u"), F.col("part").alias("pu"), F.col("n_shingles").alias("nu"))
     b = token.select("token", F.col("id").alias("v"), F.col("part").alias("pv"), F.col("n_shingles").alias("nv"))
-    return pairs.union(a.join(b, "token").where(near).select("u", "v")).distinct()
+    return a.join(b, "token").where(near).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, large: int = LARGE, hot_members: int = HOT) -> DataFrame:
@@ -212,8 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, lar
     edges = _verified(stars, docs, percent, k)
     release(spark)
     parts = stored(components(edges))
-    banded = _banded(reps.join(parts, F.col("rep") == F.col("id"), "left").withColumn("part", F.coalesce("component", "rep")))
-    more = _verified(_crossing(banded, hot, docs, large, percent, k), docs, percent, k)
+    more = _crossing(reps.join(parts, F.col("rep") == F.col("id"), "left").withColumn("part", F.coalesce("component", "rep")), hot, docs, large, percent, k)
     release(spark)
     if not more.isEmpty():
         parts = components(edges.union(more))
