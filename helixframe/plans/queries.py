@@ -206,8 +206,8 @@ _INDEX = "(w[1:1]::int * 64 + w[2:2]::int * 32 + w[3:3]::int * 16 + w[4:4]::int
 
 @_query(
     f"{_HAMMING}, f as (select doc_id, padding, {_FLIPPED} as flipped from h), b as (select doc_id, padding, {_WORDS} as bits from f), "
-    f"w as (select doc_id, list_transform(regexp_extract_all(substr(bits, 1, length(bits) - padding), '.......'), lambda w: {_INDEX}) as at from b) "
-    f"select doc_id, sha256(array_to_string(list_transform(at, lambda i: substr('{hamming.DIGITS}', i, 1)), '')) as hex_sha256, len(list_filter(at, lambda i: substr('{hamming.FLAGS}', i, 1) = '1'))::int as corrected from w"
+    f"w as (select doc_id, list_transform(regexp_extract_all(substr(bits, 1, length(bits) - padding), '.......'), lambda w: {_INDEX}) as places from b) "
+    f"select doc_id, sha256(array_to_string(list_transform(places, lambda i: substr('{hamming.DIGITS}', i, 1)), '')) as hex_sha256, len(list_filter(places, lambda i: substr('{hamming.FLAGS}', i, 1) = '1'))::int as corrected from w"
 )
 def p12_hamming_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = _docs(spark, sf_dir).select("doc_id", hamming.encode(F.col("content")).alias("h")).withColumn("hexed", F.lower(F.hex("h.encoded")))
