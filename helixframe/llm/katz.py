@@ -223,12 +223,12 @@ def _met(table, buckets: int):
             out = [(bucket, 1, _packed(np.bincount(np.minimum(c, K + 2), minlength=K + 3)))]
             seen = each > 0
             to = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            back = np.flatnonzero(seen)[np.argsort(to[seen], kind="stable")]
+            back = np.flatnonzero(seen)
+            back = back[np.lexsort((doc[back], to[back]))]
             cut = np.searchsorted(to[back], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 i = back[cut[b] : cut[b + 1]]
-                low = doc[i].min()
-                out.append((int(b), 0, _packed(doc[i] - low, np.array([low]), each[i], n[i])))
+                out.append((int(b), 0, _packed(np.diff(doc[i], prepend=doc[i[:1]]), doc[i[:1]], each[i], n[i])))
             gh, gw = h[new], w[new]
             start = np.flatnonzero(np.concatenate([[True], gh[1:] != gh[:-1]]))
             size = np.diff(start, append=len(gh))
@@ -260,7 +260,7 @@ def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int32()), pa.array([b for _, b in keep], pa.binary())], ["kind", "payload"])
     for blobs in by.values():
         parts = [_unpacked(b) for b in blobs]
-        ids, at = np.unique(np.concatenate([p[0] + p[1][0] for p in parts]), return_inverse=True)
+        ids, at = np.unique(np.concatenate([np.cumsum(p[0]) + p[1][0] for p in parts]), return_inverse=True)
         c, n = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
         hist = [np.bincount(at, n * (c == r), len(ids)) for r in range(1, K + 1)]
         rest = np.bincount(at, np.where(c > K, n * np.log10(np.maximum(c, 1)), 0.0), len(ids))
