@@ -279,6 +279,18 @@ def _rows(met: DataFrame, kind: int, schema: str) -> DataFrame:
     return met.where(f"kind = {kind}").select("payload").mapInArrow(rows, schema)
 
 
+def _threshold(counts: DataFrame, most: int) -> int:
+    """A count that at most `most` words reach, from a histogram of 64 steps for each doubling."""
+    step = F.floor(F.log2("c") * 64).cast("int")
+    reach, above = 0, 2**63 - 1
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():  # 4,096 rows at most
+        reach += r["n"]
+        if reach > most:
+            return above
+        above = r["c"]
+    return 1
+
+
 def scores(docs: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """docs (doc_id, text) to (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -304,7 +316,8 @@ def scores(docs: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataF
     d1 = discounts(types)
     unknown = sum(r * n * (1 - d) for r, n, d in zip(range(1, K + 1), types, d1)) / total if total else 1.0
     p1 = lambda c: np.where(c > 0, c * np.append([0.0, *d1], 1.0)[np.minimum(c, K + 1)] / max(total, 1), unknown)
-    frequent = [(r["w"], r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(hot).collect()]  # `hot` rows at most
+    least = _threshold(counts, hot)
+    frequent = [(r["w"], r["c"]) for r in counts.where(F.col("c") >= least).collect()]  # `hot` rows at most
     table = spark.sparkContext.broadcast(Table(frequent, begins, total + begins, p1, buckets))
     unit = math.log10(total + 0.1 * (vocabulary + 1))
     common = plain.mapInArrow(_common(table, unit), "doc long, tokens long, known long, base double, context double")
