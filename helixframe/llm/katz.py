@@ -139,7 +139,7 @@ def _rare(table):
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    planes = [(a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T)) for a in arrays]
+    planes = [(a.dtype.str, np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)) for a in arrays]
     raw = pickle.dumps(planes, 5)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
