@@ -21,8 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from .recovery import stored
 from .text import hash_spans, utf8, word_bounds
 
+#: Scores from which on a text is kept.
+THRESHOLD = 0.3
 BINS, LOW, HIGH = 1024, -0.5, 1.5
 FIXED = 1 << 16  # z in 1/65536: products below 2^33, so sums of 2^30 rows stay whole
 #: Most bytes of text whose statistics are computed at once.
@@ -198,12 +201,10 @@ def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label")).where("label is not null")
     stats = docs.select(F.col("doc_id"), fold(F.col("doc_id"), 5).alias("fold"), statistics_of("text").alias("statistics")).where("fold <> 0")
     rows = stats.join(marks, stats.doc_id == marks._id).select("statistics", "label", (F.col("fold") == 4).alias("calibrate"))
-    from .recovery import stored
-
     return fit(stored(rows))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score DOUBLE, predicted INT and held_out BOOLEAN added (columns of docs of those names are replaced)."""
     model = fit_documents(docs, labels)
     return docs.withColumn("held_out", fold(F.col("doc_id"), 5) == 0).withColumn("score", score(model, F.col("text"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
