@@ -65,6 +65,34 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_katz": op10_katz, "op1_suffix": op1_suffix, "op5_lines": op5_lines, "op2_tiling": op2_tiling, "op4_revisits": op4_revisits, "op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
+_LUHN = "list_sum(list_transform(list_reverse(string_split(d, '')), lambda c, i: case when i % 2 = 1 then c::int else c::int * 2 - case when c::int > 4 then 9 else 0 end end)) % 10 = 0"
+_MOD97 = "list_reduce(list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end), lambda a, x: (a * case when x < 10 then 10 else 100 end + x) % 97) = 1"
+#: By kind: what a match must hold, v being the match, d its digits and b what stands before it.
+_HOLDS = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 or ('0' || substr(ltrim(p, '0'), 1, 3))::int > 255)) = 0",
+    "card": f"case when length(d) between 16 and 19 then {_LUHN} else false end",
+    "phone": "length(d) between 8 and 15",
+    "iban": _MOD97,
+    "ssn": f"regexp_matches(b, '\\b(?:{pii.WORDS['ssn']})\\b')",
+}
+
+
+def _pii_sql() -> str:
+    """The op8 query: positions follow from the lengths of matches and of the pieces between them."""
+    steps = ["t as (select doc_id, coalesce(text, '') as text, row_number() over () as r from documents)"]
+    for n, (kind, pattern) in enumerate(pii.PLAIN.items()):
+        p = pattern.replace("(", "(?:").replace("[\\x20(?:)", "[\\x20()")
+        steps.append(f"g{n} as (select r, text, regexp_extract_all(text, '{p}') as hits, regexp_split_to_array(text, '{p}') as gaps from t)")
+        steps.append(f"h{n} as (select r, text, unnest(range(1, len(hits) + 1)) as i, hits, gaps from g{n})")
+        steps.append(f"s{n} as (select r, text, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::bigint as s, hits[i] as v from h{n})")
+        steps.append(f"k{n} as (select r, {n} as kind, '{kind}:' || s || ':' || (s + length(v)) as span, s from (select *, regexp_replace(v, '[^0-9]', '', 'g') as d, lower(substr(text, greatest(s - {pii.NEAR}, 0) + 1, least(s, {pii.NEAR}))) as b from s{n}) where {_HOLDS[kind]})")
+    steps.append("k as (" + " union all ".join(f"select * from k{n}" for n in range(len(pii.PLAIN))) + ")")
+    steps.append("a as (select r, " + ", ".join(f"count(*) filter (kind = {n}) as n_{kind}" for n, kind in enumerate(pii.BASE)) + f", string_agg(span, ',' order by kind, s) filter (kind < {len(pii.BASE)}) as base, string_agg(span, ',' order by kind, s) as spans from k group by r)")
+    counts = ", ".join(f"coalesce(n_{kind}, 0) as n_{kind}" for kind in pii.BASE)
+    return "with " + ", ".join(steps) + f" select doc_id, {counts}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join a using (r)"
+
+
 SQL: dict[str, str] = {
     "op4_revisits": """
 with p as (select page_id, url, md5(coalesce(html, '')) as m, length(coalesce(html, '')) as size from pages),
@@ -84,4 +112,5 @@ o as (select *, case when target_page is null then 'orphan'
 select page_id, canonical_url, ts, target_page, outcome,
   case when outcome = 'resolved' then 'content-length=' || size || ';content-type=text/html;date=' || ts || ';etag=' || m || ';last-modified=day-' || substr(m, 2, 6) end as headers,
   case when outcome = 'resolved' then m end as payload from o""",
+    "op8_pii": _pii_sql(),
 }
