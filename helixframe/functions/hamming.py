@@ -41,8 +41,9 @@ def _to_letters(content: Column) -> Column:
 def encode(content: Column) -> Column:
     """(encoded BINARY, padding INT): code bits in order, with 0 to 7 zero bits at the end."""
     bits = replaced(_to_letters(content), {letter: codeword(i) for i, letter in enumerate(_LETTERS)})
-    padding = (8 - F.length(bits) % 8) % 8
-    return F.when(content.isNotNull(), F.struct(_to_bytes(F.rpad(bits, F.length(bits) + padding, "0")).alias("encoded"), padding.cast("int").alias("padding")))
+    n = F.length(content) * 14  # bits, known without spelling them out
+    padding = (8 - n % 8) % 8
+    return F.when(content.isNotNull(), F.struct(_to_bytes(F.rpad(bits, n + padding, "0")).alias("encoded"), padding.cast("int").alias("padding")))
 
 
 def error(encoded: Column, padding: Column) -> Column:
@@ -56,9 +57,10 @@ def decode(encoded: Column, padding: Column) -> Column:
     An odd number of half bytes gets a zero half byte at the end.
     """
     bits = replaced(_to_letters(encoded), _BITS)
-    words = F.regexp_extract_all(F.substr(bits, F.lit(1), F.greatest(F.length(bits) - padding, F.lit(0))), F.lit("(.{7})"), F.lit(1))
+    n = F.greatest(F.length(encoded) * 8 - padding, F.lit(0))
+    words = F.regexp_extract_all(F.substr(bits, F.lit(1), n), F.lit("(.{7})"), F.lit(1))
     place = F.transform(words, lambda w: F.conv(w, 2, 10).cast("int") + 1)
     digits = F.array_join(F.transform(place, lambda i: F.substr(F.lit(DIGITS), i, F.lit(1))), "")
-    whole = F.concat(digits, F.when(F.length(digits) % 2 == 1, "0").otherwise(""))
+    whole = F.concat(digits, F.when(n % 14 == 7, "0").otherwise(""))
     corrected = F.size(F.filter(place, lambda i: F.substr(F.lit(FLAGS), i, F.lit(1)) == "1"))
     return F.when(error(encoded, padding).isNull() & encoded.isNotNull(), F.struct(F.unhex(whole).alias("content"), corrected.alias("corrected")))

@@ -6,6 +6,8 @@ same in both engines.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,6 +115,15 @@ def s4_fasta_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fasta(spark, sf_dir).select("doc_id", _sha(fasta.to_text(F.col("header"), F.col("dna"), 80)).alias("text_sha256"))
 
 
+@_query("select doc_id, octet_length(encode(text))::bigint as n_bytes, md5(text) as digest from documents")
+def s5_payload_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = _dna(spark, sf_dir).select("doc_id", base4.decode(F.col("dna")).alias("content"))
+    context = spark.sparkContext
+    path = f"{context.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-payloads-')}/payloads-{uuid.uuid4().hex}"
+    payloads.write(decoded, path)
+    return spark.read.parquet(path).select("doc_id", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
+
+
 @_query("select doc_id, 'src/' || source || '/doc' || doc_id || '.txt.bin' as path, 'doc' || doc_id || '.txt.bin.fasta' as encoded_name, 'doc' || doc_id || '.txt_decoded.bin' as decoded_name from documents")
 def s6_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/"), F.col("source"), F.lit("/doc"), F.col("doc_id"), F.lit(".txt.bin"))
