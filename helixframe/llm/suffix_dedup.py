@@ -36,7 +36,7 @@ WIDTH = 104  # SPAN in whole 64-bit words
 FILTER_BLOCKS, BLOCK_BITS = 256, 1 << 19
 FINE = 256  # loser trees that advance in step in a bucket
 FAN_IN = 64  # runs that one tree combines
-RUN = 150_000  # anchors in a run
+RUN = 360_000  # anchors in a run: what repeats within it travels once
 _BYTE = np.random.default_rng(1990).integers(1, 2**64, 256, dtype=np.uint64)
 _B = 0x9E3779B97F4A7C15
 
@@ -155,8 +155,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _run(held: list[tuple], buckets: int) -> pa.RecordBatch:
     """A sorted, front-coded run of anchors, cut by bucket."""
-    key, doc, pos, right, left, suffix, before = (np.concatenate(c) for c in zip(*(h[:7] for h in held)))
-    ids, digests = (np.concatenate(c) for c in zip(*(h[7:] for h in held)))
+    key, doc, pos, right, left, suffix, before, ids, digests = (np.concatenate([h[i] for h in held]) for i in range(9))
+    held.clear()
     place = (key >> np.uint64(32)).astype(np.int64) % (buckets * FINE)
     # by bucket and suffix, then by what tells contexts apart, then by position
     order = np.lexsort((pos, digests[doc], ids[doc], np.ascontiguousarray(before).view(f"S{REACH}").ravel(), left, right, suffix.view(f"S{WIDTH}").ravel(), place))
