@@ -5,14 +5,18 @@ pick equal positions, so it suffices to sort the suffixes at picked positions ("
 for the windows that picked it and carries the bytes these cover: `right` from the anchor on, at most SPAN, and `left` before it.
 
 1. Anchors' hashes are exchanged in sorted, delta-coded blocks; those that occur twice fill a filter of fixed size.
-2. Each task sorts the suffixes of anchors that pass into runs, front-codes them (length of the prefix shared with the
+2. Anchors that pass are exchanged with a 64-bit digest of all their bytes.  Of anchors with the same bytes all but the earliest
+   are repeats in full.  Where one hash comes with several contexts, the earliest anchor of each fills a second filter.
+3. Each task sorts the suffixes of anchors that pass both into runs, front-codes them (length of the prefix shared with the
    previous suffix, then the rest) and exchanges them by hash bucket.  Equal contexts within a run travel once.
-3. A bucket's runs are combined with loser trees that keep, for each candidate, the length of the prefix it is known to share
+4. A bucket's runs are combined with loser trees that keep, for each candidate, the length of the prefix it is known to share
    with the last output, and compare bytes only from there on; one tree for each fine bucket, all advancing in step.  The
    merge leaves the suffixes in order with the shared prefix lengths of neighbours.  The (reversed) left contexts are sorted too.
-4. Two windows that lie o bytes before their anchors are equal where the suffixes share SPAN - o bytes and the left contexts
+5. Two windows that lie o bytes before their anchors are equal where the suffixes share SPAN - o bytes and the left contexts
    o bytes, that is, where no smaller shared length lies between them in either order.  In each such class all but the
    earliest window are repeats; their byte ranges go back to their documents.
+
+Filters only let more anchors pass than needed, never fewer, so what they hold does not change the result.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .recovery import release, stored
 from .text import mix, slices, utf8
 
 SPAN, KMER = 100, 32
@@ -184,19 +189,126 @@ def _run(held: list[tuple], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "payload"])
 
 
-def _runs(table, buckets: int):
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes a filter may hold; all that it holds are among them."""
+    block, keep = (hashes >> np.uint64(56)).astype(np.int64) * BLOCK_BITS, np.ones(len(hashes), bool)
+    for slot in _slots(hashes):
+        at = block + slot
+        keep &= (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+    return keep
+
+
+def _identity(ids: np.ndarray, digests: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A hash of a place: document and position."""
+    return mix(mix(mix(ids.view(np.uint64)) + digests.view(np.uint64)) + pos.astype(np.uint64))
+
+
+class _Contexts:
+    """Digests of byte ranges, from running sums over a segment."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray) -> np.ndarray:
+        if len(self.up) <= len(data):
+            n = len(data) + 1
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_B, pow(_B, -1, 2**64)))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * self.up[: len(data)], dtype=np.uint64)])
+        return mix((sums[end] - sums[start]) * self.down[start] + mix((left.astype(np.uint64) << np.uint64(32)) + (end - start).astype(np.uint64)))
+
+
+def _places(table, buckets: int):
+    """(bucket, payload): anchors that pass the filter, with the digests of their contexts."""
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        key, digest, doc, pos, right, left, ids, digests = (np.concatenate([h[i] for h in held]) for i in range(8))
+        bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((digest, key, bucket))
+        key, digest, doc, pos, right, left, bucket = (x[order] for x in (key, digest, doc, pos, right, left, bucket))
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        names = np.flatnonzero(np.diff(cut))
+        blobs = []
+        for a, b in zip(cut[names], cut[names + 1]):
+            used, doc_of = np.unique(doc[a:b], return_inverse=True)
+            blobs.append(_packed(_planes(np.diff(key[a:b], prepend=np.uint64(0))), _planes(digest[a:b]), doc_of.astype(np.int32), _planes(pos[a:b]), right[a:b].astype(np.uint8), left[a:b].astype(np.uint8), ids[used], digests[used]))
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "payload"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(table.value, np.uint8)
+        bits, contexts = np.frombuffer(table.value, np.uint8), _Contexts()
         held, count, docs = [], 0, 0
         for ids, digests, bases, data, offsets in _segments(batches):
             p, a, b, key = anchors(data, offsets)
-            block = (key >> np.uint64(56)).astype(np.int64) * BLOCK_BITS
-            keep = np.ones(len(key), bool)
-            for slot in _slots(key):
-                at = block + slot
-                keep &= (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+            keep = _passes(bits, key)
             p, a, b, key = p[keep], a[keep], b[keep], key[keep]
             doc = np.searchsorted(offsets, p, "right") - 1
+            held.append((key, contexts.of(data, a, b + SPAN, p - a), doc + docs, p - offsets[doc] + bases[doc], b + SPAN - p, p - a, ids, digests))
+            docs += len(ids)
+            count += len(p)
+            if count > 2 * RUN:
+                yield out(held)
+                held, count, docs = [], 0, 0
+        if count:
+            yield out(held)
+
+    return rows
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, kind, payload) of a bucket of `_places`: ranges of later copies (0), and, by filter block, the places of the
+    earliest of several contexts of one hash (1)."""
+    by: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
+            by.setdefault(bucket, []).append(blob)
+    while by:
+        bucket, blobs = by.popitem()
+        parts = [_unpacked(b) for b in blobs]
+        plain = lambda planes, kind: np.ascontiguousarray(planes.T).view(kind).ravel()
+        key = np.concatenate([np.cumsum(plain(p[0], "<u8"), dtype=np.uint64) for p in parts])
+        digest, pos = np.concatenate([plain(p[1], "<u8") for p in parts]), np.concatenate([plain(p[3], "<i8") for p in parts])
+        ids, digests = np.concatenate([p[6][p[2]] for p in parts]), np.concatenate([p[7][p[2]] for p in parts])
+        right, left = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (4, 5))
+        order = np.lexsort((pos, digests, ids, digest, key))
+        key, digest, ids, digests, pos, right, left = (x[order] for x in (key, digest, ids, digests, pos, right, left))
+        same_key = np.concatenate([[False], key[1:] == key[:-1]])
+        copy = same_key & np.concatenate([[False], digest[1:] == digest[:-1]])
+        group = np.cumsum(~same_key) - 1
+        several = (np.bincount(group, ~copy) > 1)[group] & ~copy
+        place = np.sort(_identity(ids[several], digests[several], pos[several]))
+        cut = np.searchsorted(place >> np.uint64(56), np.arange(FILTER_BLOCKS + 1, dtype=np.uint64))
+        rows = [(bucket, 0, _packed(ids[copy], digests[copy], pos[copy] - left[copy], pos[copy] + right[copy]))]
+        rows += [(b, 1, _packed(place[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
+
+
+def _place_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
+            bits = blocks.setdefault(bucket, np.zeros(BLOCK_BITS, np.uint8))
+            for slot in _slots(_unpacked(blob)[0]):
+                bits[slot] = 1
+    for bucket, bits in blocks.items():
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "payload"])
+
+
+def _copy_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("payload").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(blob)], ["key", "digest", "start", "end"])
+
+
+def _runs(table, places, buckets: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, wanted = np.frombuffer(table.value, np.uint8), np.frombuffer(places.value, np.uint8)
+        held, count, docs = [], 0, 0
+        for ids, digests, bases, data, offsets in _segments(batches):
+            p, a, b, key = anchors(data, offsets)
+            doc = np.searchsorted(offsets, p, "right") - 1
+            keep = np.flatnonzero(_passes(bits, key))
+            at = doc[keep]
+            keep = keep[_passes(wanted, _identity(ids[at], digests[at], p[keep] - offsets[at] + bases[at]))]
+            p, a, b, key, doc = p[keep], a[keep], b[keep], key[keep], doc[keep]
             right, left = b + SPAN - p, p - a
             padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(WIDTH, np.uint8)])
             suffix = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[p + REACH].copy()
@@ -383,14 +495,23 @@ def repeated_ranges(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """docs (key BIGINT, digest BIGINT, text) to (key, digest, start, end): ranges whose union every repeated window covers."""
     spark = docs.sparkSession
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blob = "bucket int, payload binary"
-    blocks = docs.mapInArrow(_hash_blocks, blob).repartition("bucket").mapInArrow(_filter_blocks, blob)
-    bits = bytearray(FILTER_BLOCKS * BLOCK_BITS // 8)
-    for r in blocks.toLocalIterator():  # FILTER_BLOCKS rows at most
+    blob, ranges = "bucket int, payload binary", "key long, digest long, start long, end long"
+
+    def filled(blocks: DataFrame):
+        """A filter from its blocks, FILTER_BLOCKS rows at most, broadcast."""
         size = BLOCK_BITS // 8
-        bits[r["bucket"] * size : (r["bucket"] + 1) * size] = r["payload"]
-    table = spark.sparkContext.broadcast(bytes(bits))
-    return docs.mapInArrow(_runs(table, buckets), blob).repartition(buckets, "bucket").mapInArrow(_repeats, "key long, digest long, start long, end long")
+        bits = bytearray(FILTER_BLOCKS * size)
+        for r in blocks.toLocalIterator():
+            bits[r["bucket"] * size : (r["bucket"] + 1) * size] = r["payload"]
+        return spark.sparkContext.broadcast(bytes(bits))
+
+    table = filled(docs.mapInArrow(_hash_blocks, blob).repartition("bucket").mapInArrow(_filter_blocks, blob))
+    release(spark)
+    found = stored(docs.mapInArrow(_places(table, buckets), blob).repartition(buckets, "bucket").mapInArrow(_copies, "bucket int, kind int, payload binary"))
+    places = filled(found.where("kind = 1").select("bucket", "payload").repartition("bucket").mapInArrow(_place_blocks, blob))
+    release(spark)
+    copies = found.where("kind = 0").select("payload").mapInArrow(_copy_ranges, ranges)
+    return copies.union(docs.mapInArrow(_runs(table, places, buckets), blob).repartition(buckets, "bucket").mapInArrow(_repeats, ranges))
 
 
 def _joined(spans: list) -> list[tuple[int, int]]:
