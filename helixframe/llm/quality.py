@@ -138,10 +138,10 @@ def fit(rows: DataFrame, features: int = 128, ridge: float = 1e-3, width: float
     b = rng.uniform(0, 2 * np.pi, features)
     rows = rows.where("label is not null and statistics is not null")
     train = rows.where("not calibrate")
-    # whole numbers again, so that means don't depend on the order of summation
-    sums = [F.sum((F.col("statistics")[i] * k).cast("decimal(20,0)") if k else F.lit(1)) for i in range(STATISTICS) for k in (1e6,)]
-    squares = [F.sum((F.pow(F.col("statistics")[i], 2) * 1e6).cast("decimal(20,0)")) for i in range(STATISTICS)]
-    got = train.agg(F.count("*"), *sums, *squares).first()
+    # sums of whole numbers again: millionths of the statistics and of their squares
+    whole = lambda x: F.sum((x * 1e6).cast("decimal(20,0)"))
+    columns = [F.col("statistics")[i] for i in range(STATISTICS)]
+    got = train.agg(F.count("*"), *map(whole, columns), *[whole(c * c) for c in columns]).first()
     n = got[0]
     values = np.array([float(v or 0) for v in got[1:]]) / 1e6 / max(n, 1)
     mean = values[:STATISTICS]
@@ -164,7 +164,7 @@ def fit(rows: DataFrame, features: int = 128, ridge: float = 1e-3, width: float
 
     cells = train.select("statistics", F.col("label").cast("int").alias("label")).mapInArrow(partial, "i int, j int, v long")
     a = np.zeros((features + 1, features + 2))
-    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).toLocalIterator():
+    for r in cells.groupBy("i", "j").agg(F.sum("v").alias("v")).toLocalIterator():  # as many rows as the matrix has entries
         a[r.i, r.j] = r.v
     gram = np.triu(a[:, :-1]) + np.triu(a[:, :-1], 1).T
     weights = np.linalg.solve(gram / FIXED**2 + np.eye(features + 1) * ridge * n / features, a[:, -1] / FIXED)

@@ -83,7 +83,6 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     """Hashes of runs of k words of each text (of the whole text where it has fewer, but some), and their first index."""
     n = np.diff(first)
     rolled = np.zeros(len(words), np.uint64)
-    short = np.repeat(n < k, n)
     if len(words) >= k:
         span = len(words) - k + 1
         for j in range(k):
@@ -95,7 +94,6 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
             h = np.uint64((int(h) * int(SHINGLE_BASE) + int(w)) & (2**64 - 1))
         rolled[first[i]] = h
         keep[first[i]] = True
-    del short
     out = mix(rolled[keep])
     return out, np.searchsorted(np.flatnonzero(keep), first)
 
