@@ -309,6 +309,12 @@ def a2_code_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.code_books(huffman.byte_frequencies(_docs(spark, sf_dir, "lang"), "lang", order="doc_id"), "lang")
 
 
+@_query("select lang, count(distinct code) as n_codes, 1.0::double as kraft_sum from (select lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as code from documents) group by lang")
+def a2_complete_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of a language has a code, and the codes leave no bit string over: 2^-length sums to 1."""
+    return a2_code_books(spark, sf_dir).groupBy("lang").agg(F.count("code").alias("n_codes"), F.sum(F.pow(F.lit(2.0), -F.length("code"))).alias("kraft_sum"))
+
+
 @_query()
 def a3_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.code_lengths(a2_code_books(spark, sf_dir), "lang")
@@ -319,6 +325,12 @@ def a4_nucleotides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.nucleotide_counts(_dna(spark, sf_dir, "lang"), "lang")
 
 
+@_query()
+def j1_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = huffman.encode(_docs(spark, sf_dir, "lang"), "lang", order="doc_id")
+    return coded.select("doc_id", F.length("content").cast("long").alias("n_bytes"), (F.length("dna") * 2 - F.col("padding")).cast("long").alias("n_bits"))
+
+
 def _triple_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = jobs.encode_table(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("name"), "content"), fec="triple_repeat", add_parity=True)
     return jobs.decode_table(coded.withColumn("sequence", _hurt(F.col("sequence"), F.col("id"))))
