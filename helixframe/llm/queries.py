@@ -9,7 +9,10 @@ from . import bpe, decontam, fingerprint, katz, line_dedup, minhash, pii, qualit
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one with fewer partitions than the cluster has cores is dealt out, larger ones stay as they are read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
 def vocabulary_path() -> str:
