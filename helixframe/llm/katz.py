@@ -36,6 +36,7 @@ from .text import hash_words, mix, slices
 K, HOT = 5, 1 << 16
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 SLICE = 8 << 20
+LEVEL = 4  # of compression, of what travels
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -141,7 +142,7 @@ def _rare(table):
 def _packed(*arrays: np.ndarray) -> bytes:
     planes = [(a.dtype.str, np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)) for a in arrays]
     raw = pickle.dumps(planes, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
