@@ -14,10 +14,12 @@ def encode(content: Column, gc_min: float = screen.GC_MIN, gc_max: float = scree
     The inverse is not checked: it turns GC content into 1 - GC and keeps runs, so constraints_ok tells whether what is
     returned meets the constraints.
     """
-    plain = base4.encode(content)
-    ok = screen.meets(plain, gc_min, gc_max, max_run)
-    kept = F.when(ok, plain).otherwise(base4.invert(plain))
-    return F.when(content.isNotNull(), F.struct(F.when(ok, "0").otherwise("1").alias("signal"), kept.alias("dna"), screen.meets(kept, gc_min, gc_max, max_run).alias("constraints_ok")))
+    meets = lambda dna: screen.meets(dna, gc_min, gc_max, max_run)
+    chosen = lambda dna: F.transform(F.array(meets(dna)), lambda ok: F.struct(F.when(ok, "0").otherwise("1").alias("signal"), F.when(ok, dna).otherwise(base4.invert(dna)).alias("dna")))[0]
+    checked = lambda c: F.struct(c["signal"].alias("signal"), c["dna"].alias("dna"), meets(c["dna"]).alias("constraints_ok"))
+    # arrays of one element, so that each step's value is computed once
+    coded = F.transform(F.transform(F.array(base4.encode(content)), chosen), checked)[0]
+    return F.when(content.isNotNull(), coded)
 
 
 def text(encoded: Column) -> Column:
