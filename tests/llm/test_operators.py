@@ -291,6 +291,39 @@ def test_near_lines_meet_and_are_verified(spark):
     assert (got[2] == "") == bool(np.bitwise_count(sims[0] ^ sims[1]) <= 8)
 
 
+def test_near_lines_of_8_to_50_words_are_found(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(8, 50))) for _ in range(240)]
+    near = []
+    for i, line in enumerate(base):
+        if i % 2:  # letters, one at least
+            letters = list(line)
+            for at in rng.sample([k for k, c in enumerate(letters) if c != " "], max(1, len(line) // 33)):
+                letters[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            near.append("".join(letters))
+        else:  # whole words
+            split = line.split(" ")
+            for at in rng.sample(range(len(split)), max(1, len(split) // 15)):
+                split[at] = rng.choice(words)
+            near.append(" ".join(split))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b):
+                row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    alike = [distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9) for a, b in zip(base, near)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(base + near)), SCHEMA)).collect()}
+    assert all(got[i] == line for i, line in enumerate(base))
+    gone = [got[len(base) + i] == "" for i in range(len(base))]
+    assert sum(alike) > 200 and not any(g and not a for g, a in zip(gone, alike))
+    assert sum(g for g, a in zip(gone, alike) if a) >= 0.97 * sum(alike)
+
+
 # 6: quality
 
 
