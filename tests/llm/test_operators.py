@@ -324,6 +324,15 @@ def test_near_lines_of_8_to_50_words_are_found(spark):
     assert sum(g for g, a in zip(gone, alike) if a) >= 0.97 * sum(alike)
 
 
+def test_lines_without_blanks(spark):
+    rng = random.Random(12)
+    long = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(40)), "".join(chr(rng.randint(0xE01, 0xE2E)) for _ in range(60)), "版权所有"]
+    near = [line[:20] + "x" + line[21:] for line in long[:2]]
+    rows = [(1, "\n".join(long)), (2, "\n".join(long + ["版权"])), (3, "\n".join(near + ["版权", "Read more"])), (4, "Read more\nабвгд\nабвгд")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: rows[0][1], 2: "版权", 3: "版权\nRead more", 4: rows[3][1]}  # under three words, or letters where a script has no blanks: stay
+
+
 # 6: quality
 
 
