@@ -33,7 +33,13 @@ def strip(seq: Column, k: int = BLOCK, rule: str = RULE) -> Column:
     A last block of one character is the parity of an empty one.
     """
     _check(k, rule)
-    blocks = F.regexp_extract_all(seq, F.lit(rf"(?s)(.{{1,{k + 1}}})"), F.lit(1))
+    return strip_by(seq, F.lit(k))
+
+
+def strip_by(seq: Column, k: Column) -> Column:
+    """As strip(), with a positive block length for each row."""
+    width = F.least(k.cast("long"), F.lit(2**31 - 2)) + 1  # no sequence is longer
+    blocks = F.regexp_extract_all(seq, F.concat(F.lit("(?s)(.{1,"), width.cast("string"), F.lit("})")), F.lit(1))
     body = lambda b: F.substr(b, F.lit(1), F.length(b) - 1)
     bad = F.filter(F.transform(blocks, lambda b, i: F.when(F.substr(b, F.length(b), F.lit(1)) != _sign(body(b)), i)), lambda i: i.isNotNull())
     return F.when(seq.isNotNull(), F.struct(F.array_join(F.transform(blocks, body), "").alias("sequence"), bad.alias("bad_blocks")))

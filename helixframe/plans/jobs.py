@@ -54,10 +54,8 @@ def decode_table(df: DataFrame, k: int | None = None) -> DataFrame:
     """
     meta = df.withColumn("_h", header.parse(F.col("header"))).withColumn("_v", F.when(F.col("_h.fec") == "triple_repeat", repeat.decode(F.col("sequence"))))
     meta = meta.withColumn("_dna", F.coalesce("_v.sequence", "sequence"))
-    sizes = [k] if k else [r[0] for r in meta.where("_h.parity_k > 0").select("_h.parity_k").distinct().limit(1000).collect()]  # block lengths in use
-    stripped, has = F.lit(None).cast("struct<sequence:string,bad_blocks:array<int>>"), F.col("_h.parity_rule") == parity.RULE
-    for size in sizes:
-        stripped = F.when(has & ((F.col("_h.parity_k") == size) | F.lit(bool(k))), parity.strip(F.col("_dna"), size)).otherwise(stripped)
+    size = F.lit(k) if k else F.col("_h.parity_k")
+    stripped = F.when((F.col("_h.parity_rule") == parity.RULE) & (size > 0), parity.strip_by(F.col("_dna"), size))
     meta = meta.withColumn("_p", stripped).withColumn("_dna", F.coalesce("_p.sequence", "_dna"))
     plain = meta.where("_h.method is null or _h.method <> 'huffman'")
     one = F.col("_h.method")

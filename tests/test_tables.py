@@ -132,6 +132,17 @@ def test_isolation_and_audit(spark):
     assert [r.id for r in jobs.lost(a, b).collect()] == [2]
 
 
+def test_more_block_lengths_than_a_thousand(spark):
+    dna, rows = "ATCG" * 400, []
+    for k in range(1, 1201):
+        blocks = [dna[i : i + k] for i in range(0, len(dna), k)]
+        coded = "".join(b + "AT"[(b.count("G") + b.count("C")) % 2] for b in blocks)
+        rows.append((k, f"method=base4_direct input_file=f parity_k={k} parity_rule=GC_even_A_odd_T", coded))
+    rows.append((5000, "method=base4_direct input_file=f parity_k=999999999 parity_rule=GC_even_A_odd_T", dna + "A"))
+    got = jobs.decode_table(spark.createDataFrame(rows, "id long, header string, sequence string")).collect()
+    assert len(got) == 1201 and len({bytes(r.content) for r in got}) == 1 and all(len(r.content) == 400 and r.error is None and not r.bad_blocks for r in got)
+
+
 def test_report_and_rollup(spark):
     df = spark.createDataFrame([(i, n, bytearray(c)) for i, n, c in PAYLOADS], "id long, name string, content binary")
     coded = jobs.encode_table(df, fec="triple_repeat")
