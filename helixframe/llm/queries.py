@@ -38,7 +38,10 @@ def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.resolve(warc.captures_of(_table(spark, sf_dir, "pages")))
+    captures = warc.captures_of(_table(spark, sf_dir, "pages"))
+    contents = captures.where("status = 200").select(F.col("record_id").alias("_of"), F.col("payload").alias("content"))
+    found = warc.resolve(captures.withColumn("payload", F.when(F.col("status") == 200, F.col("record_id"))))  # contents travel once, after
+    found = found.join(contents, F.coalesce("payload", "record_id") == F.col("_of"), "left").withColumn("payload", F.md5("content"))
     number = lambda c: F.substr(c, F.lit(2)).cast("long")
     headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return found.select(number(F.col("record_id")).alias("page_id"), "canonical_url", "ts", number(F.col("target_id")).alias("target_page"), "outcome", headers.alias("headers"), "payload")

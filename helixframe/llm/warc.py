@@ -64,14 +64,14 @@ def resolve(captures: DataFrame, slices: int | None = None) -> DataFrame:
 def captures_of(pages: DataFrame) -> DataFrame:
     """Captures that follow from a table of pages: for each page a full response at ts = 10 page_id, and a revisit 50,005
     later under another spelling of its URL.  The first digit of the page's MD5 decides the revisit's validators: 0-3 an
-    outdated etag, 4-7 only a Last-Modified date, 8-f the page's own etag.  The payload is the page's MD5."""
+    outdated etag, 4-7 only a Last-Modified date, 8-f the page's own etag.  The payload is the page's html."""
     md5 = F.md5(F.coalesce("html", F.lit("")))
     digit = F.substr(md5, F.lit(1), F.lit(1))
-    base = pages.select("page_id", "url", md5.alias("md5"), digit.alias("digit"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
+    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), md5.alias("md5"), digit.alias("digit"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
     day = F.concat(F.lit("day-"), F.substr("md5", F.lit(2), F.lit(6)))
     full = base.select(
         F.concat(F.lit("r"), F.col("page_id")).alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit(200).alias("status"), F.col("md5").alias("etag"), day.alias("last_modified"),
-        F.create_map(F.lit("content-length"), "size", F.lit("content-type"), F.lit("text/html"), F.lit("etag"), "md5", F.lit("last-modified"), day).alias("headers"), F.col("md5").alias("payload"),
+        F.create_map(F.lit("content-length"), "size", F.lit("content-type"), F.lit("text/html"), F.lit("etag"), "md5", F.lit("last-modified"), day).alias("headers"), F.col("html").alias("payload"),
     )
     tag = F.when(F.col("digit") < "4", "old").when(F.col("digit") >= "8", F.col("md5"))
     spelled = F.regexp_replace(F.concat(F.regexp_replace("url", "^https?://(www[.])?", "HTTP://WWW."), F.lit("#again")), "^(HTTP://WWW[.][^/]*)/", "$1:80/")

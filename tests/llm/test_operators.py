@@ -237,6 +237,12 @@ def test_revisits(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_captures_carry_the_pages_content(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<p>one</p>"), (2, "http://b.org/", None)], "page_id long, url string, html string")
+    got = {r.record_id: r.payload for r in warc.captures_of(pages).collect()}
+    assert got == {"r1": "<p>one</p>", "r2": "", "v1": None, "v2": None}
+
+
 # 5: lines
 
 
