@@ -105,8 +105,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             continue
         i = batch.schema.get_field_index(column)
         size = np.cumsum(np.maximum(pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64), 16))
-        part = size // most
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        own = np.diff(size, prepend=0)
+        long = np.flatnonzero(own > most)
+        cuts = np.unique(np.concatenate([[0, batch.num_rows], np.flatnonzero(np.diff(size // most)) + 1, long, long + 1])).tolist()
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
