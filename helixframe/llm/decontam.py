@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .recovery import only, stored
+from .recovery import BROADCAST_IDS, only, stored
 from .text import hash_words, shingles, slices
 
 LEAST, THRESHOLD = 5, 0.6
@@ -159,17 +159,24 @@ def _large(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
             d, i = (batch.column(c).to_pylist() for c in ("doc_id", "item_id"))
             yield _batch([(d[k], i[k], *_tiled(w[wa[k] : wa[k + 1]], t[ta[k] : ta[k + 1]], least)) for k in range(len(d))])
 
-    of_items = items.select(F.col("item_id").alias("id"), "text").mapInArrow(seeds, "id long, seed long").distinct().withColumnRenamed("id", "item_id")
-    of_docs = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(seeds, "id long, seed long").withColumnRenamed("id", "doc_id")
-    pairs = stored(of_docs.join(of_items, "seed").select("doc_id", "item_id").distinct())
-    there = only(docs, stored(pairs.select("doc_id").distinct()), "doc_id", "doc_id")
-    return pairs.join(there, "doc_id").join(items.select("item_id", F.col("text").alias("item_text")), "item_id").mapInArrow(tile, _PAIRS)
+    docs = docs.withColumn("dk", row_key("doc_id", "text"))
+    items = items.select(row_key("item_id", "text").alias("ik"), "item_id", F.col("text").alias("item_text"))
+    of_items = items.select(F.col("ik").alias("id"), F.col("item_text").alias("text")).mapInArrow(seeds, "id long, seed long").distinct().withColumnRenamed("id", "ik")
+    of_docs = docs.select(F.col("dk").alias("id"), "text").mapInArrow(seeds, "id long, seed long").withColumnRenamed("id", "dk")
+    pairs = stored(of_docs.join(of_items, "seed").select("dk", "ik").distinct())
+    there = only(docs, stored(pairs.select("dk").distinct()), "dk", "dk")
+    return pairs.join(there, "dk").join(items, "ik").select("doc_id", "text", "item_id", "item_text").mapInArrow(tile, _PAIRS)
+
+
+def row_key(number: str, text: str) -> Column:
+    """A hash that tells rows of different ids (null is one) or texts apart."""
+    return F.xxhash64(F.col(number), F.col(number).isNull(), F.col(text))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Pairs (doc_id, item_id, item_words, covered, n_tiles, coverage) of documents and the benchmark items they contain.
 
-    Words are compared with A-Z as a-z.  Items of fewer than `least` words, null and empty texts are in no pair.  Repeated
+    Words are compared with A-Z as a-z.  Null ids stay null, and their rows take part.  Items of fewer than `least` words, null and empty texts are in no pair.  Repeated
     rows of a document give repeated rows here; repeated items are items of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -181,7 +188,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents, all their columns, that contain no benchmark item."""
-    bad = stored(leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct())
-    side = F.broadcast(bad) if bad.count() <= 1_000_000 else bad
-    return docs.join(side, docs["doc_id"] == side["_bad"], "left_anti")
+    """Documents, all their columns, that contain no benchmark item.
+
+    Of rows with one doc_id, or none, those go whose own text contains one.
+    """
+    keyed = docs.select(row_key("doc_id", "text").alias("doc_id"), "text")
+    bad = stored(leaks(keyed, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct())
+    side = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+    return docs.join(side, row_key("doc_id", "text") == side["_bad"], "left_anti")

@@ -161,6 +161,15 @@ def _words(code: np.ndarray, rare: np.ndarray, t: Table) -> np.ndarray:
     return np.where(code >= 0, t.w[np.maximum(code, 0)], rare[np.maximum(-1 - code, 0)] if len(rare) else np.uint64(0))
 
 
+def _by_bigram(bucket: np.ndarray, h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """An order by bucket in which equal bigrams stand together; h and w are well mixed, and 25 bits of each do."""
+    pair = (h >> np.uint64(39) << np.uint64(25)) | (w >> np.uint64(39))
+    if buckets <= 1 << 14:  # bucket and pair in one number
+        return np.argsort((bucket << np.uint64(50)) | pair, kind="stable")
+    order = np.argsort(pair, kind="stable")
+    return order[np.argsort(bucket[order], kind="stable")]
+
+
 def _bigrams(table, buckets: int):
     """(bucket, payload): bigrams with the texts they stand in and how often, by bucket of their history."""
 
@@ -174,7 +183,7 @@ def _bigrams(table, buckets: int):
             rh, rw = t.rank(h), t.rank(w)
             deal = np.where(rh >= 0, t.deal[rh], np.uint64(1))
             bucket = mix(mix(h) + mix(w) % deal) % np.uint64(buckets)
-            order = np.argsort((bucket << np.uint64(50)) | (mix(h) >> np.uint64(39) << np.uint64(25)) | (mix(w) >> np.uint64(39)), kind="stable")
+            order = _by_bigram(bucket, mix(h), mix(w), buckets)
             h, w, doc, bucket, rh, rw = (x[order] for x in (h, w, doc, bucket, rh, rw))
             new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])]))
             n = np.minimum(np.diff(new, append=len(h)), 2**31 - 1).astype(np.int32)

@@ -15,10 +15,13 @@ BROADCAST_IDS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Have a checkpoint folder: the cluster's, as spark.checkpoint.dir names it; one of our own only where none is set."""
+    """Have a checkpoint folder: the cluster's, as spark.checkpoint.dir names it; one of our own only for a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def stored(df: DataFrame) -> DataFrame:

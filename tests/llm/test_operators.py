@@ -174,6 +174,10 @@ def test_leaks(spark, clashing, empty):
     for most in (decontam.BROADCAST_WORDS, 0):
         got = sorted((r.doc_id or 0, r.item_id, r.n_tiles, r.coverage) for r in decontam.leaks(df.where("doc_id is not null"), bench.where("item_id is not null"), broadcast_words=most).dropDuplicates().collect())
         assert got == [(1, 1, 1, 1.0), (2, 1, 2, 1.0), (7, 2, 1, 1.0)]
+    both = df.union(spark.createDataFrame([(None, items[5][1] + " and " + items[0][1]), (None, "clean")], SCHEMA))
+    ways = [sorted(map(str, decontam.leaks(both, bench, broadcast_words=most).collect())) for most in (decontam.BROADCAST_WORDS, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 7  # null and repeated ids, either way
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean(both, bench).collect()) == sorted((d or 0, t or "") for d, t in [*rows[2:6], (None, "clean")])
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
     assert decontam.leaks(df, bench).where("doc_id is null").count() == 1
     assert sorted(r.doc_id for r in decontam.clean(df.where("doc_id is not null"), bench).collect()) == [3, 4, 5, 6]
@@ -629,6 +633,17 @@ def test_katz(docs, hot):
         assert got[d][:5] == w[:5] and got[d][5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("buckets", [7, 1 << 14, 20_000, 100_000, 1 << 20])
+def test_bigrams_are_sorted_by_bucket_whatever_their_number(buckets):
+    rng = np.random.default_rng(buckets)
+    h, w = (rng.integers(0, 2**63, 300, dtype=np.uint64)[rng.integers(0, 300, 5000)] for _ in "hw")
+    bucket = (h + w % np.uint64(3)) % np.uint64(buckets)
+    order = katz._by_bigram(bucket, h, w, buckets)
+    assert sorted(order.tolist()) == list(range(5000)) and (np.diff(bucket[order].astype(np.int64)) >= 0).all()
+    together = [k for k, (x, y) in enumerate(zip(h[order].tolist(), w[order].tolist())) if not k or (h[order][k - 1], w[order][k - 1]) != (x, y)]
+    assert len(together) == len(set(zip(h.tolist(), w.tolist())))
+
+
 def test_katz_of_odd_tables(spark, empty, clashing):
     assert katz.scores(empty).count() == 0
     rows = [tuple(r) for r in clashing.select("doc_id", "text").collect()]
