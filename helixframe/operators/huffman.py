@@ -47,7 +47,7 @@ def code_books(frequencies: DataFrame, group: str) -> DataFrame:
     """(group, byte, code) from `byte_frequencies`; a group has 256 rows at most."""
 
     def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=pdf["first"].map(lambda r: (r["o"], r["p"]))).sort_values("key")
+        pdf = pdf.assign(key=pdf["first"].map(lambda r: (r["o"] is not None, r["o"], r["p"]))).sort_values("key")
         return pd.DataFrame({group: pdf[group], "byte": pdf["byte"].astype("int32"), "code": codes_of(pdf["n"].tolist())})
 
     kind = frequencies.schema[group].dataType.simpleString()
@@ -75,9 +75,13 @@ def bits_of(content: Column, codes: Column) -> Column:
 
 
 def encode(df: DataFrame, group: str, content: str = "content", order: str | None = None) -> DataFrame:
-    """df with dna, table MAP<STRING, STRING> and padding INT added; an empty payload has '', an empty table and 0."""
+    """df with dna, table MAP<STRING, STRING> and padding INT added; an empty payload has '', an empty table and 0.
+
+    A null group is a group.
+    """
     books = _slots(code_books(byte_frequencies(df, group, content, order), group), group)
-    joined = df.join(books, group, "left").withColumn("_bits", F.when(F.length(content) > 0, bits_of(F.col(content), F.col("_codes"))).when(F.col(content).isNotNull(), ""))
+    books = books.withColumnRenamed(group, "_group")
+    joined = df.join(books, df[group].eqNullSafe(books["_group"]), "left").drop("_group").withColumn("_bits", F.when(F.length(content) > 0, bits_of(F.col(content), F.col("_codes"))).when(F.col(content).isNotNull(), ""))
     table = F.when(F.length(content) > 0, F.col("table")).otherwise(F.expr("map()").cast("map<string,string>"))
     return joined.withColumn("dna", base4.pack_bits(F.col("_bits"))).withColumn("padding", base4.pack_padding(F.col("_bits"))).withColumn("table", table).drop("_bits", "_codes")
 
@@ -98,7 +102,7 @@ def _walk(dna: str | None, table: dict[str, str] | None, padding: int | None) ->
         return None, "padding bits are not zero"
     bits, table = bits[: len(bits) - padding], table or {}
     if not bits:
-        return b"", None
+        return (None, "a code table without a sequence") if table else (b"", None)
     if not table:
         return None, "no code table"
     named = {code: int(byte) for byte, code in table.items()}

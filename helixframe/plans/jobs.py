@@ -49,34 +49,39 @@ def decode_table(df: DataFrame, k: int | None = None) -> DataFrame:
     """(id, header, sequence) to (id, method, fec, content, corrected, uncorrectable, bad_blocks, error).
 
     Each row is decoded as its own header says; k overrides the header's block length.  Rows that can't be decoded have an
-    error and no content, and the others go on.  A triple-repeat sequence of wrong length is decoded as it is, and bytes that
-    Hamming decoding refuses are returned undecoded.
+    error and no content, and the others go on; an unknown parity rule, or one without a positive block length, is an error.  A
+    triple-repeat sequence of wrong length is decoded as it is, and bytes that Hamming decoding refuses are returned undecoded.
     """
     meta = df.withColumn("_h", header.parse(F.col("header"))).withColumn("_v", F.when(F.col("_h.fec") == "triple_repeat", repeat.decode(F.col("sequence"))))
     meta = meta.withColumn("_dna", F.coalesce("_v.sequence", "sequence"))
-    size = F.lit(k) if k else F.col("_h.parity_k")
+    size, rule = F.lit(k) if k else F.col("_h.parity_k"), F.col("_h.parity_rule")
     stripped = F.when((F.col("_h.parity_rule") == parity.RULE) & (size > 0), parity.strip_by(F.col("_dna"), size))
     meta = meta.withColumn("_p", stripped).withColumn("_dna", F.coalesce("_p.sequence", "_dna"))
     plain = meta.where("_h.method is null or _h.method <> 'huffman'")
     one = F.col("_h.method")
     content = F.when(one == "base4_direct", base4.decode(F.col("_dna"))).when(one == "gc_balanced", balanced.decode(F.col("_dna")))
+    bad = F.when(rule.isNotNull() & (rule != parity.RULE), F.concat(F.lit("unknown parity rule "), rule)).when(rule.isNotNull() & ~F.coalesce(size > 0, F.lit(False)), "the parity block length is not positive")
     error = F.when(one == "base4_direct", base4.error(F.col("_dna"))).when(one == "gc_balanced", balanced.error(F.col("_dna"))).otherwise(F.concat(F.lit("unknown method "), F.coalesce(one, F.lit("(none)"))))
     plain = plain.select("id", "_h", "_v", "_p", content.alias("content"), error.alias("error"))
     coded = meta.where("_h.method = 'huffman'").select("id", "_h", "_v", "_p", F.col("_dna").alias("dna"), F.col("_h.huffman_params.table").alias("table"), F.col("_h.huffman_params.padding").alias("padding"))
     whole = coded.withColumn("id", F.struct("id", "_h", "_v", "_p"))
     walked = huffman.decode(whole).select("id.*", "content", "error")
-    both = plain.unionByName(walked)
+    both = plain.unionByName(walked).withColumn("error", F.coalesce(bad, "error")).withColumn("content", F.when(bad.isNull(), F.col("content")))
     fixed = both.withColumn("_f", F.when(F.col("_h.fec") == "hamming_7_4", hamming.decode(F.col("content"), F.coalesce("_h.fec_padding_bits", F.lit(0)))))
     corrected = F.coalesce("_v.corrected", "_f.corrected", F.lit(0))
     return fixed.select("id", F.col("_h.method").alias("method"), F.col("_h.fec").alias("fec"), F.coalesce("_f.content", "content").alias("content"), corrected.alias("corrected"), F.coalesce("_v.uncorrectable", F.lit(0)).alias("uncorrectable"), F.coalesce("_p.bad_blocks", F.array().cast("array<int>")).alias("bad_blocks"), "error")
 
 
 def audit(original: DataFrame, decoded: DataFrame, key: str = "id") -> DataFrame:
-    """(id, status) of a round trip: same, differs, lost (not decoded) or extra (not among the originals)."""
+    """(id, status) of a round trip: same, differs, lost (not decoded) or extra (not among the originals).
+
+    A null key is a key.  Keys should be unique: rows of a repeated one meet each other's.
+    """
     a = original.select(key, F.sha2("content", 256).alias("_a"), F.lit(1).alias("_in"))
     b = decoded.select(key, F.sha2("content", 256).alias("_b"), F.lit(1).alias("_out"))
     status = F.when(F.col("_in").isNull(), "extra").when(F.col("_out").isNull(), "lost").when(F.col("_a").eqNullSafe(F.col("_b")), "same").otherwise("differs")
-    return a.join(b, key, "full_outer").select(key, status.alias("status"))
+    b = b.withColumnRenamed(key, "_key")
+    return a.join(b, a[key].eqNullSafe(b["_key"]), "full_outer").select(F.coalesce(key, "_key").alias(key), status.alias("status"))
 
 
 def lost(original: DataFrame, decoded: DataFrame, key: str = "id") -> DataFrame:

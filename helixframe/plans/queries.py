@@ -90,12 +90,12 @@ def s1_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def s1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.read_files(spark, [f"{sf_dir}/documents.parquet"]).select("length", metrics.base_name(F.col("path")).alias("name"))
+    return payloads.read_files(spark, [f"{sf_dir}/documents.parquet"]).select("length", metrics.base_name(F.col("path")).alias("name"), _sha("content").alias("content_sha256"))
 
 
 @_query()
 def s3_several_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.read_files(spark, [f"{sf_dir}/{t}.parquet" for t in ("documents", "pages", "benchmark")]).select("length", metrics.base_name(F.col("path")).alias("name"))
+    return payloads.read_files(spark, [f"{sf_dir}/{t}.parquet" for t in ("documents", "pages", "benchmark")]).select("length", metrics.base_name(F.col("path")).alias("name"), _sha("content").alias("content_sha256"))
 
 
 def _fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,10 +357,11 @@ def w2_homopolymers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.homopolymer_regions(_dna(spark, sf_dir), "doc_id")
 
 
-@_query("select doc_id, 'doc' || doc_id || ' lang=' || lang as header from documents")
+@_query(f"{WITH_DNA} select doc_id, 'doc' || doc_id || ' lang=' || lang as header, sha256(dna) as sequence_sha256 from d")
 def w3_first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(fasta.to_text(F.col("header"), F.substr("dna", F.lit(1), F.lit(400))), F.lit(">second\nATGC\n"))
-    return fasta.records(_fasta(spark, sf_dir).select("doc_id", text.alias("value")), keep=("doc_id",)).where("record_no = 0").select("doc_id", "header")
+    text = F.concat(fasta.to_text(F.col("header"), F.col("dna")), F.lit(">second\nATGC\n"))
+    first = fasta.records(_fasta(spark, sf_dir).select("doc_id", text.alias("value")), keep=("doc_id",)).where("record_no = 0")
+    return first.select("doc_id", "header", _sha("sequence").alias("sequence_sha256"))
 
 
 def _round_trip(method: str, fec: str | None, add_parity: bool) -> Query:

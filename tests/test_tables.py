@@ -159,3 +159,25 @@ def test_stream(spark, tmp_path):
     files.encode_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert row.sequence == "TACATCCT" and "input_file=a.bin" in row.header
+
+
+def test_null_keys_keep_their_payloads(spark):
+    rows = spark.createDataFrame([(1, "en", b"hello"), (None, None, b"hello"), (2, None, b"abc"), (3, "de", b"")], "id long, lang string, content binary")
+    for group in ("id", "lang"):
+        coded = huffman.encode(rows, group, order="id")
+        got = sorted((r.id or 0, bytes(r.content), r.error) for r in huffman.decode(coded).collect())
+        assert got == [(0, b"hello", None), (1, b"hello", None), (2, b"abc", None), (3, b"", None)]
+    decoded = jobs.decode_table(jobs.encode_table(rows.withColumn("name", F.lit("x")), "huffman"))
+    assert {(r.id, r.status) for r in jobs.audit(rows, decoded).collect()} == {(i, "same") for i in (None, 1, 2, 3)}
+
+
+def test_headers_that_cannot_be_followed_are_errors(spark):
+    ok = "method=base4_direct input_file=x parity_k=7 parity_rule=GC_even_A_odd_T"
+    heads = [ok, ok.replace("GC_even_A_odd_T", "other"), ok.replace("parity_k=7", "parity_k=0"), ok.replace("parity_k=7 ", "")]
+    sequence = jobs.encode_table(spark.createDataFrame([(0, "x", b"ABCDEFG")], "id long, name string, content binary"), add_parity=True).first().sequence
+    rows = spark.createDataFrame([(i, h, sequence) for i, h in enumerate(heads)], "id long, header string, sequence string")
+    got = {r.id: r for r in jobs.decode_table(rows).collect()}
+    assert bytes(got[0].content) == b"ABCDEFG" and got[0].error is None
+    assert all(got[i].content is None and got[i].error for i in (1, 2, 3))
+    empty = spark.createDataFrame([(1, "", {"65": "0"}, 0), (2, "", {}, 0)], "id long, dna string, table map<string,string>, padding int")
+    assert {r.id: (r.content, r.error is None) for r in huffman.decode(empty).collect()} == {1: (None, False), 2: (b"", True)}
