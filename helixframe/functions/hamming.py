@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base4 import HEX, replaced
 
@@ -27,7 +30,6 @@ def _nearest(word: int) -> tuple[str, str]:
 DIGITS, FLAGS = ("".join(x) for x in zip(*map(_nearest, range(128))))
 #: Letters that stand for digits while these are replaced by bits.
 _LETTERS = "ghijklmnopqrstuv"
-_BITS = {letter: f"{i:04b}" for i, letter in enumerate(_LETTERS)}
 
 
 def _to_bytes(bits: Column) -> Column:
@@ -51,16 +53,31 @@ def error(encoded: Column, padding: Column) -> Column:
     return F.when(~padding.between(0, 7), "padding is not within 0..7").when((n < 0) | (n % 7 != 0), "bits are not a multiple of 7")
 
 
+#: By word: the half byte it decodes to, and whether a bit was corrected.
+_NIBBLE, _FLIPPED = np.array([int(d, 16) for d in DIGITS], np.uint8), np.array([f == "1" for f in FLAGS])
+
+
+def _corrected(encoded: bytes, padding: int) -> tuple[bytes, int]:
+    """Payload and number of words with a flipped bit, of one value that `error` lets pass."""
+    bits = np.unpackbits(np.frombuffer(encoded, np.uint8), count=len(encoded) * 8 - padding)
+    words = np.packbits(bits.reshape(-1, 7), axis=1)[:, 0] >> 1
+    nibbles = _NIBBLE[words]
+    if len(nibbles) % 2:
+        nibbles = np.append(nibbles, np.uint8(0))
+    return (nibbles[::2] << 4 | nibbles[1::2]).tobytes(), int(_FLIPPED[words].sum())
+
+
+@F.arrow_udf(T.StructType().add("content", T.BinaryType()).add("corrected", T.IntegerType()))
+def _decoded(encoded: pa.Array, padding: pa.Array) -> pa.Array:
+    out = [(None, None) if e.as_py() is None else _corrected(e.as_py(), p) for e, p in zip(encoded, padding.to_pylist())]
+    content, corrected = zip(*out) if out else ((), ())
+    return pa.StructArray.from_arrays([pa.array(content, pa.binary()), pa.array(corrected, pa.int32())], ["content", "corrected"])
+
+
 def decode(encoded: Column, padding: Column) -> Column:
     """(content BINARY, corrected INT), corrected counting words with a flipped bit; null where `error` says why.
 
     An odd number of half bytes gets a zero half byte at the end.
     """
-    bits = replaced(_to_letters(encoded), _BITS)
-    n = F.greatest(F.length(encoded) * 8 - padding, F.lit(0))
-    words = F.regexp_extract_all(F.substr(bits, F.lit(1), n), F.lit("(.{7})"), F.lit(1))
-    place = F.transform(words, lambda w: F.conv(w, 2, 10).cast("int") + 1)
-    digits = F.array_join(F.transform(place, lambda i: F.substr(F.lit(DIGITS), i, F.lit(1))), "")
-    whole = F.concat(digits, F.when(n % 14 == 7, "0").otherwise(""))
-    corrected = F.size(F.filter(place, lambda i: F.substr(F.lit(FLAGS), i, F.lit(1)) == "1"))
-    return F.when(error(encoded, padding).isNull() & encoded.isNotNull(), F.struct(F.unhex(whole).alias("content"), corrected.alias("corrected")))
+    fit = error(encoded, padding).isNull() & encoded.isNotNull() & padding.isNotNull()
+    return F.when(fit, _decoded(F.when(fit, encoded), padding))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The only rule, A after an even number and T after an odd one, and the default block length.
 RULE, BLOCK = "GC_even_A_odd_T", 7
@@ -36,10 +39,27 @@ def strip(seq: Column, k: int = BLOCK, rule: str = RULE) -> Column:
     return strip_by(seq, F.lit(k))
 
 
+def _stripped(text: str, k: int) -> tuple[str, np.ndarray]:
+    plain = text.isascii()
+    codes = np.frombuffer(text.encode() if plain else text.encode("utf-32-le"), np.uint8 if plain else np.uint32)
+    if not len(codes):
+        return "", np.zeros(0, np.int64)
+    last = np.minimum(np.arange(k, len(codes) + k, k + 1), len(codes) - 1)  # places of the parity nucleotides
+    odd = np.concatenate([[0], np.cumsum((codes == ord("G")) | (codes == ord("C")))])
+    n = odd[last] - odd[np.concatenate([[0], last[:-1] + 1])]
+    body = np.delete(codes, last).tobytes()
+    return body.decode("ascii" if plain else "utf-32-le"), np.flatnonzero(codes[last] != np.where(n % 2 == 0, ord("A"), ord("T")))
+
+
+def stripped(seq: pa.Array, k: pa.Array) -> pa.Array:
+    """(sequence, bad_blocks) of a batch, both null where a sequence or its block length is null, or the length not positive."""
+    out = [(None, None) if s.as_py() is None or not n or n < 0 else _stripped(s.as_py(), n) for s, n in zip(seq, k.to_pylist())]
+    return pa.StructArray.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([b for _, b in out], pa.list_(pa.int32()))], ["sequence", "bad_blocks"])
+
+
+_strip = F.arrow_udf(stripped, T.StructType().add("sequence", T.StringType()).add("bad_blocks", T.ArrayType(T.IntegerType())))
+
+
 def strip_by(seq: Column, k: Column) -> Column:
-    """As strip(), with a positive block length for each row."""
-    width = F.least(k.cast("long"), F.lit(2**31 - 2)) + 1  # no sequence is longer
-    blocks = F.regexp_extract_all(seq, F.concat(F.lit("(?s)(.{1,"), width.cast("string"), F.lit("})")), F.lit(1))
-    body = lambda b: F.substr(b, F.lit(1), F.length(b) - 1)
-    bad = F.filter(F.transform(blocks, lambda b, i: F.when(F.substr(b, F.length(b), F.lit(1)) != _sign(body(b)), i)), lambda i: i.isNotNull())
-    return F.when(seq.isNotNull(), F.struct(F.array_join(F.transform(blocks, body), "").alias("sequence"), bad.alias("bad_blocks")))
+    """As strip(), with a block length for each row; null for a null sequence, fields are null where it isn't positive."""
+    return F.when(seq.isNotNull(), _strip(seq, F.least(k.cast("long"), F.lit(2**31 - 2))))  # no sequence is longer

@@ -1,4 +1,4 @@
-"""Huffman coding of payloads, with one code book for each group of rows (a document, a language, the whole table)."""
+"""Huffman coding of payloads, with a code book for each row, or for each group of rows (a language, the whole table)."""
 
 from __future__ import annotations
 
@@ -6,24 +6,65 @@ import heapq
 import itertools
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import base4
+from ..functions import flat
+
+#: Bytes of a payload that are turned into bits at once, and bits that one table lookup decodes.
+CHUNK, LOOKUP = 1 << 16, 12
+_LETTERS = np.frombuffer(b"ATCG", np.uint8)
+_NONE = np.iinfo(np.int64).max
+
+
+def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how often, where first) each byte occurs in each value, as matrices of values by bytes; no place is `_NONE`."""
+    rows = len(offsets) - 1
+    row = np.repeat(np.arange(rows), np.diff(offsets))
+    key = row * 256 + data
+    first = np.full(rows * 256, _NONE)
+    first[key[::-1]] = (np.arange(len(data)) - offsets[row])[::-1]  # of places with one key the last written stays, which is the first
+    return np.bincount(key, minlength=rows * 256).reshape(rows, 256), first.reshape(rows, 256)
 
 
 def byte_frequencies(df: DataFrame, group: str, content: str = "content", order: str | None = None) -> DataFrame:
     """(group, byte, n, first): how often each byte occurs in a group, and where it occurs first.
 
-    Places count within the row; in groups of several rows `order`, a column, says which row is earlier.
+    Places count within the row; in groups of several rows `order`, a column of numbers, texts or dates, says which row is
+    earlier.  Bytes are counted by batches, so that 256 rows for each group of a batch are what is shuffled at most.
     """
-    at = F.struct(F.col(order) if order else F.lit(0), F.col("pos")).alias("at")
-    hexed = F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1))
-    rows = df.select(group, *([order] if order and order != group else []), F.posexplode(hexed).alias("pos", "code"))
-    return rows.select(group, F.col("code"), at).groupBy(group, "code").agg(F.count("*").alias("n"), F.min("at").alias("first")).select(group, F.conv("code", 16, 10).cast("int").alias("byte"), "n", "first")
+    cols = [F.col(group).alias("g"), (F.col(order) if order else F.lit(0)).alias("o"), F.col(content).alias("c")]
+    narrow = df.select(*cols)
+    g, o = (narrow.schema[c].dataType.simpleString() for c in "go")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = flat.large(batch.column("c"))
+            for start, past in flat.pieces(column):
+                groups = batch.column("g").slice(start, past - start).dictionary_encode("encode")
+                orders = batch.column("o").slice(start, past - start)
+                rank = pc.rank(orders, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+                n, first = _counted(*flat.values(column.slice(start, past - start)))
+                which = groups.indices.to_numpy()
+                total = np.zeros((len(groups.dictionary), 256), np.int64)
+                early = np.full(total.shape, _NONE)
+                np.add.at(total, which, n)
+                np.minimum.at(early, which, np.where(n > 0, rank[:, None] << 31 | first, _NONE))  # a value has fewer than 2^31 bytes
+                where, byte = np.nonzero(total)
+                at = early[where, byte]
+                row_of = np.zeros(rank.max(initial=-1) + 1, np.int64)
+                row_of[rank] = np.arange(len(rank))
+                out = [groups.dictionary.take(pa.array(where)), pa.array(byte.astype(np.int32)), pa.array(total[where, byte]), orders.take(pa.array(row_of[at >> 31])), pa.array((at & (1 << 31) - 1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(out, ["g", "byte", "n", "o", "pos"])
+
+    parts = narrow.mapInArrow(counts, f"g {g}, byte int, n long, o {o}, pos int")
+    return parts.groupBy(F.col("g").alias(group), "byte").agg(F.sum("n").alias("n"), F.min(F.struct("o", "pos")).alias("first"))
 
 
 def codes_of(weights: list[int]) -> list[str]:
@@ -43,16 +84,16 @@ def codes_of(weights: list[int]) -> list[str]:
     return out
 
 
-def code_books(frequencies: DataFrame, group: str) -> DataFrame:
-    """(group, byte, code) from `byte_frequencies`; a group has 256 rows at most."""
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _codes(weights: pa.Array) -> pa.Array:
+    return pa.array([codes_of(w) if w else w for w in weights.to_pylist()], pa.list_(pa.string()))
 
-    def book(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=pdf["first"].map(lambda r: (r["o"] is not None, r["o"], r["p"]))).sort_values("key")
-        return pd.DataFrame({group: pdf[group], "byte": pdf["byte"].astype("int32"), "code": codes_of(pdf["n"].tolist())})
 
-    kind = frequencies.schema[group].dataType.simpleString()
-    named = frequencies.withColumn("first", F.struct(F.col("first").getField(frequencies.schema["first"].dataType.names[0]).alias("o"), F.col("first").getField("pos").alias("p")))
-    return named.groupBy(group).applyInPandas(book, f"{group} {kind}, byte int, code string")
+def code_books(frequencies: DataFrame, group: str) -> DataFrame:
+    """(group, byte, code) from `byte_frequencies`; a group has 256 rows at most."""
+    books = frequencies.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("first", "byte", "n"))).alias("_book"))
+    coded = books.select(group, "_book", _codes(F.col("_book.n")).alias("_codes"))
+    return coded.select(group, F.explode(F.arrays_zip(F.col("_book.byte").alias("byte"), F.col("_codes").alias("code"))).alias("_e")).select(group, "_e.byte", "_e.code")
 
 
 def code_lengths(books: DataFrame, *by: str) -> DataFrame:
@@ -60,64 +101,170 @@ def code_lengths(books: DataFrame, *by: str) -> DataFrame:
     return books.groupBy(*by, F.length("code").alias("length")).agg(F.count("*").alias("n_codes")).orderBy(*by, "length")
 
 
+def _spelled(book: dict[int, str]) -> tuple[np.ndarray, np.ndarray]:
+    """By byte, the bits of its code and which of the columns these fill."""
+    bits = np.zeros((256, max(map(len, book.values()), default=1)), np.uint8)
+    used = np.zeros(bits.shape, bool)
+    for byte, code in book.items():
+        bits[byte, : len(code)] = np.frombuffer(code.encode(), np.uint8) - 48
+        used[byte, : len(code)] = True
+    return bits, used
+
+
+@lru_cache(64)
+def _parsed(codes: str) -> tuple[np.ndarray, np.ndarray]:
+    return _spelled({i: code for i, code in enumerate(codes.split(",")) if code})
+
+
+def _to_dna(content: np.ndarray, bits: np.ndarray, used: np.ndarray) -> tuple[str, int]:
+    """Nucleotides of the codes of all bytes, and how many zero bits were added."""
+    parts = [bits[c][used[c]] for c in (content[i : i + CHUNK] for i in range(0, len(content), CHUNK))]
+    padding = sum(map(len, parts)) % 2
+    whole = np.concatenate([*parts, np.zeros(padding, np.uint8)])
+    return _LETTERS[whole[::2] << 1 | whole[1::2]].tobytes().decode(), padding
+
+
+@F.arrow_udf(T.StructType().add("dna", T.StringType()).add("padding", T.IntegerType()))
+def _encoded(content: pa.Array, codes: pa.Array) -> pa.Array:
+    out = [(None, None) if c.as_py() is None else _to_dna(np.frombuffer(c.as_py(), np.uint8), *_parsed(k or "")) for c, k in zip(content, codes.to_pylist())]
+    return pa.StructArray.from_arrays([pa.array([d for d, _ in out], pa.string()), pa.array([p for _, p in out], pa.int32())], ["dna", "padding"])
+
+
+_OWN = pa.map_(pa.string(), pa.string())
+
+
+@F.arrow_udf(T.StructType().add("dna", T.StringType()).add("table", T.MapType(T.StringType(), T.StringType())).add("padding", T.IntegerType()))
+def _encoded_alone(content: pa.Array) -> pa.Array:
+    dna, tables, paddings = [], [], []
+    for value in content:
+        if value.as_py() is None:
+            dna.append(None), tables.append([]), paddings.append(None)
+            continue
+        data = np.frombuffer(value.as_py(), np.uint8)
+        n, first = _counted(data, np.array([0, len(data)]))
+        symbols = np.flatnonzero(n[0])
+        symbols = symbols[np.argsort(first[0][symbols])]
+        book = dict(zip(symbols.tolist(), codes_of(n[0][symbols].tolist()))) if len(symbols) else {}
+        text, padding = _to_dna(data, *_spelled(book))
+        dna.append(text), tables.append([(str(b), book[b]) for b in sorted(book)]), paddings.append(padding)
+    return pa.StructArray.from_arrays([pa.array(dna, pa.string()), pa.array(tables, _OWN), pa.array(paddings, pa.int32())], ["dna", "table", "padding"])
+
+
+def encode_each(content: Column) -> Column:
+    """(dna, table MAP<STRING, STRING>, padding INT), with a code book of each payload's own: narrow, and fit for streams.
+
+    An empty payload has '', an empty table and 0; a null one has null, an empty table and null.
+    """
+    return _encoded_alone(content)
+
+
 def _slots(books: DataFrame, group: str) -> DataFrame:
-    """One row for each group: codes by byte, 256 slots, and the table with the bytes as text."""
+    """One row for each group: codes by byte, 256 of them joined by commas, and the table with the bytes as text."""
     table = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("byte"), F.col("code")))))
     rows = books.groupBy(group).agg(table.alias("_map"))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.element_at("_map", b))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.element_at("_map", b), F.lit("")))
     named = F.map_from_entries(F.transform(F.map_entries("_map"), lambda e: F.struct(e["key"].cast("string"), e["value"])))
-    return rows.select(group, slots.alias("_codes"), named.alias("table"))
-
-
-def bits_of(content: Column, codes: Column) -> Column:
-    """The codes of all bytes, in order."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1)), lambda b: F.element_at(codes, F.conv(b, 16, 10).cast("int") + 1)), "")
+    return rows.select(F.col(group).alias("_group"), F.array_join(slots, ",").alias("_codes"), named.alias("table"))
 
 
 def encode(df: DataFrame, group: str, content: str = "content", order: str | None = None) -> DataFrame:
     """df with dna, table MAP<STRING, STRING> and padding INT added; an empty payload has '', an empty table and 0.
 
-    A null group is a group.
+    All payloads of a group share its code book; a null group is a group.
     """
     books = _slots(code_books(byte_frequencies(df, group, content, order), group), group)
-    books = books.withColumnRenamed(group, "_group")
-    joined = df.join(books, df[group].eqNullSafe(books["_group"]), "left").drop("_group").withColumn("_bits", F.when(F.length(content) > 0, bits_of(F.col(content), F.col("_codes"))).when(F.col(content).isNotNull(), ""))
+    joined = df.join(books, df[group].eqNullSafe(books["_group"]), "left").drop("_group").withColumn("_e", _encoded(F.col(content), F.col("_codes")))
     table = F.when(F.length(content) > 0, F.col("table")).otherwise(F.expr("map()").cast("map<string,string>"))
-    return joined.withColumn("dna", base4.pack_bits(F.col("_bits"))).withColumn("padding", base4.pack_padding(F.col("_bits"))).withColumn("table", table).drop("_bits", "_codes")
+    return joined.withColumn("dna", F.col("_e.dna")).withColumn("padding", F.col("_e.padding")).withColumn("table", table).drop("_e", "_codes")
+
+
+class _Book:
+    """A code table by lookup: of the next bits, the byte they begin with and its length; longer codes by name."""
 
+    def __init__(self, table: dict[str, str]):
+        self.byte, self.length = np.zeros(1 << LOOKUP, np.uint8), np.zeros(1 << LOOKUP, np.uint8)
+        self.long: dict[str, int] = {}
+        named = {code: int(byte) for byte, code in table.items() if re.fullmatch("[01]+", code or "")}
+        if len(named) < len(table) or any(not 0 <= b <= 255 for b in named.values()):
+            raise ValueError("bad code table")
+        for code, byte in sorted(named.items(), key=lambda e: -len(e[0])):  # where one code begins another, the shorter holds
+            if len(code) > LOOKUP:
+                self.long[code] = byte
+                continue
+            at = int(code, 2) << LOOKUP - len(code)
+            span = slice(at, at + (1 << LOOKUP - len(code)))
+            self.byte[span], self.length[span] = byte, len(code)
+        self.longest = max(map(len, self.long), default=0)
 
-_TO_BITS = str.maketrans({"A": "00", "T": "01", "C": "10", "G": "11"})
+    def walk(self, bits: np.ndarray) -> bytes | None:
+        """Bytes of all codes from the first bit to the last; None where bits are left over."""
+        n = len(bits)
+        padded = np.concatenate([bits, np.zeros(LOOKUP, np.uint8)])
+        ahead = np.zeros(n, np.uint16)
+        for i in range(LOOKUP):
+            ahead = ahead << 1 | padded[i : n + i]
+        steps = self.length[ahead].tobytes()
+        places, others, p = [], {}, 0
+        while p < n:
+            step = steps[p]
+            if not step:
+                code = "".join(map(str, bits[p : p + self.longest]))
+                fit = next((code[:k] for k in range(LOOKUP + 1, len(code) + 1) if code[:k] in self.long), None)
+                if fit is None:
+                    return None
+                others[len(places)], step = self.long[fit], len(fit)
+            places.append(p)
+            p += step
+        if p > n:
+            return None
+        out = self.byte[ahead[places]]
+        for i, byte in others.items():
+            out[i] = byte
+        return out.tobytes()
 
 
-def _walk(dna: str | None, table: dict[str, str] | None, padding: int | None) -> tuple[bytes | None, str | None]:
-    """Payload and error of one sequence; codes are found by one alternation, as none is the beginning of another."""
+@lru_cache(64)
+def _book(entries: tuple[tuple[str, str], ...]) -> _Book:
+    return _Book(dict(entries))
+
+
+_BITS_OF = np.full(256, 4, np.uint8)
+_BITS_OF[_LETTERS] = range(4)
+
+
+def _walk(dna: str | None, table: tuple[tuple[str, str], ...] | None, padding: int | None) -> tuple[bytes | None, str | None]:
+    """Payload and error of one sequence."""
     if dna is None:
         return None, None
-    if re.search("[^ATCG]", dna):
+    pairs = _BITS_OF[np.frombuffer(dna.encode(), np.uint8)]
+    if pairs.max(initial=0) > 3:
         return None, "invalid nucleotide"
-    bits, padding = dna.translate(_TO_BITS), padding or 0
+    bits, padding = np.stack([pairs >> 1, pairs & 1], axis=1).ravel(), padding or 0
     if not 0 <= padding <= min(1, len(bits)):
         return None, "padding is not 0 or 1 bit of the sequence"
-    if padding and bits[-padding:].strip("0"):
+    if padding and bits[-1]:
         return None, "padding bits are not zero"
-    bits, table = bits[: len(bits) - padding], table or {}
-    if not bits:
+    bits = bits[: len(bits) - padding]
+    if not len(bits):
         return (None, "a code table without a sequence") if table else (b"", None)
     if not table:
         return None, "no code table"
-    named = {code: int(byte) for byte, code in table.items()}
-    found = re.findall("|".join(map(re.escape, named)), bits)
-    if sum(map(len, found)) != len(bits):
-        return None, "bits are left over"
-    return bytes(map(named.__getitem__, found)), None
+    try:
+        content = _book(table).walk(bits)
+    except ValueError:
+        return None, "bad code table"
+    return (content, None) if content is not None else (None, "bits are left over")
 
 
-def decode(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, dna, table, padding) to (id, content, error); a row that can't be decoded has an error and no content."""
+def decoded(dna: pa.Array, table: pa.Array, padding: pa.Array) -> pa.Array:
+    """(content, error) of a batch; what can't be decoded has an error and no content, a null sequence neither."""
+    out = [_walk(d, tuple(t.as_py()) if t.is_valid else None, p) for d, t, p in zip(dna.to_pylist(), table, padding.to_pylist())]
+    return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([e for _, e in out], pa.string())], ["content", "error"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_walk(d, dict(t) if t is not None else None, p) for d, t, p in zip(*(batch.column(c).to_pylist() for c in ("dna", "table", "padding")))]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([x for x, _ in out], pa.binary()), pa.array([e for _, e in out], pa.string())], [id_col, "content", "error"])
 
-    return df.select(id_col, "dna", "table", "padding").mapInArrow(rows, f"{id_col} {df.schema[id_col].dataType.simpleString()}, content binary, error string")
+_decoded = F.arrow_udf(decoded, T.StructType().add("content", T.BinaryType()).add("error", T.StringType()))
+
+
+def decode(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, dna, table, padding) to (id, content, error)."""
+    return df.select(id_col, _decoded("dna", "table", "padding").alias("_d")).select(id_col, "_d.content", "_d.error")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import gcd
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics
+from ..functions import flat, metrics
 
 NUCLEOTIDES = "ATCG"
 
@@ -28,18 +27,27 @@ def nucleotide_counts(df: DataFrame, *by: str, seq: str = "dna") -> DataFrame:
 def sliding_gc(df: DataFrame, id_col: str, seq: str = "dna", window: int = 50, step: int = 10) -> DataFrame:
     """(id, window_start, gc) of all full windows: G and C among A, T, C and G in it, in either case, 0 without any.
 
-    Sequences are cut into blocks of gcd(window, step) in one pass; a window is a frame of neighbouring blocks.
+    Counts of a window are differences of running sums, taken for all sequences of a batch at once: no shuffle.
     """
     if window <= 0 or step <= 0:
         raise ValueError("window and step must be positive")
-    size = gcd(window, step)
-    per, hop = window // size, step // size
-    blocks = df.select(id_col, F.posexplode(F.regexp_extract_all(F.upper(seq), F.lit(rf"(?s)(.{{{size}}})"), F.lit(1))).alias("block", "piece"))
-    counted = blocks.select(id_col, "block", F.length(F.regexp_replace("piece", "[^GC]", "")).alias("gc"), F.length(F.regexp_replace("piece", "[^ATCG]", "")).alias("nt"))
-    frame = Window.partitionBy(id_col).orderBy("block").rowsBetween(0, per - 1)
-    summed = counted.select(id_col, "block", F.sum("gc").over(frame).alias("gc"), F.sum("nt").over(frame).alias("nt"), F.count("*").over(frame).alias("full"))
-    full = summed.where((F.col("full") == per) & (F.col("block") % hop == 0))
-    return full.select(id_col, (F.col("block") * size).cast("int").alias("window_start"), F.when(F.col("nt") == 0, 0.0).otherwise(F.col("gc") / F.col("nt")).alias("gc"))
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = flat.large(batch.column("seq"))
+            for first, past in flat.pieces(column):
+                codes, offsets = flat.letters(column.slice(first, past - first))
+                gc, nt = (np.concatenate([[0], np.cumsum(np.isin(codes, np.frombuffer(letters, np.uint8)))]) for letters in (b"GC", b"ATCG"))
+                n = np.maximum((np.diff(offsets) - window) // step + 1, 0)
+                row = np.repeat(np.arange(len(n)), n)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
+                at = offsets[row] + start
+                known = nt[at + window] - nt[at]
+                share = np.where(known == 0, 0.0, (gc[at + window] - gc[at]) / np.maximum(known, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row + first)), pa.array(start.astype(np.int32)), pa.array(share)], [id_col, "window_start", "gc"])
+
+    return df.select(id_col, F.upper(seq).alias("seq")).mapInArrow(rows, f"{id_col} {kind}, window_start int, gc double")
 
 
 def homopolymer_regions(df: DataFrame, id_col: str, seq: str = "dna", min_len: int = 4) -> DataFrame:
@@ -50,17 +58,19 @@ def homopolymer_regions(df: DataFrame, id_col: str, seq: str = "dna", min_len: i
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column("seq").to_pylist()):
-                a = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
-                if not len(a):
-                    continue
-                start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                length = np.diff(start, append=len(a))
-                keep = length >= min_len
-                if keep.any():
-                    start, length = start[keep], length[keep]
-                    who = batch.column(id_col).take(pa.array(np.full(len(start), i)))
-                    yield pa.RecordBatch.from_arrays([who, pa.array(start.astype(np.int32)), pa.array((start + length - 1).astype(np.int32)), pa.array([chr(c) for c in a[start]])], [id_col, "start_pos", "end_pos", "base"])
+            column = flat.large(batch.column("seq"))
+            for first, past in flat.pieces(column):
+                codes, offsets = flat.letters(column.slice(first, past - first))
+                begins = np.zeros(len(codes) + 1, bool)
+                begins[1:-1] = codes[1:] != codes[:-1]
+                begins[offsets] = True  # runs end with their sequence
+                edges = np.flatnonzero(begins)
+                long = np.flatnonzero(np.diff(edges) >= min_len)
+                start, length = edges[long], np.diff(edges)[long]
+                row = np.searchsorted(offsets, start, "right") - 1
+                places = [pa.array((p - offsets[row]).astype(np.int32)) for p in (start, start + length - 1)]
+                bases = flat.texts(codes[start], np.arange(len(start) + 1)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row + first)), *places, bases], [id_col, "start_pos", "end_pos", "base"])
 
     return df.select(id_col, F.upper(seq).alias("seq")).mapInArrow(rows, f"{id_col} {kind}, start_pos int, end_pos int, base string")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ def encode_table(df: DataFrame, method: str = "base4_direct", fec: str | None =
     """(id, name, content, ...) to (id, header, sequence, n_bytes, n_nt, ratio, bits_per_nt) and the other columns.
 
     hamming_7_4 codes the bytes first, and then no parity is added; triple_repeat codes the sequence last.  gc_balanced takes
-    no parity either.  Narrow but for huffman, which groups by id.  A null content gives a null sequence.
+    no parity either.  huffman gives each row a code book of its own.  Narrow throughout; a null content gives a null sequence.
     """
     if method not in METHODS or fec not in CODES:
         raise ValueError(f"unknown method or code: {method}, {fec}")
@@ -28,7 +32,8 @@ def encode_table(df: DataFrame, method: str = "base4_direct", fec: str | None =
     else:
         out = out.withColumn("_payload", F.col("content"))
     if method == "huffman":
-        out = huffman.encode(out, "id", "_payload")
+        out = out.withColumn("_own", huffman.encode_each(F.col("_payload")))
+        out = out.withColumn("dna", F.col("_own.dna")).withColumn("table", F.col("_own.table")).withColumn("padding", F.col("_own.padding"))
         fields["huffman_params"] = F.struct("table", "padding")
     elif method == "gc_balanced":
         out = out.withColumn("dna", balanced.text(balanced.encode(F.col("_payload"), gc_min, gc_max, max_run)))
@@ -42,7 +47,7 @@ def encode_table(df: DataFrame, method: str = "base4_direct", fec: str | None =
     head = header.build(F.lit(method), F.col(name), F.lit(fec).cast("string"), **fields)
     out = out.withColumn("header", head).withColumn("sequence", sequence).withColumn("n_nt", F.length("sequence").cast("long"))
     out = out.withColumn("ratio", metrics.compression_ratio(F.col("n_bytes"), F.col("n_nt"))).withColumn("bits_per_nt", metrics.bits_per_nt(F.col("n_bytes"), F.col("n_nt")))
-    return out.drop("_coded", "_payload", "dna", "table", "padding", "content")
+    return out.drop("_coded", "_own", "_payload", "dna", "table", "padding", "content")
 
 
 def decode_table(df: DataFrame, k: int | None = None) -> DataFrame:
@@ -52,24 +57,37 @@ def decode_table(df: DataFrame, k: int | None = None) -> DataFrame:
     error and no content, and the others go on; an unknown parity rule, or one without a positive block length, is an error.  A
     triple-repeat sequence of wrong length is decoded as it is, and bytes that Hamming decoding refuses are returned undecoded.
     """
-    meta = df.withColumn("_h", header.parse(F.col("header"))).withColumn("_v", F.when(F.col("_h.fec") == "triple_repeat", repeat.decode(F.col("sequence"))))
-    meta = meta.withColumn("_dna", F.coalesce("_v.sequence", "sequence"))
-    size, rule = F.lit(k) if k else F.col("_h.parity_k"), F.col("_h.parity_rule")
-    stripped = F.when((F.col("_h.parity_rule") == parity.RULE) & (size > 0), parity.strip_by(F.col("_dna"), size))
-    meta = meta.withColumn("_p", stripped).withColumn("_dna", F.coalesce("_p.sequence", "_dna"))
-    plain = meta.where("_h.method is null or _h.method <> 'huffman'")
-    one = F.col("_h.method")
-    content = F.when(one == "base4_direct", base4.decode(F.col("_dna"))).when(one == "gc_balanced", balanced.decode(F.col("_dna")))
-    bad = F.when(rule.isNotNull() & (rule != parity.RULE), F.concat(F.lit("unknown parity rule "), rule)).when(rule.isNotNull() & ~F.coalesce(size > 0, F.lit(False)), "the parity block length is not positive")
-    error = F.when(one == "base4_direct", base4.error(F.col("_dna"))).when(one == "gc_balanced", balanced.error(F.col("_dna"))).otherwise(F.concat(F.lit("unknown method "), F.coalesce(one, F.lit("(none)"))))
-    plain = plain.select("id", "_h", "_v", "_p", content.alias("content"), error.alias("error"))
-    coded = meta.where("_h.method = 'huffman'").select("id", "_h", "_v", "_p", F.col("_dna").alias("dna"), F.col("_h.huffman_params.table").alias("table"), F.col("_h.huffman_params.padding").alias("padding"))
-    whole = coded.withColumn("id", F.struct("id", "_h", "_v", "_p"))
-    walked = huffman.decode(whole).select("id.*", "content", "error")
-    both = plain.unionByName(walked).withColumn("error", F.coalesce(bad, "error")).withColumn("content", F.when(bad.isNull(), F.col("content")))
-    fixed = both.withColumn("_f", F.when(F.col("_h.fec") == "hamming_7_4", hamming.decode(F.col("content"), F.coalesce("_h.fec_padding_bits", F.lit(0)))))
-    corrected = F.coalesce("_v.corrected", "_f.corrected", F.lit(0))
-    return fixed.select("id", F.col("_h.method").alias("method"), F.col("_h.fec").alias("fec"), F.coalesce("_f.content", "content").alias("content"), corrected.alias("corrected"), F.coalesce("_v.uncorrectable", F.lit(0)).alias("uncorrectable"), F.coalesce("_p.bad_blocks", F.array().cast("array<int>")).alias("bad_blocks"), "error")
+    h = header.parse(F.col("header"))
+    size = F.lit(k) if k else h["parity_k"]
+    named = {"id": F.col("id"), "method": h["method"], "fec": h["fec"], "bits": h["fec_padding_bits"], "k": size, "rule": h["parity_rule"], "table": h["huffman_params"]["table"], "padding": h["huffman_params"]["padding"], "dna": F.col("sequence")}
+    fields = df.select(*[c.alias(n) for n, c in named.items()])
+    kinds = {n: fields.schema[n].dataType.simpleString() for n in ("id", "method", "fec", "bits", "k", "rule", "dna")}
+    plain = fields.mapInArrow(_unprotected, ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", voted int, lost int, bad_blocks array<int>, walked binary, why string")
+    one, rule = F.col("method"), F.col("rule")
+    bad = F.when(rule.isNotNull() & (rule != parity.RULE), F.concat(F.lit("unknown parity rule "), rule)).when(rule.isNotNull() & ~F.coalesce(F.col("k") > 0, F.lit(False)), "the parity block length is not positive")
+    content = F.when(one == "base4_direct", base4.decode(F.col("dna"))).when(one == "gc_balanced", balanced.decode(F.col("dna"))).when(one == "huffman", F.col("walked"))
+    error = F.when(one == "base4_direct", base4.error(F.col("dna"))).when(one == "gc_balanced", balanced.error(F.col("dna"))).when(one == "huffman", F.col("why")).otherwise(F.concat(F.lit("unknown method "), F.coalesce(one, F.lit("(none)"))))
+    coded = plain.withColumn("content", F.when(bad.isNull(), content)).withColumn("error", F.coalesce(bad, error))
+    fixed = coded.withColumn("_f", hamming.decode(F.when(F.col("fec") == "hamming_7_4", F.col("content")), F.coalesce("bits", F.lit(0))))
+    corrected = F.coalesce("voted", "_f.corrected", F.lit(0))
+    return fixed.select("id", "method", "fec", F.coalesce("_f.content", "content").alias("content"), corrected.alias("corrected"), F.coalesce("lost", F.lit(0)).alias("uncorrectable"), F.coalesce("bad_blocks", F.array().cast("array<int>")).alias("bad_blocks"), "error")
+
+
+def _unprotected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Majority votes, parity and Huffman codes undone for a batch's rows that have them; other rows go through as they are."""
+    for batch in batches:
+        fec, dna = batch.column("fec"), batch.column("dna")
+        triple = pc.fill_null(pc.equal(fec, "triple_repeat"), False).to_numpy(zero_copy_only=False) & (pc.fill_null(pc.utf8_length(dna), 1).to_numpy() % 3 == 0)
+        triple = pa.array(triple)
+        votes = repeat.voted(pc.if_else(triple, dna, None))
+        dna = pc.if_else(triple, votes.field("sequence"), dna)
+        checked = parity.stripped(pc.if_else(pc.equal(batch.column("rule"), parity.RULE), dna, None), batch.column("k"))
+        dna = pc.coalesce(checked.field("sequence"), dna)
+        walked = huffman.decoded(pc.if_else(pc.equal(batch.column("method"), "huffman"), dna, None), batch.column("table"), batch.column("padding"))
+        kept = [batch.column(n) for n in ("id", "method", "fec", "bits", "k", "rule")]
+        counts = [pc.if_else(triple, votes.field(n), None) for n in ("corrected", "uncorrectable")]
+        names = ["id", "method", "fec", "bits", "k", "rule", "dna", "voted", "lost", "bad_blocks", "walked", "why"]
+        yield pa.RecordBatch.from_arrays([*kept, dna, *counts, checked.field("bad_blocks"), walked.field("content"), walked.field("error")], names)
 
 
 def audit(original: DataFrame, decoded: DataFrame, key: str = "id") -> DataFrame:

@@ -304,7 +304,20 @@ def a1_byte_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.byte_frequencies(_docs(spark, sf_dir, "lang"), "lang", order="doc_id").select("lang", "byte", "n")
 
 
-@_query()
+def _books_sql(group: str) -> str:
+    """CTE k (g, code, bits) by the steps of Huffman's algorithm: a queue by weight and age, of which the first two are joined."""
+    return (
+        f"with recursive b as (select {group} as g, doc_id, unnest(hexes) as code, generate_subscripts(hexes, 1) as pos from (select *, regexp_extract_all(hex(encode(text)), '..') as hexes from documents)), "
+        "f as (select g, code, count(*) as n, min(doc_id::hugeint * 10000000000 + pos) as place from b group by all), "
+        "r as (select *, row_number() over (partition by g order by place) as age from f), "
+        "q as (select g, list({'w': n, 'age': age, 'members': [code]} order by n, age) as queue, count(*) as m from r group by g), "
+        "s(g, step, queue, m, light, heavy) as (select g, 0, queue, m, case when m = 1 then queue[1].members end, null::varchar[] from q union all "
+        "select g, step + 1, list_sort(list_append(queue[3:], {'w': queue[1].w + queue[2].w, 'age': m + step + 1, 'members': list_concat(queue[1].members, queue[2].members)})), m, queue[1].members, queue[2].members from s where len(queue) >= 2), "
+        "k as (select g, code, string_agg(digit, '' order by step desc) as bits from (select g, step, unnest(light) as code, '0' as digit from s union all select g, step, unnest(heavy), '1' from s) group by all)"
+    )
+
+
+@_query(f"{_books_sql('lang')} select g as lang, ('0x' || code)::int as byte, bits as code from k")
 def a2_code_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.code_books(huffman.byte_frequencies(_docs(spark, sf_dir, "lang"), "lang", order="doc_id"), "lang")
 
@@ -315,7 +328,7 @@ def a2_complete_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a2_code_books(spark, sf_dir).groupBy("lang").agg(F.count("code").alias("n_codes"), F.sum(F.pow(F.lit(2.0), -F.length("code"))).alias("kraft_sum"))
 
 
-@_query()
+@_query(f"{_books_sql('lang')} select g as lang, length(bits)::int as length, count(*) as n_codes from k group by all")
 def a3_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.code_lengths(a2_code_books(spark, sf_dir), "lang")
 
@@ -325,7 +338,7 @@ def a4_nucleotides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.nucleotide_counts(_dna(spark, sf_dir, "lang"), "lang")
 
 
-@_query()
+@_query(f"{_books_sql('lang')}, l as (select b.doc_id, sum(length(bits))::bigint as n_bits from b join k on b.g is not distinct from k.g and b.code = k.code group by all) select d.doc_id, octet_length(encode(text))::bigint as n_bytes, coalesce(n_bits, 0) as n_bits from documents d left join l on d.doc_id = l.doc_id")
 def j1_code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = huffman.encode(_docs(spark, sf_dir, "lang"), "lang", order="doc_id")
     return coded.select("doc_id", F.length("content").cast("long").alias("n_bytes"), (F.length("dna") * 2 - F.col("padding")).cast("long").alias("n_bits"))
@@ -401,9 +414,15 @@ def c4_balanced_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", _sha(balanced.decode(F.col("seq"))).alias("content_sha256"))
 
 
-@_query()
+@_query(
+    f"{_books_sql('doc_id')}, l as (select b.doc_id, string_agg(bits, '' order by pos) as bits, count(distinct b.code)::int as n_codes from b join k on b.g = k.g and b.code = k.code group by all), "
+    "e as (select d.doc_id, coalesce(n_codes, 0) as n_codes, coalesce(bits, '') as bits, (length(coalesce(bits, '')) % 2)::int as padding from documents d left join l on d.doc_id = l.doc_id), "
+    f"p as (select *, {_replace_sql("regexp_replace(bits || repeat('0', padding), '(..)', '\\1 ', 'g')", {'00 ': 'A', '01 ': 'T', '10 ': 'C', '11 ': 'G'})} as dna from e) "
+    "select doc_id, length(dna)::bigint as n_nt, padding, n_codes, sha256(dna) as dna_sha256 from p"
+)
 def c5_huffman_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.encode(_docs(spark, sf_dir), "doc_id").select("doc_id", F.length("dna").cast("long").alias("n_nt"), "padding", F.size("table").alias("n_codes"), _sha("dna").alias("dna_sha256"))
+    coded = _docs(spark, sf_dir).select("doc_id", huffman.encode_each(F.col("content")).alias("h"))
+    return coded.select("doc_id", F.length("h.dna").cast("long").alias("n_nt"), "h.padding", F.size("h.table").alias("n_codes"), _sha("h.dna").alias("dna_sha256"))
 
 
 @_query("select doc_id, sha256(text) as content_sha256, null::varchar as error from documents")

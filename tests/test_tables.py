@@ -181,3 +181,51 @@ def test_headers_that_cannot_be_followed_are_errors(spark):
     assert all(got[i].content is None and got[i].error for i in (1, 2, 3))
     empty = spark.createDataFrame([(1, "", {"65": "0"}, 0), (2, "", {}, 0)], "id long, dna string, table map<string,string>, padding int")
     assert {r.id: (r.content, r.error is None) for r in huffman.decode(empty).collect()} == {1: (None, False), 2: (b"", True)}
+
+
+def test_huffman_walks_long_and_bad_tables(spark):
+    weights = [1, 1]
+    while len(weights) < 24:  # Fibonacci numbers, whose codes are as long as can be
+        weights.append(weights[-1] + weights[-2])
+    codes = huffman.codes_of(weights)
+    assert max(map(len, codes)) > huffman.LOOKUP
+    table = {str(65 + i): c for i, c in enumerate(codes)}
+    content = bytes(65 + i for i in (*range(24), *range(23, -1, -1), 0, 0, 23))
+    bits = "".join(codes[b - 65] for b in content)
+    padding = len(bits) % 2
+    dna = "".join("ATCG"[int((bits + "0" * padding)[i : i + 2], 2)] for i in range(0, len(bits), 2))
+    rows = [(1, dna, table, padding), (2, "A", {"65": "0x"}, 0), (3, "A", {"300": "0"}, 0), (4, "GG", {"65": "0", "66": "10"}, 0), (5, "AT", {"65": "000", "66": "11"}, 0)]
+    got = {r.id: (bytes(r.content) if r.content is not None else None, r.error) for r in huffman.decode(spark.createDataFrame(rows, "id long, dna string, table map<string,string>, padding int")).collect()}
+    assert got == {1: (content, None), 2: (None, "bad code table"), 3: (None, "bad code table"), 4: (None, "bits are left over"), 5: (None, "bits are left over")}
+
+
+def test_many_block_lengths_in_one_table(spark):
+    rows = spark.range(1200).select("id", F.concat(F.lit("payload "), "id").alias("text"))
+    plain = jobs.encode_table(payloads.from_text(rows, "id", "text").withColumn("name", F.lit("x"))).drop("name")
+    parts = plain.collect()
+
+    def added(seq, k):
+        blocks = [seq[i : i + k] for i in range(0, len(seq), k)]
+        return "".join(b + "AT"[sum(c in "GC" for c in b) % 2] for b in blocks)
+
+    coded = [(r.id, f"{r.header} parity_k={r.id + 1} parity_rule=GC_even_A_odd_T", added(r.sequence, r.id + 1)) for r in parts]
+    decoded = jobs.decode_table(spark.createDataFrame(coded, "id long, header string, sequence string"))
+    assert sorted((r.id, bytes(r.content), r.bad_blocks) for r in decoded.collect()) == [(i, f"payload {i}".encode(), []) for i in range(1200)]
+
+
+def test_rows_of_one_id_have_their_own_code_books(spark):
+    rows = spark.createDataFrame([(1, "n", bytearray(b"aab")), (1, "n", bytearray(b"zzzy")), (None, "n", bytearray(b"q")), (2, "n", None)], "id long, name string, content binary")
+    decoded = jobs.decode_table(jobs.encode_table(rows, "huffman")).collect()
+    assert sorted((r.id or 0, bytes(r.content or b"")) for r in decoded) == [(0, b"q"), (1, b"aab"), (1, b"zzzy"), (2, b"")]
+
+
+def test_byte_places_in_a_group_of_many_rows(spark):
+    rows = [(i, g, bytearray(c)) for i, (g, c) in enumerate([("a", b"xyx"), (None, b"y"), ("a", b"zy"), ("b", b""), (None, b"yyq"), ("a", None)])]
+    got = huffman.byte_frequencies(spark.createDataFrame(rows, "id long, g string, content binary").repartition(3), "g", order="id").collect()
+    assert sorted((r.g or "", chr(r.byte), r.n, r["first"][0], r["first"][1]) for r in got) == [("", "q", 1, 4, 2), ("", "y", 3, 1, 0), ("a", "x", 2, 0, 0), ("a", "y", 2, 0, 1), ("a", "z", 1, 2, 0)]
+
+
+def test_sequences_beyond_ascii(spark):
+    df = spark.createDataFrame([(1, "GGGGééééA"), (2, ""), (3, None), (4, "éAAAA")], "id long, dna string")
+    assert sorted(tuple(r) for r in statistics.homopolymer_regions(df, "id").collect()) == [(1, 0, 3, "G"), (1, 4, 7, "É"), (4, 1, 4, "A")]
+    assert sorted(tuple(r) for r in statistics.sliding_gc(df, "id", window=5, step=4).collect()) == [(1, 0, 1.0), (1, 4, 0.0), (4, 0, 0.0)]
