@@ -220,7 +220,7 @@ def test_rows_of_one_id_have_their_own_code_books(spark):
 
 
 def test_byte_places_in_a_group_of_many_rows(spark):
-    rows = [(i, g, bytearray(c)) for i, (g, c) in enumerate([("a", b"xyx"), (None, b"y"), ("a", b"zy"), ("b", b""), (None, b"yyq"), ("a", None)])]
+    rows = [(i, g, None if c is None else bytearray(c)) for i, (g, c) in enumerate([("a", b"xyx"), (None, b"y"), ("a", b"zy"), ("b", b""), (None, b"yyq"), ("a", None)])]
     got = huffman.byte_frequencies(spark.createDataFrame(rows, "id long, g string, content binary").repartition(3), "g", order="id").collect()
     assert sorted((r.g or "", chr(r.byte), r.n, r["first"][0], r["first"][1]) for r in got) == [("", "q", 1, 4, 2), ("", "y", 3, 1, 0), ("a", "x", 2, 0, 0), ("a", "y", 2, 0, 1), ("a", "z", 1, 2, 0)]
 
