@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base4 import HEX, replaced
+from .base4 import HEX
 
 
 def codeword(nibble: int) -> str:
@@ -28,24 +28,24 @@ def _nearest(word: int) -> tuple[str, str]:
 
 #: By word, 0 to 127: the digit it decodes to, and whether a bit was corrected.
 DIGITS, FLAGS = ("".join(x) for x in zip(*map(_nearest, range(128))))
-#: Letters that stand for digits while these are replaced by bits.
-_LETTERS = "ghijklmnopqrstuv"
+#: By half byte, the bits of its codeword.
+_CODE = np.array([list(map(int, codeword(n))) for n in range(16)], np.uint8)
 
 
-def _to_bytes(bits: Column) -> Column:
-    return F.unhex(replaced(F.regexp_replace(bits, "(....)", "$1 "), {f"{i:04b} ": HEX[i] for i in range(16)}))
+def _protected(content: bytes) -> bytes:
+    data = np.frombuffer(content, np.uint8)
+    return np.packbits(_CODE[np.stack([data >> 4, data & 15], axis=1)]).tobytes()
 
 
-def _to_letters(content: Column) -> Column:
-    return F.translate(F.lower(F.hex(content)), HEX, _LETTERS)
+@F.arrow_udf(T.BinaryType())
+def _coded(content: pa.Array) -> pa.Array:
+    return pa.array([c.as_py() if c.as_py() is None else _protected(c.as_py()) for c in content], pa.binary())
 
 
 def encode(content: Column) -> Column:
     """(encoded BINARY, padding INT): code bits in order, with 0 to 7 zero bits at the end."""
-    bits = replaced(_to_letters(content), {letter: codeword(i) for i, letter in enumerate(_LETTERS)})
-    n = F.length(content) * 14  # bits, known without spelling them out
-    padding = (8 - n % 8) % 8
-    return F.when(content.isNotNull(), F.struct(_to_bytes(F.rpad(bits, n + padding, "0")).alias("encoded"), padding.cast("int").alias("padding")))
+    padding = (8 - F.length(content) * 14 % 8) % 8
+    return F.when(content.isNotNull(), F.struct(_coded(content).alias("encoded"), padding.cast("int").alias("padding")))
 
 
 def error(encoded: Column, padding: Column) -> Column:

@@ -11,8 +11,15 @@ from pyspark.sql import types as T
 from . import flat
 
 
+@F.arrow_udf(T.StringType())
+def _tripled(column: pa.Array) -> pa.Array:
+    column = flat.large(column)
+    parts = [flat.letters(column.slice(first, past - first)) for first, past in flat.pieces(column)]
+    return pa.concat_arrays([flat.texts(np.repeat(codes, 3), offsets * 3) for codes, offsets in parts] or [pa.array([], pa.large_string())]).cast(pa.string())
+
+
 def encode(seq: Column) -> Column:
-    return F.regexp_replace(seq, "(?s)(.)", "$1$1$1")
+    return F.when(seq.isNotNull(), _tripled(seq))
 
 
 def error(seq: Column) -> Column:
