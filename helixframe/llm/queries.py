@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprint, katz, line_dedup, minhash, pii, quality, suffix_dedup, warc
+from . import bpe, decontam, fingerprint, importance, katz, line_dedup, minhash, packing, pii, quality, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,17 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_katz": op10_katz, "op1_suffix": op1_suffix, "op5_lines": op5_lines, "op2_tiling": op2_tiling, "op4_revisits": op4_revisits, "op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), vocabulary_path())
+    packed = packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op11_packing": op11_packing, "op12_resampling": op12_resampling, "op10_katz": op10_katz, "op1_suffix": op1_suffix, "op5_lines": op5_lines, "op2_tiling": op2_tiling, "op4_revisits": op4_revisits, "op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
 _LUHN = "list_sum(list_transform(list_reverse(string_split(d, '')), lambda c, i: case when i % 2 = 1 then c::int else c::int * 2 - case when c::int > 4 then 9 else 0 end end)) % 10 = 0"
 _MOD97 = "list_reduce(list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end), lambda a, x: (a * case when x < 10 then 10 else 100 end + x) % 97) = 1"
 #: By kind: what a match must hold, v being the match, d its digits and b what stands before it.
@@ -119,4 +129,18 @@ select page_id, canonical_url, ts, target_page, outcome,
   case when outcome = 'resolved' then 'content-length=' || size || ';content-type=text/html;date=' || ts || ';etag=' || m || ';last-modified=day-' || substr(m, 2, 6) end as headers,
   case when outcome = 'resolved' then m end as payload from o""",
     "op8_pii": _pii_sql(),
+    "op12_resampling": """
+with crc_table as (select list(list_reduce(range(8), lambda c, i: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end, b) order by b) as steps from range(256) r(b)),
+w as (select 'd' as kind, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from documents
+  union all select 't', null, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark),
+f as (select kind, doc_id, word, count(*) as n from w group by all),
+hashed as (select word, xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: ('0x' || x)::bigint), lambda c, x: xor(steps[(xor(c, x) % 256) + 1], c // 256), 4294967295::bigint)) % 10000 as bucket
+  from (select distinct word from f), crc_table),
+b as (select bucket, coalesce(sum(n) filter (kind = 'd'), 0) as s, coalesce(sum(n) filter (kind = 't'), 0) as t from f join hashed using (word) group by bucket),
+g as (select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000) / ((s + 1)::double * (sum(t) over () + 10000))))::bigint as gain from b),
+d as (select doc_id, sum(n)::bigint as n_features, floor(sum(n * gain) / sum(n))::bigint as weight from f join hashed using (word) join g using (bucket) where kind = 'd' group by doc_id),
+h as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from documents left join d using (doc_id)),
+scored as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from h),
+placed as (select *, n_features >= 20 as fit, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, 10 * count(*) over (partition by n_features >= 20) // 100 as drawn from scored)
+select doc_id, n_features, weight, score, case when fit and place <= drawn then place end as rank from placed""",
 }
