@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprint, importance, katz, line_dedup, minhash, packing, pii, quality, suffix_dedup, warc
+from . import bpe, decontam, fingerprint, importance, katz, line_dedup, minhash, packing, phrases, pii, quality, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,11 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op11_packing": op11_packing, "op12_resampling": op12_resampling, "op10_katz": op10_katz, "op1_suffix": op1_suffix, "op5_lines": op5_lines, "op2_tiling": op2_tiling, "op4_revisits": op4_revisits, "op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+QUERIES = {"op11_packing": op11_packing, "op12_resampling": op12_resampling, "op13_phrases": op13_phrases, "op10_katz": op10_katz, "op1_suffix": op1_suffix, "op5_lines": op5_lines, "op2_tiling": op2_tiling, "op4_revisits": op4_revisits, "op3_fingerprint": op3_fingerprint, "op9_minhash": op9_minhash, "op6_quality": op6_quality, "op7_bpe": op7_bpe, "op8_pii": op8_pii}
 _LUHN = "list_sum(list_transform(list_reverse(string_split(d, '')), lambda c, i: case when i % 2 = 1 then c::int else c::int * 2 - case when c::int > 4 then 9 else 0 end end)) % 10 = 0"
 _MOD97 = "list_reduce(list_transform(string_split(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end), lambda a, x: (a * case when x < 10 then 10 else 100 end + x) % 97) = 1"
 #: By kind: what a match must hold, v being the match, d its digits and b what stands before it.
@@ -129,6 +133,25 @@ select page_id, canonical_url, ts, target_page, outcome,
   case when outcome = 'resolved' then 'content-length=' || size || ';content-type=text/html;date=' || ts || ';etag=' || m || ';last-modified=day-' || substr(m, 2, 6) end as headers,
   case when outcome = 'resolved' then m end as payload from o""",
     "op8_pii": _pii_sql(),
+    "op13_phrases": """
+with p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from (select coalesce(lang, 'und') as lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents)),
+w as materialized (select lang, piece, word, lead(word, 1) over q as w2, lead(word, 2) over q as w3, lead(word, 3) over q as w4
+  from (select lang, piece, unnest(ws) as word, generate_subscripts(ws, 1) as i from (select lang, ws, row_number() over () as piece from p)) window q as (partition by piece order by i)),
+f as materialized (select lang, 1 as m, word as phrase, count(*) as f from w group by all having count(*) >= 30
+  union all select lang, 2, word || ' ' || w2, count(*) from w where w2 is not null group by all having count(*) >= 30
+  union all select lang, 3, word || ' ' || w2 || ' ' || w3, count(*) from w where w3 is not null group by all having count(*) >= 30
+  union all select lang, 4, word || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) from w where w4 is not null group by all having count(*) >= 30),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as words from f where m > 1),
+cut as (select c.lang, c.m, c.phrase, c.a, k, l.f as l, r.f as r, (2000000::hugeint * c.a) // (l.f::hugeint + r.f) as score from c join (values (1), (2), (3)) v(k) on k < c.m
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.words[1:k], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.words[k + 1:c.m], ' ')),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_of as (select lang, a as f, unnest(list_transform(range(1, m - n + 2), lambda s: array_to_string(words[s:s + n - 1], ' '))) as phrase from c join (values (2), (3)) v(n) on n < m),
+held as (select lang, phrase, max(f) as f from inner_of group by all),
+kept as (select b.* from best b left join held h on h.lang = b.lang and h.phrase = b.phrase where h.f is null or 100::hugeint * h.f < 80::hugeint * b.a),
+n as (select lang, count(*) as n from w group by lang)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score from kept join n using (lang)
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000""",
     "op12_resampling": """
 with crc_table as (select list(list_reduce(range(8), lambda c, i: case when c % 2 = 1 then xor(3988292384, c // 2) else c // 2 end, b) order by b) as steps from range(256) r(b)),
 w as (select 'd' as kind, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from documents
