@@ -35,45 +35,45 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}")
     lengths = np.asarray(lengths, np.int64)
-    limit, weight = np.array(capacity, np.int64), np.array(weights, float)
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
     left = np.zeros((3, len(lengths)), np.int64)  # of each capacity, by bin
-    used = np.zeros(len(lengths), np.int64)
     bins, open_bins = 0, np.zeros(0, np.int64)
-    least = int(lengths.min(initial=0))
+    least = max(1, int(lengths.min(initial=1)))
     cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
     for first, past in zip(cuts, np.append(cuts[1:], len(order))):  # pieces of one length take the same of every capacity
         n = int(lengths[order[first]])
-        take = np.array([n, 1, n * n], np.int64)
-
-        def value(at: np.ndarray) -> np.ndarray:
-            """The less, the better; infinite where the piece does not fit."""
-            rest = left[:, at]
-            fits = (rest >= take[:, None]).all(axis=0)
-            if rule == "norm":
-                v = (weight[:, None] * ((rest - take[:, None]) / limit[:, None]) ** 2).sum(axis=0)
-            else:
-                v = -(weight[:, None] * (rest / limit[:, None]) * (take / limit)[:, None]).sum(axis=0)
-            return np.where(fits, v, np.inf)
-
-        open_bins = open_bins[(left[0, open_bins] >= max(least, 1)) & (left[1, open_bins] > 0)]
-        at = np.concatenate([open_bins, np.arange(bins, bins + past - first)])  # the last ones are not begun
-        values = np.append(value(open_bins), np.full(past - first, np.inf))
-        begun = len(open_bins)
-        for item in order[first:past]:
-            best = int(np.argmin(values[:begun])) if begun else 0
+        take = (n, 1, n * n)
+
+        def value(rest):
+            """The less, the better; of numbers or of arrays."""
+            out = 0.0
+            for w, r, t, c in zip(weights, rest, take, capacity):
+                out = out + (w * ((r - t) / c) * ((r - t) / c) if rule == "norm" else -(w * (r / c) * (t / c)))
+            return out
+
+        open_bins = open_bins[(left[0, open_bins] >= least) & (left[1, open_bins] > 0)]
+        rest = left[:, open_bins]
+        fits = (rest[0] >= n) & (rest[2] >= n * n)
+        at = np.append(open_bins[fits], np.zeros(past - first, np.int64))  # the last ones are not begun
+        begun = len(at) - (past - first)
+        values = np.append(value(rest[:, fits]), np.full(past - first, np.inf))
+        before = bins
+        for item in order[first:past].tolist():
+            best = int(values[:begun].argmin()) if begun else 0
             if not begun or values[best] == np.inf:
                 best = begun
                 begun += 1
+                at[best] = bins
+                left[:, bins] = capacity
                 bins += 1
-                left[:, at[best]] = limit
-            chosen = at[best]
-            where[item], offset[item] = chosen, used[chosen]
-            used[chosen] += n
-            left[:, chosen] -= take
-            values[best] = value(at[best : best + 1])[0]
-        open_bins = at[:begun]
+            chosen = int(at[best])
+            a, b, c = left[:, chosen].tolist()
+            where[item], offset[item] = chosen, capacity[0] - a
+            a, b, c = a - n, b - 1, c - n * n
+            left[:, chosen] = a, b, c
+            values[best] = value((a, b, c)) if a >= n and b > 0 and c >= n * n else np.inf
+        open_bins = np.append(open_bins, np.arange(before, bins))
     return where, offset
 
 
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, tokens: int = TOKENS, id_col:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.Encoder(table.value)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids = [x + end for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             count = -(-n // tokens)
