@@ -31,7 +31,7 @@ from .text import LOWER, hash_spans, mix, slices, utf8, word_bounds
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Language of texts that have none.
 NO_LANG = "und"
-KNOWN, SAFE, TRIE = 1 << 22, 1 << 23, 1 << 19
+KNOWN, SAFE, TRIE = 1 << 22, 1 << 22, 1 << 18
 SLICE, HELD = 8 << 20, 1 << 21
 #: Rows of a side that is broadcast in the joins of phrases with their parts.
 BROADCAST_PHRASES = 200_000
@@ -241,15 +241,14 @@ class DoubleArray:
     accepts, or -1.
     """
 
-    def __init__(self, phrases: list[tuple[int, ...]]):
-        n = np.array([len(p) for p in phrases], np.int64)
-        flat = np.array([c for p in phrases for c in p], np.int64)
+    def __init__(self, flat: np.ndarray, n: np.ndarray, seed: int = 5):
+        """Phrases of n codes each, all in a row in `flat`."""
         self.alphabet, symbol = np.unique(flat, return_inverse=True)
         grid = np.zeros((len(n), max(n, default=1)), np.int64)
         grid[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = symbol + 1
         room = len(self.alphabet) + 1
-        self.base, self.check, self.phrase = np.zeros(room, np.int64), np.full(room, -1, np.int64), np.full(room, -1, np.int64)
-        self._taken, self._free = np.ones(room, bool), room
+        self.base, self.check, self.phrase = np.zeros(room, np.int32), np.full(room, -1, np.int32), np.full(room, -1, np.int32)
+        self._taken, self._rng = np.ones(room, bool), np.random.default_rng(seed)
         state = np.zeros(len(n), np.int64)
         for level in range(grid.shape[1]):
             on = np.flatnonzero(grid[:, level])
@@ -260,57 +259,53 @@ class DoubleArray:
         leaves = np.ones(len(self.base), bool)
         leaves[self.check[self.check >= 0]] = False
         self.base[leaves] = len(self.base)  # past all states, where nothing checks
-        self.check, self.phrase = (np.append(x, np.full(room, -1)) for x in (self.check, self.phrase))
-        del self._taken, self._free
+        self.check, self.phrase = (np.append(x, np.full(room, -1, np.int32)) for x in (self.check, self.phrase))
+        del self._taken, self._rng
 
     def _placed(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """States for new edges, given in order of (parent, symbol)."""
         first = np.flatnonzero(np.diff(parent, prepend=-1))
         size = np.diff(first, append=len(parent))
         base = np.zeros(len(first), np.int64)
-        root = parent[first] == 0
-        several = np.flatnonzero((size > 1) & ~root)
-        for i in several[np.argsort(-size[several], kind="stable")].tolist():
-            c = symbol[first[i] : first[i] + size[i]]
-            base[i] = self._fit(c)
-            self._taken[base[i] + c] = True
-        one = np.flatnonzero((size == 1) & ~root)
-        self._grow(len(one))
-        slots = self._free + np.flatnonzero(~self._taken[self._free :])[: len(one)]
-        base[one] = slots - symbol[first[one]]
-        self._taken[slots] = True
+        below = parent[first] != 0  # the root's own base is 0
+        for k in np.unique(size[below])[::-1].tolist():  # parents of many children first
+            nodes = np.flatnonzero(below & (size == k))
+            base[nodes] = self._fitted(symbol[first[nodes][:, None] + np.arange(k)])
         state = np.repeat(base, size) + symbol
         self.base[parent[first]] = base
         self.check[state] = parent
         return state
 
-    def _grow(self, more: int) -> None:
-        """Have `more` free cells at least."""
-        short = more - int((~self._taken[self._free :]).sum()) if more else 0
-        if short > 0:
-            n = max(short, len(self.base))
-            self.base = np.append(self.base, np.zeros(n, np.int64))
-            self.check, self.phrase = (np.append(x, np.full(n, -1)) for x in (self.check, self.phrase))
-            self._taken = np.append(self._taken, np.zeros(n, bool))
-
-    def _fit(self, c: np.ndarray) -> int:
-        """The first base at which all symbols of c find free cells."""
-        at, step = self._free, 64
-        while True:
-            need = at + step + int(c[-1] - c[0]) + 1
-            if need > len(self.base):
-                self._grow(int((~self._taken[self._free :]).sum()) + need - len(self.base))
-            tried = at + np.flatnonzero(~self._taken[at : at + step])
-            if len(tried):
-                ok = ~self._taken[(tried - c[0])[:, None] + c].any(axis=1)
-                if ok.any():
-                    if len(tried) < step // 8 and at == self._free:  # little is free below
-                        self._free = int(tried[0])
-                    return int(tried[np.argmax(ok)] - c[0])
-            elif at == self._free:
-                self._free += step
-            at += step
-            step = min(2 * step, 4096)
+    def _fitted(self, symbols: np.ndarray) -> np.ndarray:
+        """A base for each row of ascending symbols, so that all cells of all rows are free and distinct; they are taken then.
+
+        All rows still without one try a free cell at random for their first symbol, and those whose cells are free, and that
+        no row before them wants, have it.  A quarter of the cells is taken at most, and more cells come after each failure.
+        """
+        rows, k = symbols.shape
+        base, wanting = np.zeros(rows, np.int64), np.arange(rows)
+        need = 4 * rows * k
+        while len(wanting):
+            free = np.flatnonzero(~self._taken)
+            if len(free) < need:
+                more = need - len(free) + int(symbols[:, -1].max())
+                self.base = np.append(self.base, np.zeros(more, np.int32))
+                self.check, self.phrase = (np.append(x, np.full(more, -1, np.int32)) for x in (self.check, self.phrase))
+                self._taken = np.append(self._taken, np.zeros(more, bool))
+                free = np.flatnonzero(~self._taken)
+            at = free[self._rng.integers(0, len(free), len(wanting))] - symbols[wanting, 0]
+            cells = at[:, None] + symbols[wanting]
+            inside = (cells[:, -1] < len(self._taken)) & (at >= 0)
+            inside[inside] = ~self._taken[cells[inside]].any(axis=1)
+            trying = np.flatnonzero(inside)
+            _, earliest = np.unique(cells[trying].ravel(), return_index=True)
+            won = trying[np.bincount(earliest // k, minlength=len(trying)) == k] if len(trying) else trying
+            base[wanting[won]] = at[won]
+            self._taken[cells[won].ravel()] = True
+            if len(won) * 8 < len(wanting):
+                need += max(len(free) // 4, 4 * k)
+            wanting = np.delete(wanting, won)
+        return base
 
     def count(self, codes: np.ndarray) -> np.ndarray:
         """How often each state is reached from the positions of a stream, by the walk that begins there."""
@@ -330,34 +325,36 @@ class DoubleArray:
 
 
 def _counted(table):
-    """(phrase INT, n): how often a task's streams reach the accepting states of a trie."""
+    """(id, n): how often a task's streams reach the accepting states of a trie, by the id of the phrase."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie: DoubleArray = table.value
+        trie, ids = table.value
         seen = np.zeros(len(trie.check), np.int64)
         for codes in _read(batches):
             seen += trie.count(codes)
         at = np.flatnonzero((seen > 0) & (trie.phrase >= 0))
-        yield pa.RecordBatch.from_arrays([pa.array(trie.phrase[at].astype(np.int32)), pa.array(seen[at])], ["phrase", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[trie.phrase[at]]), pa.array(seen[at])], ["id", "n"])
 
     return rows
 
 
 def _frequencies(streams: DataFrame, candidates: DataFrame, trie: int) -> DataFrame:
-    """(words, a) of the stored candidates (words): exact counts, by one trie after the other."""
+    """(words, a) of the candidates (words): exact counts, by one trie after the other."""
     spark = streams.sparkSession
-    shards = max(1, -(-candidates.count() // max(1, trie // 2)))  # shards are uneven; at most about `trie` phrases each
-    out = None
-    for k in range(shards):
-        own = candidates.where(F.pmod(F.xxhash64("words"), F.lit(shards)) == k) if shards > 1 else candidates
-        phrases = sorted(tuple(r["words"]) for r in own.collect())  # about trie / 2 rows
-        table = spark.sparkContext.broadcast(DoubleArray(phrases))
-        numbers = streams.mapInArrow(_counted(table), "phrase int, n long").groupBy("phrase").agg(F.sum("n").alias("a"))
-        names = spark.createDataFrame(pa.table({"_phrase": pa.array(range(len(phrases)), pa.int32()), "words": pa.array(phrases, pa.list_(pa.int64()))}))
-        found = stored(numbers.join(names, numbers["phrase"] == names["_phrase"]).select("words", "a"))
+    candidates = stored(candidates.select("words", F.monotonically_increasing_id().alias("_id")))
+    shards = -(-candidates.count() // trie)
+    shards = shards if shards < 2 else -(-4 * shards // 3)  # rows are dealt by hash: three quarters of the bound, so that none passes it
+    sums = None
+    for k in range(max(1, shards)):
+        own = candidates.where(F.pmod(F.xxhash64("_id"), F.lit(shards)) == k) if shards > 1 else candidates
+        got = own.toArrow()  # `trie` rows at most
+        words = got.column("words").combine_chunks()
+        table = spark.sparkContext.broadcast((DoubleArray(np.asarray(words.flatten()), np.asarray(words.value_lengths()).astype(np.int64)), got.column("_id").to_numpy()))
+        del got, words
+        found = stored(streams.mapInArrow(_counted(table), "id long, n long").groupBy("id").agg(F.sum("n").alias("a")))
         table.unpersist()
-        out = found if out is None else out.union(found)
-    return out
+        sums = found if sums is None else sums.union(found)
+    return candidates.join(sums, candidates["_id"] == sums["id"]).select("words", "a")
 
 
 def _column(df: DataFrame) -> np.ndarray:
@@ -437,7 +434,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     fit = np.sort(_column(hashes).view(np.uint64)) if hashes.count() <= safe else None  # `safe` rows at most
     fits = spark.sparkContext.broadcast(fit)
     gathered = streams.mapInArrow(_gathered(fits, longest), "words array<bigint>, n long").groupBy("words").agg(F.sum("n").alias("n"))
-    phrases = stored(_frequencies(streams, stored(gathered.where(F.col("n") >= least).select("words")), trie).where(F.col("a") >= least))
+    phrases = stored(_frequencies(streams, gathered.where(F.col("n") >= least).select("words"), trie).where(F.col("a") >= least))
     code = _code_of(words, keys, complete)
     counts = stored(phrases.select("words", F.col("a").alias("f")).union(code.select(F.array("code"), "n")))
     kept = stored(_not_inside(_scored(phrases, counts, longest), phrases, cover, longest))
