@@ -279,12 +279,13 @@ class DoubleArray:
     def _fitted(self, symbols: np.ndarray) -> np.ndarray:
         """A base for each row of ascending symbols, so that all cells of all rows are free and distinct; they are taken then.
 
-        All rows still without one try a free cell at random for their first symbol, and those whose cells are free, and that
-        no row before them wants, have it.  A quarter of the cells is taken at most, and more cells come after each failure.
+        All rows still without one try free cells at random for their first symbol, the fewer rows the more cells; those that
+        find one at which all their cells are free, and wanted by no row before them, have it.  There are three times as many
+        free cells as are needed, and some more after each round in which nearly all rows fail.
         """
         rows, k = symbols.shape
         base, wanting = np.zeros(rows, np.int64), np.arange(rows)
-        need = 4 * rows * k
+        need = 3 * rows * k
         while len(wanting):
             free = np.flatnonzero(~self._taken)
             if len(free) < need:
@@ -293,18 +294,21 @@ class DoubleArray:
                 self.check, self.phrase = (np.append(x, np.full(more, -1, np.int32)) for x in (self.check, self.phrase))
                 self._taken = np.append(self._taken, np.zeros(more, bool))
                 free = np.flatnonzero(~self._taken)
-            at = free[self._rng.integers(0, len(free), len(wanting))] - symbols[wanting, 0]
-            cells = at[:, None] + symbols[wanting]
-            inside = (cells[:, -1] < len(self._taken)) & (at >= 0)
-            inside[inside] = ~self._taken[cells[inside]].any(axis=1)
-            trying = np.flatnonzero(inside)
-            _, earliest = np.unique(cells[trying].ravel(), return_index=True)
-            won = trying[np.bincount(earliest // k, minlength=len(trying)) == k] if len(trying) else trying
-            base[wanting[won]] = at[won]
+            tries = max(1, min(4096, (1 << 19) // (len(wanting) * k)))
+            at = free[self._rng.integers(0, len(free), (len(wanting), tries))] - symbols[wanting, :1]
+            ok = (at >= 0) & (at + symbols[wanting, -1:] < len(self._taken))
+            row, attempt = np.nonzero(ok)
+            ok[row, attempt] = ~self._taken[at[row, attempt][:, None] + symbols[wanting[row]]].any(axis=1)
+            trying = np.flatnonzero(ok.any(axis=1))
+            at = at[trying, ok[trying].argmax(axis=1)]
+            cells = at[:, None] + symbols[wanting[trying]]
+            _, earliest = np.unique(cells.ravel(), return_index=True)
+            won = np.bincount(earliest // k, minlength=len(trying)) == k
+            base[wanting[trying[won]]] = at[won]
             self._taken[cells[won].ravel()] = True
-            if len(won) * 8 < len(wanting):
-                need += max(len(free) // 4, 4 * k)
-            wanting = np.delete(wanting, won)
+            if won.sum() * 8 < len(wanting):
+                need = max(need, len(free)) + len(free) // 16 + 4 * k
+            wanting = np.delete(wanting, trying[won])
         return base
 
     def count(self, codes: np.ndarray) -> np.ndarray:
