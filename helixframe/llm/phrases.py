@@ -5,14 +5,14 @@ of it) and counted by double-array tries:
 
 1. Words are counted by language.  Texts become streams of codes, one for each frequent word of a language, 0 where no phrase
    can pass: at rare words, separators and ends of texts.
-2. Pairs of neighbouring codes are counted by 64-bit hash; those whose hash comes LEAST times are safe candidates, since other
-   pairs of the same hash only add.  Longer candidates are runs all of whose pairs are safe, gathered from the streams.
+2. Pairs of neighbouring codes, and then longer runs all of whose pairs are frequent, are the candidates.  Tasks send the runs
+   that they hold, once each, in compressed columns to buckets of their hashes; those that come too seldom stay there.
 3. Candidates go into double-array tries of at most TRIE phrases each, which are broadcast one after the other.  All positions of
    a stream hold the state of the phrase that begins there; every level moves all of them at once and drops those that have no
    way on, and accepting states are counted by bincount.  Sums over the shards of the corpus are the phrases' frequencies.
 
 What is broadcast: codes of the KNOWN most frequent words (others, if there are more, have a hash of 64 bits for a code), up to
-SAFE hashes of pairs (if there are more, every run of codes is gathered and counted), one trie at a time.
+SAFE hashes of frequent pairs (if there are more, longer runs of any pairs are dealt), one trie at a time.
 """
 
 from __future__ import annotations
@@ -125,92 +125,67 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield _codes(blob.as_py())
 
 
-def _pair_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of pairs of codes, their hashes)."""
-    at = np.flatnonzero((codes[:-1] != 0) & (codes[1:] != 0))
-    c = codes.view(np.uint64)
-    return at, mix(mix(c[at]) * _ODD + c[at + 1])
+def _hashed(run: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of codes."""
+    out = np.zeros(len(run), np.uint64)
+    for column in run.T:
+        out = mix(out * _ODD + np.ascontiguousarray(column).view(np.uint64))
+    return out
 
 
-def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    h, n = np.concatenate(hashes), np.concatenate(counts)
+def _distinct(run: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows once each, sums of their counts, their hashes), in order of the hashes."""
+    h = _hashed(run)
     order = np.argsort(h, kind="stable")
-    h = h[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
-    return h[new], np.add.reduceat(n[order], new) if len(new) else n
-
-
-def _pairs(buckets: int):
-    """(bucket, payload): the hashes of a task's pairs, and how often each comes."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            h, n = _summed(*map(list, zip(*held)))
-            bucket = h >> np.uint64(32)
-            bucket = (bucket * np.uint64(buckets)) >> np.uint64(32)  # of equal ranges of hashes, which stand in order
-            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(cut))
-            blobs = [_blob(np.stack([h[cut[b] : cut[b + 1]].view(np.int64), n[cut[b] : cut[b + 1]]], axis=1).ravel()) for b in some]
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "payload"])
+    run, h = run[order], h[order]
+    new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)])[: len(run)])
+    return run[new], np.add.reduceat(n[order], new) if len(new) else n, h[new]
 
-        for codes in _read(batches):
-            held.append(np.unique(_pair_hashes(codes)[1], return_counts=True))
-            if sum(len(h) for h, _ in held) > HELD:
-                yield out()
-                held = []
-        if held:
-            yield out()
 
-    return rows
+def _pairs(codes: np.ndarray) -> Iterator[np.ndarray]:
+    at = np.flatnonzero((codes[:-1] != 0) & (codes[1:] != 0))
+    yield codes[at[:, None] + np.arange(2)]
 
 
-def _often(least: int):
-    """(h): hashes whose sum is `least` at least, of all payloads of a bucket."""
+def _longer(safe: np.ndarray | None, longest: int):
+    """Runs of 3 to `longest` codes all of whose pairs are among the safe ones, given by sorted hashes, or are any pairs."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist()):
-                by.setdefault(bucket, []).append(blob)
-        while by:
-            parts = [_codes(b).reshape(-1, 2) for b in by.popitem()[1]]
-            h, n = _summed([p[:, 0].view(np.uint64) for p in parts], [p[:, 1] for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(h[n >= least].view(np.int64))], ["h"])
+    def runs(codes: np.ndarray) -> Iterator[np.ndarray]:
+        at = np.flatnonzero((codes[:-1] != 0) & (codes[1:] != 0))
+        if safe is not None:
+            at = at[_among(safe, _hashed(codes[at[:, None] + np.arange(2)]))]
+        fit = np.zeros(len(codes) + longest, bool)
+        fit[at] = True
+        begin = fit
+        for m in range(3, longest + 1):
+            begin = begin[:-1] & fit[m - 2 :]  # the run goes on for one pair more
+            i = np.flatnonzero(begin)
+            if not len(i):
+                return
+            yield codes[i[:, None] + np.arange(m)]
 
-    return rows
+    return runs
 
 
-def _gathered(table, longest: int):
-    """(words ARRAY<BIGINT>, n): runs of 2 to `longest` codes all of whose pairs are safe, combined within a task."""
+def _dealt(runs, buckets: int):
+    """(bucket, m, payload): a task's runs of m codes and how often each comes, by ranges of their hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        safe = table.value
         held: dict[int, list] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for m, parts in held.items():
-                run, n = (np.concatenate(x) for x in zip(*parts))
-                run, n = _distinct(run, n)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(run) + 1, dtype=np.int32) * m), pa.array(run.ravel())), pa.array(n)], ["words", "n"])
+                run, n, h = _distinct(*map(np.concatenate, zip(*parts)))
+                cut = np.searchsorted(((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+                some = np.flatnonzero(np.diff(cut))
+                blobs = [_blob(np.concatenate([n[a:b], run[a:b].T.ravel()])) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), m, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "m", "payload"])
 
         for codes in _read(batches):
-            at, h = _pair_hashes(codes)
-            if safe is not None:
-                at = at[_among(safe, h)]
-            fit = np.zeros(len(codes) + longest, bool)
-            fit[at] = True
-            begin = fit
-            for m in range(2, longest + 1):
-                if m > 2:
-                    begin = begin[:-1] & fit[m - 2 :]  # the run goes on for one pair more
-                i = np.flatnonzero(begin)
-                if not len(i):
-                    break
-                held.setdefault(m, []).append(_distinct(codes[i[:, None] + np.arange(m)], np.ones(len(i), np.int64)))
-                size += len(held[m][-1][1])
+            for run in runs(codes):
+                held.setdefault(run.shape[1], []).append(_distinct(run, np.ones(len(run), np.int64))[:2])
+                size += len(held[run.shape[1]][-1][1])
             if size > HELD:
                 yield from out()
                 held, size = {}, 0
@@ -219,6 +194,31 @@ def _gathered(table, longest: int):
     return rows
 
 
+def _often(least: int):
+    """(words ARRAY<BIGINT>): the runs that come `least` times or more in all payloads of a bucket."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[tuple[int, int], list[bytes]] = {}
+        for batch in batches:
+            for bucket, m, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "m", "payload"))):
+                by.setdefault((bucket, m), []).append(blob)
+        while by:
+            (_, m), blobs = by.popitem()
+            parts = [_codes(b).reshape(m + 1, -1) for b in blobs]
+            run, n, _ = _distinct(np.concatenate([p[1:].T for p in parts]), np.concatenate([p[0] for p in parts]))
+            run = run[n >= least]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(run) + 1, dtype=np.int32) * m), pa.array(run.ravel()))], ["words"])
+
+    return rows
+
+
+def _frequent_runs(streams: DataFrame, runs, least: int) -> DataFrame:
+    """(words): runs of the streams that come `least` times or more, stored."""
+    buckets = 2 * int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = streams.mapInArrow(_dealt(runs, buckets), "bucket int, m int, payload binary")
+    return stored(dealt.repartition(buckets, "bucket").mapInArrow(_often(least), "words array<bigint>"))
+
+
 def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values stand in a sorted array."""
     if not len(known):
@@ -226,14 +226,6 @@ def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _distinct(run: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row of a matrix once, with the sum of its counts."""
-    order = np.lexsort(run.T[::-1])
-    run = run[order]
-    new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]).any(axis=1)])[: len(run)])
-    return run[new], np.add.reduceat(n[order], new) if len(new) else n
-
-
 class DoubleArray:
     """A trie of phrases of codes in two arrays: the state after `state` and symbol c is base[state] + c where check is state.
 
@@ -425,7 +417,6 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     if least < 1 or longest < 2:
         raise ValueError("phrases occur, and have two words at least")
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
     counted = texts.mapInArrow(_count, "lang string, key long, word string, n long").groupBy("lang", "key", "word").agg(F.sum("n").alias("n"))
     counted = stored(counted.where((F.col("n") >= least) | (F.col("key") == 0)))
@@ -433,12 +424,13 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     keys, complete = _most(words, known)
     table = spark.sparkContext.broadcast((np.sort(keys.view(np.uint64)), complete))
     streams = written(texts.mapInArrow(_streams(table), "codes binary"), "streams")
-    hashes = streams.mapInArrow(_pairs(buckets), "bucket int, payload binary").repartition(buckets, "bucket").mapInArrow(_often(least), "h long")
-    hashes = stored(hashes)
-    fit = np.sort(_column(hashes).view(np.uint64)) if hashes.count() <= safe else None  # `safe` rows at most
-    fits = spark.sparkContext.broadcast(fit)
-    gathered = streams.mapInArrow(_gathered(fits, longest), "words array<bigint>, n long").groupBy("words").agg(F.sum("n").alias("n"))
-    phrases = stored(_frequencies(streams, gathered.where(F.col("n") >= least).select("words"), trie).where(F.col("a") >= least))
+    pairs = _frequent_runs(streams, _pairs, least)
+    fit = None
+    if pairs.count() <= safe:
+        ends = pairs.select(F.col("words")[0].alias("a"), F.col("words")[1].alias("b")).toArrow()  # `safe` rows at most
+        fit = np.sort(_hashed(np.stack([ends.column(c).to_numpy() for c in "ab"], axis=1)))
+    candidates = pairs.union(_frequent_runs(streams, _longer(fit, longest), least)) if longest > 2 else pairs
+    phrases = stored(_frequencies(streams, candidates, trie).where(F.col("a") >= least))
     code = _code_of(words, keys, complete)
     counts = stored(phrases.select("words", F.col("a").alias("f")).union(code.select(F.array("code"), "n")))
     kept = stored(_not_inside(_scored(phrases, counts, longest), phrases, cover, longest))
