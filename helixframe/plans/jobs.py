@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import base4, hamming, header, metrics, parity, repeat, screen
 from ..operators import balanced, huffman
+from ..sources import fasta, named, payloads
+from ..sources.folders import shared
 
 METHODS, CODES = ("base4_direct", "huffman", "gc_balanced"), (None, "hamming_7_4", "triple_repeat")
 
@@ -50,12 +52,13 @@ def encode_table(df: DataFrame, method: str = "base4_direct", fec: str | None =
     return out.drop("_coded", "_own", "_payload", "dna", "table", "padding", "content")
 
 
-def decode_table(df: DataFrame, k: int | None = None) -> DataFrame:
+def decode_table(df: DataFrame, k: int | None = None, warnings: bool = False) -> DataFrame:
     """(id, header, sequence) to (id, method, fec, content, corrected, uncorrectable, bad_blocks, error).
 
     Each row is decoded as its own header says; k overrides the header's block length.  Rows that can't be decoded have an
     error and no content, and the others go on; an unknown parity rule, or one without a positive block length, is an error.  A
-    triple-repeat sequence of wrong length is decoded as it is, and bytes that Hamming decoding refuses are returned undecoded.
+    triple-repeat sequence of wrong length is decoded as it is, and bytes that Hamming decoding refuses are returned undecoded;
+    with `warnings` a column warning, null for other rows, says which of the two happened.
     """
     h = header.parse(F.col("header"))
     size = F.lit(k) if k else h["parity_k"]
@@ -70,7 +73,10 @@ def decode_table(df: DataFrame, k: int | None = None) -> DataFrame:
     coded = plain.withColumn("content", F.when(bad.isNull(), content)).withColumn("error", F.coalesce(bad, error))
     fixed = coded.withColumn("_f", hamming.decode(F.when(F.col("fec") == "hamming_7_4", F.col("content")), F.coalesce("bits", F.lit(0))))
     corrected = F.coalesce("voted", "_f.corrected", F.lit(0))
-    return fixed.select("id", "method", "fec", F.coalesce("_f.content", "content").alias("content"), corrected.alias("corrected"), F.coalesce("lost", F.lit(0)).alias("uncorrectable"), F.coalesce("bad_blocks", F.array().cast("array<int>")).alias("bad_blocks"), "error")
+    refused = F.when((F.col("fec") == "hamming_7_4") & F.col("content").isNotNull() & F.col("_f").isNull(), "Hamming code not undone: bits are not those of whole codewords")
+    unvoted = F.when((F.col("fec") == "triple_repeat") & F.col("voted").isNull() & F.col("dna").isNotNull(), "triple repeat not undone: length is not a multiple of 3")
+    noted = [F.coalesce(refused, unvoted).alias("warning")] if warnings else []
+    return fixed.select("id", "method", "fec", F.coalesce("_f.content", "content").alias("content"), corrected.alias("corrected"), F.coalesce("lost", F.lit(0)).alias("uncorrectable"), F.coalesce("bad_blocks", F.array().cast("array<int>")).alias("bad_blocks"), "error", *noted)
 
 
 def _unprotected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +96,39 @@ def _unprotected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, dna, *counts, checked.field("bad_blocks"), walked.field("content"), walked.field("error")], names)
 
 
+def encode_files(spark: SparkSession, paths: str | list[str], folder: str, **options) -> DataFrame:
+    """Payload files to FASTA files, one for each, named as the payload with .fasta: (name, n_bytes, n_nt, bits_per_nt, error).
+
+    options are those of `encode_table`.  Rows of equal names have an error and no file; the others go on.
+    """
+    files = payloads.read_files(spark, paths).select(F.col("path").alias("id"), metrics.base_name(F.col("path")).alias("name"), "content")
+    rows = encode_table(files, **options).select(metrics.encoded_name(F.col("name")).alias("name"), "n_bytes", "n_nt", "bits_per_nt", F.encode(fasta.to_text(F.col("header"), F.col("sequence"), fasta.JOB_WIDTH), "UTF-8").alias("content"))
+    return _filed(spark, rows, folder, "n_bytes", "n_nt", "bits_per_nt")
+
+
+def decode_files(spark: SparkSession, paths: str | list[str], folder: str, k: int | None = None) -> DataFrame:
+    """FASTA files to payload files, each of its file's first record, named by the file with _decoded.bin in place of its extension:
+    (name, method, fec, corrected, uncorrectable, n_bad_blocks, warning, error).
+
+    A row that can't be decoded has an error and no file; files without a record have no row.  warning tells of a protection
+    that could not be undone, whose content is written as it is.
+    """
+    records = fasta.read(spark, paths, first_only=True).select(F.col("path").alias("id"), "header", "sequence")
+    rows = decode_table(records, k, warnings=True).withColumn("name", metrics.decoded_name(F.col("id"))).withColumn("n_bad_blocks", F.size("bad_blocks"))
+    return _filed(spark, rows, folder, "method", "fec", "corrected", "uncorrectable", "n_bad_blocks", "warning", "error")
+
+
+def _filed(spark: SparkSession, rows: DataFrame, folder: str, *about: str) -> DataFrame:
+    """Rows, computed once, with their contents written under their names: (name, about..., error)."""
+    where = shared(spark, "files")  # contents are written, and their report is read, from these
+    rows.write.parquet(where)
+    rows = spark.read.schema(rows.schema).parquet(where)
+    report = named.write(rows.where("error is null") if "error" in rows.columns else rows, folder).select(F.col("name").alias("_name"), F.col("error").alias("_error")).distinct()
+    joined = rows.drop("content").join(report, rows["name"] == report["_name"], "left")
+    error = F.coalesce("error", "_error") if "error" in rows.columns else F.col("_error")
+    return joined.select("name", *[c for c in about if c != "error"], error.alias("error"))
+
+
 def audit(original: DataFrame, decoded: DataFrame, key: str = "id") -> DataFrame:
     """(id, status) of a round trip: same, differs, lost (not decoded) or extra (not among the originals).
 

@@ -6,8 +6,6 @@ same in both engines.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import base4, hamming, header, metrics, parity, repeat, screen
 from ..operators import balanced, huffman, statistics
-from ..sources import fasta, payloads
+from ..sources import fasta, named, payloads
+from ..sources.folders import shared
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +109,14 @@ def s2_fasta_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.records(files, keep=("doc_id",)).select("doc_id", "record_no", "header", _sha("sequence").alias("sequence_sha256"))
 
 
+@_query(f"{WITH_DNA} select doc_id, 'doc' || doc_id || ' lang=' || lang as header, sha256(dna) as sequence_sha256 from d")
+def s2_fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA files of many records each, read by byte ranges."""
+    path = shared(spark, "records")
+    fasta.write(_fasta(spark, sf_dir).select("header", F.col("dna").alias("sequence")), path)
+    return fasta.read(spark, path).select(F.regexp_extract("header", "^doc([0-9]+)", 1).cast("long").alias("doc_id"), "header", _sha("sequence").alias("sequence_sha256"))
+
+
 @_query(f"{WITH_DNA} select doc_id, sha256('>doc' || doc_id || ' lang=' || lang || chr(10) || case when dna = '' then '' else array_to_string(regexp_extract_all(dna, '.{{1,80}}'), chr(10)) || chr(10) end) as text_sha256 from d")
 def s4_fasta_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fasta(spark, sf_dir).select("doc_id", _sha(fasta.to_text(F.col("header"), F.col("dna"), 80)).alias("text_sha256"))
@@ -118,12 +125,36 @@ def s4_fasta_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("select doc_id, octet_length(encode(text))::bigint as n_bytes, md5(text) as digest from documents")
 def s5_payload_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = _dna(spark, sf_dir).select("doc_id", base4.decode(F.col("dna")).alias("content"))
-    context = spark.sparkContext
-    path = f"{context.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-payloads-')}/payloads-{uuid.uuid4().hex}"
+    path = shared(spark, "payloads")
     payloads.write(decoded, path)
     return spark.read.parquet(path).select("doc_id", F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
+def _named_texts(spark: SparkSession, sf_dir: str, *langs: str) -> str:
+    """A folder with the texts of some languages, each in a file of its own."""
+    docs = _docs(spark, sf_dir, "lang")
+    path = shared(spark, "texts")
+    named.write(docs.where(F.col("lang").isin(*langs)).select(F.concat(F.lit("doc"), "doc_id", F.lit(".txt")).alias("name"), "content"), path)
+    return path
+
+
+@_query("select 'doc' || doc_id || '.txt' as name, octet_length(encode(text))::bigint as length, md5(text) as digest from documents where lang in ('en', 'de', 'fr') and text <> ''")
+def s3_several_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written under their names in two folders, read in one scan."""
+    paths = [_named_texts(spark, sf_dir, "en", "fr"), _named_texts(spark, sf_dir, "de")]
+    return payloads.read_files(spark, [f"{p}/*.txt" for p in paths]).select(metrics.base_name(F.col("path")).alias("name"), "length", F.md5("content").alias("digest"))
+
+
+@_query("select 'doc' || doc_id || '.txt_decoded.bin' as name, octet_length(encode(text))::bigint as length, md5(text) as digest, 'base4_direct' as method, null::varchar as error from documents where lang = 'en' and text <> ''")
+def c2_files_to_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files to FASTA files and back to files, each under its name."""
+    texts, dna, back = _named_texts(spark, sf_dir, "en"), shared(spark, "dna"), shared(spark, "back")
+    jobs.encode_files(spark, f"{texts}/*.txt", dna, fec="hamming_7_4")
+    report = jobs.decode_files(spark, f"{dna}/*.fasta", back).select(F.col("name").alias("_name"), "method", "error")
+    found = payloads.read_files(spark, f"{back}/*.bin").select(metrics.base_name(F.col("path")).alias("name"), "length", F.md5("content").alias("digest"))
+    return found.join(report, found["name"] == report["_name"], "full_outer").select("name", "length", "digest", "method", "error")
+
+
 @_query("select doc_id, 'src/' || source || '/doc' || doc_id || '.txt.bin' as path, 'doc' || doc_id || '.txt.bin.fasta' as encoded_name, 'doc' || doc_id || '.txt_decoded.bin' as decoded_name from documents")
 def s6_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("src/"), F.col("source"), F.lit("/doc"), F.col("doc_id"), F.lit(".txt.bin"))
