@@ -107,15 +107,20 @@ def write(df: DataFrame, folder: str, name: str = "name", content: str = "conten
     side = F.broadcast(twice) if twice.count() <= BROADCAST_NAMES else twice
     rows = rows.join(side, F.lower("name") == side["_name"], "left").withColumn("error", F.coalesce("error", F.when(F.col("_name").isNotNull(), "several rows have the name"))).drop("_name")
     staging = f"{folder.rstrip('/')}/{STAGING}/{uuid.uuid4().hex}"
-    spark.dataSource.register(NamedFiles)
+    stage(rows.where("error is null").select("name", "content"), staging)
+    publish(spark, folder, staging)
+    return rows.select("name", F.length("content").cast("long").alias("n_bytes"), "error")
+
+
+def stage(rows: DataFrame, staging: str) -> None:
+    """Write rows (name, content) to a staging folder; nothing stays there if that fails."""
+    rows.sparkSession.dataSource.register(NamedFiles)
     try:
-        rows.where("error is null").select("name", "content").write.format("named_files").mode("append").save(staging)
+        rows.write.format("named_files").mode("append").save(staging)
     except Exception:
         time.sleep(1)  # tasks that ran on while the job was given up may have written once more
         _Writer(staging).abort([])
         raise
-    publish(spark, folder, staging)
-    return rows.select("name", F.length("content").cast("long").alias("n_bytes"), "error")
 
 
 def publish(spark: SparkSession, folder: str, staging: str) -> None:

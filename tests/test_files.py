@@ -89,11 +89,10 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
         named.write(df.withColumn("content", F.coalesce("content", F.lit(b"y"))), str(tmp_path))
     assert not _listed(tmp_path)
     staging = tmp_path / named.STAGING / "job"
-    spark.dataSource.register(named.NamedFiles)
     late = spark.range(2000, numPartitions=4).select(F.concat(F.lit("f"), "id").alias("name"), F.when(F.col("id") == 1999, F.raise_error(F.lit("no"))).otherwise(F.lit("x")).cast("binary").alias("content"))
     with pytest.raises(Exception, match="no"):  # when other tasks have written their files
-        late.write.format("named_files").mode("append").save(str(staging))
-    assert not [p for p in staging.rglob("*") if p.is_file()]
+        named.stage(late, str(staging))
+    assert not staging.exists()
 
 
 def test_publishing_can_be_repeated(spark, tmp_path):
