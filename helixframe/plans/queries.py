@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import base4, hamming, header, metrics, parity, repeat, screen
-from ..operators import balanced, huffman, statistics
+from ..operators import balanced, huffman, pieces, statistics
 from ..sources import fasta, named, payloads
 from ..sources.folders import shared
 from . import jobs
@@ -67,6 +67,9 @@ def _replace_sql(text: str, pairs: dict[str, str]) -> str:
     return text
 
 
+#: Nucleotides of a piece, in queries on pieces.
+PIECE = 4000
+
 HEXED = "lower(hex(encode(text)))"
 DNA = _replace_sql(HEXED, base4.pairs())
 WITH_DNA = f"with d as (select doc_id, lang, source, text, octet_length(encode(text)) as n_bytes, {DNA} as dna from documents)"
@@ -401,6 +404,18 @@ def w2_homopolymers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.homopolymer_regions(_dna(spark, sf_dir), "doc_id")
 
 
+@_query(f"{WITH_DNA}, w as (select doc_id, s::bigint as window_start, substr(dna, (s + 1)::int, 50) as piece from (select doc_id, dna, unnest(range(0, length(dna) - 49, 10)) as s from d)) select doc_id, window_start, length(regexp_replace(piece, '[^GC]', '', 'g')) / 50 as gc from w")
+def w1_sliding_gc_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over sequences cut into pieces, which exchange what stands at their borders."""
+    return pieces.sliding_gc(pieces.cut(_dna(spark, sf_dir), "doc_id", "dna", PIECE), "doc_id")
+
+
+@_query(f"{WITH_DNA}, r as (select doc_id, unnest(regexp_extract_all(dna, 'A+|T+|C+|G+')) as piece, generate_subscripts(regexp_extract_all(dna, 'A+|T+|C+|G+'), 1) as run from d), e as (select doc_id, piece, sum(length(piece)) over (partition by doc_id order by run) as stop from r) select doc_id, (stop - length(piece))::bigint as start_pos, (stop - 1)::bigint as end_pos, piece[1:1] as base from e where length(piece) >= 4")
+def w2_homopolymers_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over sequences cut into pieces, whose runs are joined at the borders."""
+    return pieces.homopolymer_regions(pieces.cut(_dna(spark, sf_dir), "doc_id", "dna", PIECE), "doc_id")
+
+
 @_query(f"{WITH_DNA} select doc_id, 'doc' || doc_id || ' lang=' || lang as header, sha256(dna) as sequence_sha256 from d")
 def w3_first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(fasta.to_text(F.col("header"), F.col("dna")), F.lit(">second\nATGC\n"))
