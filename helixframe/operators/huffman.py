@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import flat
+from ..sources.folders import shared
+from . import pieces
 
 #: Bytes of a payload that are turned into bits at once, and bits that one table lookup decodes.
 CHUNK, LOOKUP = 1 << 16, 12
+#: Rows of code books that are broadcast; of more the payloads are shuffled, each group over SALTS keys.
+GROUPS, SALTS = 10_000, 32
 _LETTERS = np.frombuffer(b"ATCG", np.uint8)
 _NONE = np.iinfo(np.int64).max
 
@@ -167,13 +171,20 @@ def _slots(books: DataFrame, group: str) -> DataFrame:
     return rows.select(F.col(group).alias("_group"), F.array_join(slots, ",").alias("_codes"), named.alias("table"))
 
 
-def encode(df: DataFrame, group: str, content: str = "content", order: str | None = None) -> DataFrame:
+def encode(df: DataFrame, group: str, content: str = "content", order: str | None = None, groups: int = GROUPS) -> DataFrame:
     """df with dna, table MAP<STRING, STRING> and padding INT added; an empty payload has '', an empty table and 0.
 
-    All payloads of a group share its code book; a null group is a group.
+    All payloads of a group share its code book; a null group is a group.  Books of up to `groups` groups are counted first and
+    broadcast; of more, payloads are shuffled by group and a hash of the content, so that a large group is many keys.
     """
-    books = _slots(code_books(byte_frequencies(df, group, content, order), group), group)
-    joined = df.join(books, df[group].eqNullSafe(books["_group"]), "left").drop("_group").withColumn("_e", _encoded(F.col(content), F.col("_codes")))
+    books = _slots(code_books(byte_frequencies(df, group, content, order), group), group).persist()  # one row a group
+    if books.count() <= groups:  # payloads stay where they are
+        joined = df.join(F.broadcast(books), df[group].eqNullSafe(books["_group"]), "left").drop("_group")
+    else:
+        dealt = df.withColumn("_salt", F.pmod(F.xxhash64(content), F.lit(SALTS)))
+        books = books.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = dealt.join(books, df[group].eqNullSafe(books["_group"]) & (F.col("_salt") == F.col("_deal")), "left").drop("_group", "_salt", "_deal")
+    joined = joined.withColumn("_e", _encoded(F.col(content), F.col("_codes")))
     table = F.when(F.length(content) > 0, F.col("table")).otherwise(F.expr("map()").cast("map<string,string>"))
     return joined.withColumn("dna", F.col("_e.dna")).withColumn("padding", F.col("_e.padding")).withColumn("table", table).drop("_e", "_codes")
 
@@ -196,31 +207,64 @@ class _Book:
             self.byte[span], self.length[span] = byte, len(code)
         self.longest = max(map(len, self.long), default=0)
 
-    def walk(self, bits: np.ndarray) -> bytes | None:
-        """Bytes of all codes from the first bit to the last; None where bits are left over."""
+    def ahead(self, bits: np.ndarray) -> np.ndarray:
+        """At each place the number that the next LOOKUP bits are."""
         n = len(bits)
         padded = np.concatenate([bits, np.zeros(LOOKUP, np.uint8)])
-        ahead = np.zeros(n, np.uint16)
+        out = np.zeros(n, np.uint16)
         for i in range(LOOKUP):
-            ahead = ahead << 1 | padded[i : n + i]
-        steps = self.length[ahead].tobytes()
-        places, others, p = [], {}, 0
-        while p < n:
+            out = out << 1 | padded[i : n + i]
+        return out
+
+    def long_at(self, bits: np.ndarray, p: int) -> str | None:
+        """The code of more than LOOKUP bits that stands at a place."""
+        code = "".join(map(str, bits[p : p + self.longest]))
+        return next((code[:k] for k in range(LOOKUP + 1, len(code) + 1) if code[:k] in self.long), None)
+
+    def span(self, bits: np.ndarray, ahead: np.ndarray, start: int, past: int) -> tuple[bytes, int] | None:
+        """(bytes of the codes that begin from start on and before past, where the last one ends); None where no code fits."""
+        steps = self.length[ahead[:past]].tobytes()
+        places, others, p = [], {}, start
+        while p < past:
             step = steps[p]
             if not step:
-                code = "".join(map(str, bits[p : p + self.longest]))
-                fit = next((code[:k] for k in range(LOOKUP + 1, len(code) + 1) if code[:k] in self.long), None)
+                fit = self.long_at(bits, p)
                 if fit is None:
                     return None
                 others[len(places)], step = self.long[fit], len(fit)
             places.append(p)
             p += step
-        if p > n:
-            return None
-        out = self.byte[ahead[places]]
+        out = self.byte[ahead[places]] if places else np.zeros(0, np.uint8)
         for i, byte in others.items():
             out[i] = byte
-        return out.tobytes()
+        return out.tobytes(), p
+
+    def walk(self, bits: np.ndarray) -> bytes | None:
+        """Bytes of all codes from the first bit to the last; None where bits are left over."""
+        found = self.span(bits, self.ahead(bits), 0, len(bits))
+        return found[0] if found and found[1] == len(bits) else None
+
+    def exits(self, bits: np.ndarray, past: int, entries: int) -> list[int]:
+        """For each of the first places, how far beyond `past` the walk from there ends; -1 where no code fits.
+
+        Walks that meet go on as one, so all of them cost little more than the first.
+        """
+        ahead = self.ahead(bits)
+        steps, end, out = self.length[ahead].tobytes(), {}, []
+        for entry in range(entries):
+            p, path = entry, []
+            while p < past and p not in end:
+                path.append(p)
+                step = steps[p] or len(self.long_at(bits, p) or "")
+                if not step:
+                    p = -1
+                    break
+                p += step
+            last = end[p] if p in end else p - past if p >= 0 else -1
+            last = last if p in end or p < 0 or p <= len(bits) else -1
+            end.update(dict.fromkeys(path, last))
+            out.append(last)
+        return out
 
 
 @lru_cache(64)
@@ -268,3 +312,103 @@ _decoded = F.arrow_udf(decoded, T.StructType().add("content", T.BinaryType()).ad
 def decode(df: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, dna, table, padding) to (id, content, error)."""
     return df.select(id_col, _decoded("dna", "table", "padding").alias("_d")).select(id_col, "_d.content", "_d.error")
+
+
+#: The longest code of 256 bytes has 255 bits; so many nucleotides beyond a piece may belong to its last code.
+ENTRIES, HALO = 256, 128
+
+
+def _bits(dna: str) -> np.ndarray | None:
+    pairs = _BITS_OF[np.frombuffer(dna.encode(), np.uint8)]
+    return None if pairs.max(initial=0) > 3 else np.stack([pairs >> 1, pairs & 1], axis=1).ravel()
+
+
+def _piece_bits(row: dict) -> tuple[np.ndarray, int] | str:
+    """(bits of a piece and its halo, how many are the piece's own), without the padding, or why there are none."""
+    bits = _bits(row["text"] + row["tail"])
+    if bits is None:
+        return "invalid nucleotide"
+    padding, total = row["padding"] or 0, row["total"] - row["start"]  # nucleotides from here to the end
+    if not 0 <= padding <= 1:
+        return "padding is not 0 or 1 bit of the sequence"
+    if len(bits) == 2 * total and padding:
+        if bits[-1]:
+            return "padding bits are not zero"
+        bits = bits[:-1]
+    return bits, min(2 * row["length"], len(bits))
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, at, exits ARRAY<INT>, why): a piece's way out from each place where it may be entered."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            found = _piece_bits(row)
+            try:
+                if isinstance(found, str):
+                    out.append((row["key"], row["at"], None, found))
+                elif not row["table"]:
+                    out.append((row["key"], row["at"], None, "no code table"))
+                else:
+                    out.append((row["key"], row["at"], _book(tuple(row["table"])).exits(*found, ENTRIES if row["at"] else 1), None))
+            except ValueError:
+                out.append((row["key"], row["at"], None, "bad code table"))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string()))], ["key", "at", "exits", "why"])
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _entered(exits: pa.Array) -> pa.Array:
+    """Where each piece of a payload is entered, from the ways of all in order, and where the last one is left."""
+    out = []
+    for ways in exits.to_pylist():
+        places = [0]
+        for way in ways:
+            p = places[-1]
+            places.append(-1 if way is None or not 0 <= p < len(way) else way[p])
+        out.append(places)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def _spelled_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, at, content): the bytes whose codes begin in a piece."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            bits, own = _piece_bits(row)
+            book = _book(tuple(row["table"]))
+            out.append((row["key"], row["at"], book.span(bits, book.ahead(bits), row["entry"], own)[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.binary()))], ["key", "at", "content"])
+
+
+def decode_pieces(parts: DataFrame, books: DataFrame, id_col: str = "id", piece: str = "piece", seq: str = "dna") -> DataFrame:
+    """(id, at INT, content, error) of sequences in pieces (id, piece, dna), with (id, table, padding) of each, one row an id.
+
+    A payload is decoded by as many tasks as it has pieces: each follows the codes from every bit at which it may be entered,
+    since where the piece before ends is not known yet; walks that meet are one, as prefix codes fall into step.  The ways through
+    all pieces of a payload, some hundred numbers each, are then put together, and a second pass spells out the bytes, those of
+    a piece in one row, in order of `at`.  A payload that can't be decoded has one row with an error; one without a sequence has
+    none.
+    """
+    spark = parts.sparkSession
+    keyed = parts.select(F.col(id_col), F.col(piece).alias("piece"), F.col(seq).alias("text"))
+    haloed = pieces.with_halo(keyed, id_col, "piece", "text", HALO)
+    sizes = pieces.placed(keyed, id_col, "piece", "text").groupBy(F.col(id_col).alias("_id")).agg(F.sum("length").alias("total"))
+    about = sizes.join(books.select(F.col(id_col).alias("_book"), "table", "padding"), F.col("_id").eqNullSafe(F.col("_book")), "left").drop("_book")
+    about = about.withColumn("key", F.monotonically_increasing_id())
+    where = shared(spark, "codes")  # read by both passes, and row numbers stay
+    about.write.parquet(f"{where}/about")
+    about = spark.read.schema(about.schema).parquet(f"{where}/about")
+    side = F.broadcast(about) if about.count() <= GROUPS else about
+    haloed.join(side, F.col(id_col).eqNullSafe(F.col("_id"))).select("key", "at", "start", "length", "text", "tail", "total", "table", "padding").write.parquet(f"{where}/pieces")
+    rows = spark.read.parquet(f"{where}/pieces")
+    ways = rows.mapInArrow(_followed, "key long, at int, exits array<int>, why string")
+    gathered = ways.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "exits"))).alias("ways"), F.first("why", ignorenulls=True).alias("why"))
+    entered = gathered.select("key", _entered(F.col("ways.exits")).alias("places"), "why")
+    entered = entered.withColumn("error", F.coalesce("why", F.when(F.element_at("places", -1) != 0, "bits are left over")))
+    entered.select("key", "places", "error").write.parquet(f"{where}/entered")
+    entered = spark.read.schema("key long, places array<int>, error string").parquet(f"{where}/entered")
+    good = entered.where("error is null").select(F.col("key").alias("_key"), F.posexplode(F.slice("places", F.lit(1), F.size("places") - 1)).alias("_at", "entry"))
+    spelled = rows.join(good, (F.col("key") == F.col("_key")) & (F.col("at") == F.col("_at"))).drop("_key", "_at").mapInArrow(_spelled_out, "key long, at int, content binary")
+    bad = entered.where("error is not null").select("key", F.lit(0).alias("at"), F.lit(None).cast("binary").alias("content"), "error")
+    out = spelled.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+    return out.join(about.select(F.col("key").alias("_key"), F.col("_id").alias(id_col)), F.col("key") == F.col("_key")).select(id_col, "at", "content", "error")

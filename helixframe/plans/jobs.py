@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import base4, hamming, header, metrics, parity, repeat, screen
@@ -129,16 +129,50 @@ def _filed(spark: SparkSession, rows: DataFrame, folder: str, *about: str) -> Da
     return joined.select("name", *[c for c in about if c != "error"], error.alias("error"))
 
 
+#: Where `decode_into` puts rows that were decoded, and those that were not.
+DECODED, QUARANTINED = "decoded", "quarantined"
+
+
+def decode_into(df: DataFrame, folder: str, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decode a table into a folder: (decoded rows, quarantined rows, report), of one evaluation of df.
+
+    Rows without an error go to the part status=decoded of the folder, the others to status=quarantined, both as Parquet.  While
+    they are written their corrections are summed: the report has (method, fec, n_rows, n_errors, corrected, uncorrectable,
+    bad_blocks) for each method and code that occurs, null for others than the known ones.
+    """
+    spark = df.sparkSession
+    out = decode_table(df, k).withColumn("status", F.when(F.col("error").isNull(), DECODED).otherwise(QUARANTINED))
+    sums = {"n_rows": F.lit(1), "n_errors": F.when(F.col("error").isNotNull(), 1).otherwise(0), "corrected": F.col("corrected"), "uncorrectable": F.col("uncorrectable"), "bad_blocks": F.size("bad_blocks")}
+    kinds = [(m, c) for m in (*METHODS, None) for c in CODES]
+    known = lambda c, names: F.when(F.col(c).isin(*[n for n in names if n]), F.col(c))
+    of = lambda m, c: known("method", METHODS).eqNullSafe(F.lit(m)) & known("fec", CODES).eqNullSafe(F.lit(c))
+    seen = Observation()
+    metrics_of = [F.coalesce(F.sum(F.when(of(m, c), v)), F.lit(0)).cast("long").alias(f"{i}_{n}") for i, (m, c) in enumerate(kinds) for n, v in sums.items()]
+    out.observe(seen, *metrics_of).write.partitionBy("status").parquet(folder)
+    rows = [(m, c, *[seen.get[f"{i}_{n}"] for n in sums]) for i, (m, c) in enumerate(kinds) if seen.get[f"{i}_n_rows"]]
+    report = spark.createDataFrame(rows, "method string, fec string, " + ", ".join(f"{n} long" for n in sums))
+    written = spark.read.schema(out.schema).parquet(folder)
+    part = lambda status: written.where(F.col("status") == status).drop("status")
+    return part(DECODED), part(QUARANTINED), report
+
+
 def audit(original: DataFrame, decoded: DataFrame, key: str = "id") -> DataFrame:
     """(id, status) of a round trip: same, differs, lost (not decoded) or extra (not among the originals).
 
-    A null key is a key.  Keys should be unique: rows of a repeated one meet each other's.
+    A null key is a key.  Rows of a repeated key are matched as often as both sides have the same content (same); of what is
+    left, as many as both sides have differ, and the rest is lost or extra.  Counts of (id, digest) are shuffled, so many rows
+    of one key are few.
     """
-    a = original.select(key, F.sha2("content", 256).alias("_a"), F.lit(1).alias("_in"))
-    b = decoded.select(key, F.sha2("content", 256).alias("_b"), F.lit(1).alias("_out"))
-    status = F.when(F.col("_in").isNull(), "extra").when(F.col("_out").isNull(), "lost").when(F.col("_a").eqNullSafe(F.col("_b")), "same").otherwise("differs")
-    b = b.withColumnRenamed(key, "_key")
-    return a.join(b, a[key].eqNullSafe(b["_key"]), "full_outer").select(F.coalesce(key, "_key").alias(key), status.alias("status"))
+    side = lambda df, a, b: df.select(key, F.sha2("content", 256).alias("_digest"), F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+    both = side(original, 1, 0).union(side(decoded, 0, 1)).groupBy(key, "_digest").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    same = F.least("_a", "_b")
+    sums = both.groupBy(key).agg(F.sum(same).alias("same"), F.sum(F.col("_a") - same).alias("_a"), F.sum(F.col("_b") - same).alias("_b"))
+    differ = F.least("_a", "_b")
+    counts = {"same": F.col("same"), "differs": differ, "lost": F.col("_a") - differ, "extra": F.col("_b") - differ}
+    listed = F.filter(F.array(*[F.struct(F.lit(s).alias("status"), n.alias("n")) for s, n in counts.items()]), lambda x: x["n"] > 0)
+    each = sums.select(key, F.explode(listed).alias("s")).select(key, "s.*")
+    blocks = each.select(key, "status", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000))).alias("_block"))
+    return blocks.select(key, F.explode(F.array_repeat("status", F.least(F.lit(1000), F.col("n") - F.col("_block") * 1000).cast("int"))).alias("status"))
 
 
 def lost(original: DataFrame, decoded: DataFrame, key: str = "id") -> DataFrame:

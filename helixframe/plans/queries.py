@@ -330,6 +330,34 @@ def f5_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.decode_table(rows).select(F.col("id").alias("doc_id"), F.col("content").isNotNull().alias("decoded"), "error")
 
 
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded rows of which those in other languages than English have a character that no nucleotide is."""
+    seq = F.when(F.col("lang") == "en", F.col("dna")).otherwise(_hurt(F.col("dna"), F.col("doc_id")))
+    return _dna(spark, sf_dir, "lang").select(F.col("doc_id").alias("id"), F.lit("method=base4_direct input_file=x").alias("header"), seq.alias("sequence"))
+
+
+@_query("select doc_id, case when lang = 'en' or text = '' then 'decoded' else 'quarantined' end as place, case when lang = 'en' or text = '' then sha256(text) end as content_sha256, case when lang <> 'en' and text <> '' then 'invalid nucleotide' end as error from documents")
+def f5_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded and quarantined rows, written to two places in one pass and read back."""
+    good, bad, _ = jobs.decode_into(_damaged(spark, sf_dir), shared(spark, "decoded"))
+    cols = [F.col("id").alias("doc_id"), "place", _sha("content").alias("content_sha256"), "error"]
+    return good.withColumn("place", F.lit(jobs.DECODED)).select(*cols).union(bad.withColumn("place", F.lit(jobs.QUARANTINED)).select(*cols))
+
+
+@_query("select 'base4_direct' as method, null::varchar as fec, count(*) as n_rows, count(*) filter (lang <> 'en' and text <> '') as n_errors, 0::bigint as corrected, 0::bigint as uncorrectable, 0::bigint as bad_blocks from documents")
+def a5_report_while_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report gathered while decoded rows are written."""
+    return jobs.decode_into(_damaged(spark, sf_dir), shared(spark, "decoded"))[2]
+
+
+@_query("select doc_id % 7 as id, 'same' as status from documents where doc_id % 3 = 0 union all (with n as (select doc_id % 7 as id, count(*) filter (doc_id % 3 = 1) as a, count(*) filter (doc_id % 3 <> 0) as b from documents group by 1) select id, unnest(list_concat(list_transform(range(a), lambda i: 'differs'), list_transform(range(b - a), lambda i: 'lost'))) from n)")
+def j2_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round trip in which many rows share an id: a third comes back as it was, a third changed, a third not at all."""
+    docs = _docs(spark, sf_dir).select((F.col("doc_id") % 7).alias("id"), "doc_id", F.concat(F.encode(F.concat("doc_id", F.lit(":")), "UTF-8"), "content").alias("content"))
+    back = docs.where(F.col("doc_id") % 3 < 2).withColumn("content", F.when(F.col("doc_id") % 3 == 1, F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))
+    return jobs.audit(docs, back)
+
+
 _BYTES = "with b as (select doc_id, lang, unnest(regexp_extract_all(hex(encode(text)), '..')) as code from documents)"
 
 
@@ -475,3 +503,13 @@ def c5_huffman_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c6_huffman_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = huffman.encode(_docs(spark, sf_dir, "lang"), "lang", order="doc_id")
     return huffman.decode(coded, "doc_id").select("doc_id", _sha("content").alias("content_sha256"), "error")
+
+
+@_query("select doc_id, sha256(text) as content_sha256, null::varchar as error from documents where text <> ''")
+def c6_huffman_decode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from sequences in pieces, each decoded by itself; the pieces' bytes are put together for the digest only."""
+    coded = huffman.encode(_docs(spark, sf_dir, "lang"), "lang", order="doc_id").select("doc_id", "dna", "table", "padding")
+    parts = huffman.decode_pieces(pieces.cut(coded, "doc_id", "dna", PIECE), coded, "doc_id")
+    ordered = F.array_sort(F.collect_list(F.struct("at", F.hex("content").alias("h"))))
+    whole = parts.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["h"]), "").alias("h"), F.max("error").alias("error"))
+    return whole.select("doc_id", _sha(F.unhex("h")).alias("content_sha256"), "error")

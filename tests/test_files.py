@@ -123,3 +123,21 @@ def test_files_to_files(spark, tmp_path, options):
     rows = {r.name: r for r in jobs.decode_files(spark, str(tmp_path / "dna"), str(tmp_path / "back")).collect()}
     assert rows["bad_decoded.bin"].error == "invalid nucleotide" and "no_decoded.bin" not in rows
     assert _listed(tmp_path / "back") == {"one.txt_decoded.bin": contents["one.txt"], "two.tar.gz_decoded.bin": contents["two.tar.gz"], "three_decoded.bin": b"3", "two_decoded.bin": b"A"}
+
+
+def test_decoding_into_two_places(spark, tmp_path):
+    rows = [(1, "method=base4_direct input_file=a", "TAAT"), (2, "method=base4_direct input_file=b fec=triple_repeat", "TTTAAAAAATTG"), (3, "method=none", "TAAT"), (4, "method=base4_direct", "TAAX"), (5, None, None)]
+    good, bad, report = jobs.decode_into(spark.createDataFrame(rows, "id long, header string, sequence string"), str(tmp_path / "out"))
+    assert {r.id: bytes(r.content) for r in good.collect()} == {1: b"A", 2: b"A"}
+    assert {r.id: r.error for r in bad.collect()}.keys() == {3, 4, 5}
+    got = {(r.method, r.fec): tuple(r)[2:] for r in report.collect()}
+    assert got == {("base4_direct", None): (2, 1, 0, 0, 0), ("base4_direct", "triple_repeat"): (1, 0, 1, 0, 0), (None, None): (2, 2, 0, 0, 0)}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["status=decoded", "status=quarantined"]
+
+
+def test_audit_of_repeated_ids(spark):
+    a = [(1, b"a")] * 2500 + [(1, b"b"), (2, b"x"), (3, b"x"), (3, b"x"), (None, b"n"), (None, b"m"), (4, None)]
+    b = [(1, b"a")] * 2400 + [(1, b"c"), (2, b"y"), (3, b"x"), (5, b"z"), (None, b"n"), (4, None)]
+    frame = lambda rows: spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, c in rows], "id long, content binary")
+    got = {(r.id, r.status): r.n for r in jobs.audit(frame(a), frame(b)).groupBy("id", "status").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, "same"): 2400, (1, "differs"): 1, (1, "lost"): 100, (2, "differs"): 1, (3, "same"): 1, (3, "lost"): 1, (None, "same"): 1, (None, "lost"): 1, (4, "same"): 1, (5, "extra"): 1}

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import pieces, statistics
+from helixframe.operators import huffman, pieces, statistics
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,49 @@ def test_bad_arguments(sequences):
     for call in (lambda: pieces.sliding_gc(sequences, "id", window=0), lambda: pieces.homopolymer_regions(sequences, "id", min_len=1)):
         with pytest.raises(ValueError):
             call()
+
+
+def _payloads():
+    rng = random.Random(12)
+    skewed = bytes(b for b in range(20) for _ in range(2 ** min(b, 13)))  # codes of many lengths, up to 19 bits and more
+    deep = bytes(rng.sample(skewed, len(skewed) // 4)) + bytes(range(20))
+    return [(1, b"aabbc" * 40), (2, bytes(rng.randrange(256) for _ in range(700))), (3, b"AAAAA"), (4, deep), (5, b"x"), (6, b"")]
+
+
+@pytest.mark.parametrize("size", [1, 5, 300])
+def test_a_payload_is_decoded_from_pieces(spark, size):
+    rows = [(i, bytearray(c)) for i, c in _payloads() if size > 1 or len(c) < 300]
+    coded = huffman.encode(spark.createDataFrame(rows, "id long, content binary"), "id").cache()
+    parts = pieces.cut(coded, "id", "dna", size).repartition(3)
+    got = {}
+    for r in sorted(huffman.decode_pieces(parts, coded.select("id", "table", "padding")).collect(), key=lambda r: r["at"]):
+        assert r.error is None
+        got[r.id] = got.get(r.id, b"") + bytes(r.content)
+    assert got == {i: bytes(c) for i, c in rows if c}
+
+
+def test_pieces_that_can_not_be_decoded(spark):
+    rows = [(1, "AGCXAA", {"65": "0"}, 0), (2, "AAA", {"65": "0"}, 3), (3, "AAT", {"65": "0"}, 1), (4, "AAAA", {"88": "001"}, 0), (5, "AA", {}, 0), (6, "AT", {"1": "00", "2": "01", "3": "1"}, 0), (7, "AA", {"300": "0"}, 0), (None, "AT", {"1": "00", "2": "01"}, 0)]
+    df = spark.createDataFrame(rows, "id long, dna string, table map<string,string>, padding int")
+    got = {r.id: r for r in huffman.decode_pieces(pieces.cut(df, "id", "dna", 2), df).collect()}
+    want = {r.id: r for r in huffman.decode(df).collect()}
+    assert got.keys() == want.keys()
+    assert all((got[i].error, got[i].content) == (want[i].error, want[i].content) for i in want)
+
+
+@pytest.mark.parametrize("groups", [huffman.GROUPS, 1])
+def test_group_books_meet_payloads_without_a_shuffle_by_group(spark, groups):
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 3 else None, bytearray(b"abc" * (i + 1))) for i in range(30)], "id long, g string, content binary")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = huffman.encode(df, "g", order="id", groups=groups)
+        plan = coded._jdf.queryExecution().optimizedPlan().toString() + coded._jdf.queryExecution().executedPlan().toString()
+        back = {r.id: bytes(r.content) for r in huffman.decode(coded).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert back == {i: b"abc" * (i + 1) for i in range(30)}
+    assert ("BroadcastHashJoin" in plan) == (groups > 1) and ("_salt" in plan) == (groups == 1)
+    if groups > 1:
+        above = plan[plan.index("BroadcastHashJoin") :].split("InMemoryTableScan")[0]
+        assert "Exchange hashpartitioning" not in above
