@@ -282,8 +282,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = WORDS, lar
     doc_id that links reach.  Texts without words (null, empty, blank) have no shingles and are linked with nothing.  A text
     of fewer than k words has one shingle.  Rows of the same doc_id share a component only by their texts; a null doc_id is kept alone.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _grouped(docs, percent, k, large, hot_members)
+    # ids that name several rows can't stand for a text: rows are numbered, and groups get the smallest of their ids afterwards
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    named = rows.where("doc_id is not null")
+    found = _grouped(named.select(F.col("_row").alias("doc_id"), "text"), percent, k, large, hot_members)
+    found = named.select("_row", F.col("doc_id").alias("_id")).join(found, F.col("_row") == F.col("doc_id")).drop("_row", "doc_id")
+    found = stored(found)
+    smallest = found.groupBy("component_id").agg(F.min("_id").alias("_least")).withColumnRenamed("component_id", "_group")
+    out = found.join(smallest, F.col("component_id") == F.col("_group")).select(F.col("_id").alias("doc_id"), "n_shingles", F.col("_least").alias("component_id"), (F.col("_id") == F.col("_least")).alias("kept"))
+    return out.union(_grouped(rows.where("doc_id is null").select("doc_id", "text"), percent, k, large, hot_members))
+
+
+def _grouped(docs: DataFrame, percent: int, k: int, large: int, hot_members: int) -> DataFrame:
+    """The groups of documents whose ids, but for null, are unique."""
+    spark = docs.sparkSession
     sketch = stored(sketches(docs, k))
     reps = stored(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     banded = _banded(reps.withColumn("part", F.col("rep")))

@@ -39,7 +39,7 @@ def op2_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.captures_of(_table(spark, sf_dir, "pages"))
-    contents = captures.where("status = 200").select(F.col("record_id").alias("_of"), F.col("payload").alias("content"))
+    contents = captures.where("status = 200").groupBy(F.col("record_id").alias("_of")).agg(F.min("payload").alias("content"))  # one of repeated rows
     found = warc.resolve(captures.withColumn("payload", F.when(F.col("status") == 200, F.col("record_id"))))  # contents travel once, after
     found = found.join(contents, F.coalesce("payload", "record_id") == F.col("_of"), "left").withColumn("payload", F.md5("content"))
     number = lambda c: F.substr(c, F.lit(2)).cast("long")
