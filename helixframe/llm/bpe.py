@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .text import slices
+from .text import lean, slices
 
 NONE = np.int32(2**31 - 1)
 #: Most words that a task keeps with their ids.
@@ -172,4 +172,4 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, digests: bool)
     kind = docs.schema[id_col].dataType.simpleString()
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(rows, f"id {kind}, n_tokens long, {tail}").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(rows), f"id {kind}, n_tokens long, {tail}").withColumnRenamed("id", id_col)

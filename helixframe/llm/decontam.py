@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .recovery import BROADCAST_IDS, only, stored
-from .text import hash_words, shingles, slices
+from .text import SMALL, hash_words, lean, shingles, slices
 
 LEAST, THRESHOLD = 5, 0.6
-#: Most words of a benchmark that is broadcast.
-BROADCAST_WORDS = 2_000_000
+#: Most words, and bytes, of a benchmark that is broadcast.
+BROADCAST_WORDS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -63,25 +63,34 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[
     free_a, free_b = np.ones(len(item), bool), np.ones(len(text), bool)
     out: list[tuple[int, int, int]] = []
 
-    def matches(size: int) -> tuple[np.ndarray, np.ndarray]:
+    def mark(size: int) -> None:
+        """Mark what matches of a size there are; windows that a mark touches stay closed, so each class of equal ones is passed once."""
         ok_a, ok_b = (np.flatnonzero(_open(f, size)) for f in (free_a, free_b))
         if not len(ok_a) or not len(ok_b):
-            return ok_a[:0], ok_b[:0]
+            return
         ha, hb = a.windows(size)[ok_a], b.windows(size)[ok_b]
-        ok_b, hb = ok_b[np.isin(hb, ha)], hb[np.isin(hb, ha)]
-        order = np.argsort(ha, kind="stable")
-        lo, hi = np.searchsorted(ha[order], hb, "left"), np.searchsorted(ha[order], hb, "right")
-        at = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
-        return ok_a[order[at]], np.repeat(ok_b, hi - lo)
+        met = np.isin(hb, ha)
+        ok_b, hb = ok_b[met], hb[met]
+        order = np.argsort(hb, kind="stable")
+        ok_b, hb = ok_b[order], hb[order]
+        lo, hi = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
+        some = lo < hi
+        after: dict[int, int] = {}
+        for x, first, past in zip(ok_a[some].tolist(), lo[some].tolist(), hi[some].tolist()):
+            if not free_a[x : x + size].all():
+                continue
+            at = after.get(first, first)
+            while at < past and not free_b[ok_b[at] : ok_b[at] + size].all():
+                at += 1
+            if at < past:
+                y = int(ok_b[at])
+                free_a[x : x + size] = free_b[y : y + size] = False
+                out.append((x, y, size))
+            after[first] = at
 
     size = min(len(item), len(text))
     while size >= least:
-        i, j = matches(size)
-        # windows of this size are the longest free matches left, as longer ones have been marked
-        for x, y in sorted(zip(i.tolist(), j.tolist())):
-            if free_a[x : x + size].all() and free_b[y : y + size].all():
-                free_a[x : x + size] = free_b[y : y + size] = False
-                out.append((x, y, size))
+        mark(size)  # windows of this size are the longest free matches left, as longer ones have been marked
         size = _next(free_a, free_b, a, b, size - 1, least)
     return out
 
@@ -129,7 +138,7 @@ def _small(docs: DataFrame, items: list, least: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, owners, item_words, item_first, ids = table.value
         distinct = np.unique(known)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             h, start = hash_words(batch.column("text"))
             s, at = shingles(h, start, least)
             near = np.minimum(np.searchsorted(distinct, s), max(len(distinct) - 1, 0))
@@ -140,20 +149,20 @@ def _small(docs: DataFrame, items: list, least: int) -> DataFrame:
             doc_ids = batch.column("doc_id").to_pylist()
             yield _batch([(doc_ids[d], ids[i], *_tiled(item_words[item_first[i] : item_first[i + 1]], h[start[d] : start[d + 1]], least)) for d, i in pairs.tolist()])
 
-    return docs.mapInArrow(rows, _PAIRS)
+    return docs.mapInArrow(lean(rows), _PAIRS)
 
 
 def _large(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     """The same pairs by a join on seeds, then tiled with both texts at hand."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             s, at = shingles(*hash_words(batch.column("text")), least)
             of = np.repeat(np.arange(batch.num_rows), np.diff(at))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), pa.array(s.view(np.int64))], ["id", "seed"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             t, ta = hash_words(batch.column("text"))
             w, wa = hash_words(batch.column("item_text"))
             d, i = (batch.column(c).to_pylist() for c in ("doc_id", "item_id"))
@@ -161,11 +170,11 @@ def _large(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
 
     docs = docs.withColumn("dk", row_key("doc_id", "text"))
     items = items.select(row_key("item_id", "text").alias("ik"), "item_id", F.col("text").alias("item_text"))
-    of_items = items.select(F.col("ik").alias("id"), F.col("item_text").alias("text")).mapInArrow(seeds, "id long, seed long").distinct().withColumnRenamed("id", "ik")
-    of_docs = docs.select(F.col("dk").alias("id"), "text").mapInArrow(seeds, "id long, seed long").withColumnRenamed("id", "dk")
+    of_items = items.select(F.col("ik").alias("id"), F.col("item_text").alias("text")).mapInArrow(lean(seeds), "id long, seed long").distinct().withColumnRenamed("id", "ik")
+    of_docs = docs.select(F.col("dk").alias("id"), "text").mapInArrow(lean(seeds), "id long, seed long").withColumnRenamed("id", "dk")
     pairs = stored(of_docs.join(of_items, "seed").select("dk", "ik").distinct())
     there = only(docs, stored(pairs.select("dk").distinct()), "dk", "dk")
-    return pairs.join(there, "dk").join(items, "ik").select("doc_id", "text", "item_id", "item_text").mapInArrow(tile, _PAIRS)
+    return pairs.join(there, "dk").join(items, "ik").select("doc_id", "text", "item_id", "item_text").mapInArrow(lean(tile), _PAIRS)
 
 
 def row_key(number: str, text: str) -> Column:
@@ -181,9 +190,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.size(F.split("text", "[ \\t-\\r]+")))).first()[0] or 0
-    # at most broadcast_words words come to the driver
-    pairs = _small(docs, sorted(items.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"])), least) if size <= broadcast_words else _large(docs, items, least)
+    words, size = items.agg(F.coalesce(F.sum(F.size(F.split("text", "[ \\t-\\r]+"))), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    small = words <= broadcast_words and size <= BROADCAST_BYTES  # as much comes to the driver
+    pairs = _small(docs, sorted(items.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"])), least) if small else _large(docs, items, least)
     return pairs.withColumn("coverage", F.col("covered") / F.greatest(F.col("item_words"), F.lit(1))).where(F.col("coverage") >= threshold)
 
 

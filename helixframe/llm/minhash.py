@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .recovery import only, release, stored
-from .text import hash_words, mix, shingles, slices
+from .text import SMALL, hash_words, lean, mix, shingles, slices
 
 WORDS, PERCENT = 5, 75
 SIDE, ROWS = 12, 2
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, bands ARRAY<INT>): d1 and d2 are a 128-bit digest of the shingle set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             sets, first = shingle_sets(batch.column("text"), k)
             n = np.diff(first)
             total = np.concatenate([[0], np.cumsum(mix(sets))]).astype(np.uint64)
@@ -72,18 +72,18 @@ def sketches(docs: DataFrame, k: int = WORDS) -> DataFrame:
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 2 * SIDE), pa.array(bands(sets, first).ravel().view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *(pa.array((t[first[1:]] - t[first[:-1]]).view(np.int64)) for t in (total, other)), sketch], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, d1 long, d2 long, bands array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<int>")
 
 
 def sets_of(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(id, shingles ARRAY<BIGINT>)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             sets, first = shingle_sets(batch.column("text"), k)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))], ["id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(rows), "id long, shingles array<long>")
 
 
 def _banded(reps: DataFrame) -> DataFrame:
@@ -243,14 +243,14 @@ def _linked(percent: int, block: int = 512):
 def _crossing(reps: DataFrame, hot: DataFrame, docs: DataFrame, large: int, percent: int, k: int) -> DataFrame:
     """Verified links between parts, within tables, beyond those with the table's smallest id."""
     banded = _banded(reps)
-    found = stored(banded.join(hot, "key", "left_anti").repartition("key").mapInArrow(_across(large, percent), "u long, v long, key long"))
+    found = stored(banded.join(hot, "key", "left_anti").repartition("key").mapInArrow(lean(_across(large, percent)), "u long, v long, key long"))
     links = _verified(found.where("v is not null").select("u", "v").distinct(), docs, percent, k)
     wide = stored(found.where("v is null").select(F.col("u").alias("id"), "key").distinct())
     if not wide.isEmpty():
         ids = stored(wide.select("id").distinct())
         about = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "part", "bands")
         members = sets_of(only(docs, ids, "doc_id", "id"), k).dropDuplicates(["id"]).join(about, "id").join(wide, "id")
-        links = links.union(stored(members.select("key", "id", "n", "part", "bands", "shingles").repartition("key").mapInArrow(_linked(percent), "u long, v long")))
+        links = links.union(stored(members.select("key", "id", "n", "part", "bands", "shingles").repartition("key").mapInArrow(lean(_linked(percent)), "u long, v long")))
     return links if hot.isEmpty() else links.union(_verified(_hot_pairs(banded.join(hot, "key", "left_semi"), docs, percent, k), docs, percent, k))
 
 
@@ -303,7 +303,7 @@ def _grouped(docs: DataFrame, percent: int, k: int, large: int, hot_members: int
     reps = stored(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     banded = _banded(reps.withColumn("part", F.col("rep")))
     hot = stored(banded.groupBy("key").agg(F.count("*").alias("members")).where(f"members > {hot_members}").select("key"))
-    stars = banded.join(hot, "key", "left_anti").repartition("key").mapInArrow(_stars, "u long, v long")
+    stars = banded.join(hot, "key", "left_anti").repartition("key").mapInArrow(lean(_stars), "u long, v long")
     tables = _tables(banded.join(hot, "key", "left_semi"))
     leads = tables.groupBy("key").agg(F.min("id").alias("v"))
     stars = stars.union(tables.join(leads, "key").where("id <> v").select(F.col("id").alias("u"), "v")).distinct()

@@ -6,7 +6,9 @@ inside tasks on one Arrow batch at a time; nulls are empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ BYTE_VALUE[SPACE] = 0
 POSITION = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
 SHINGLE_BASE = np.uint64(0xD6E8FEB86659FD93)
 CHUNK = 1 << 19
+#: Bytes of texts that are looked at together where each byte gives several numbers.
+SMALL = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -111,3 +115,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def _give_back() -> None:
+    """Return freed memory to the system; without it a worker process keeps its peak for as long as Spark reuses it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def lean(rows: Callable) -> Callable:
+    """A function over a partition's batches that gives back its worker's memory at the end."""
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        _give_back()
+
+    return run

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,20 @@ def test_tiles_are_greedy():
         assert decontam.tiles(item, text, 3) == _tiles_brute(item.tolist(), text.tolist(), 3)
 
 
+def test_tiles_of_repetitive_texts_keep_no_pairs():
+    rng = np.random.default_rng(5)
+    item = np.full(300, 7, np.uint64)
+    text = np.where(rng.random(60_000) < 0.8, 7, rng.integers(8, 10**6, 60_000)).astype(np.uint64)
+    tracemalloc.start()
+    found = decontam.tiles(item, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, _, n in found) > 250 and peak < 20_000_000
+    for _ in range(20):
+        item, text = (np.where(rng.random(n) < 0.7, 1, rng.integers(2, 4, n)).astype(np.uint64) for n in (20, 60))
+        assert decontam.tiles(item, text) == _tiles_brute(item.tolist(), text.tolist(), 5)
+
+
 def test_leaks(spark, clashing, empty):
     rng = random.Random(4)
     items = [(1, _prose(rng, 40)), (2, _prose(rng, 30)), (3, ""), (4, None), (5, "too short"), (None, _prose(rng, 20))]
