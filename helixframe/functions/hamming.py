@@ -49,7 +49,12 @@ def encode(content: Column) -> Column:
 
 
 def error(encoded: Column, padding: Column) -> Column:
-    n = F.length(encoded) * 8 - padding
+    return length_error(F.length(encoded), padding)
+
+
+def length_error(n_bytes: Column, padding: Column) -> Column:
+    """What keeps so many encoded bytes from being decoded, or null."""
+    n = n_bytes * 8 - padding
     return F.when(~padding.between(0, 7), "padding is not within 0..7").when((n < 0) | (n % 7 != 0), "bits are not a multiple of 7")
 
 

@@ -2,6 +2,10 @@
 
 Pieces are in order of the column piece, any numbers; what belongs together at their borders travels, not the pieces' texts: runs
 at the ends, or the first characters of the pieces that follow.
+
+Block codes work on aligned pieces: a block belongs to the piece where it starts.  What their functions return is again in pieces,
+in order of `at`; put together by it they are the whole's result, and their counts add up to the whole's.  Values without
+characters or bytes have no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import flat
+from ..functions import flat, hamming, parity, repeat
 
 
 def cut(df: DataFrame, id_col: str, seq: str, size: int) -> DataFrame:
@@ -126,3 +130,61 @@ def homopolymer_regions(df: DataFrame, id_col: str, piece: str = "piece", seq: s
     joined = ends.withColumn("run", F.sum("new").over(line)).groupBy(id_col, "run").agg(F.min("begin").alias("begin"), F.sum("n").alias("n"), F.first("base").alias("base"))
     every = inside.union(joined.select(id_col, "begin", "n", "base")).where(F.col("n") >= min_len)
     return every.select(id_col, F.col("begin").alias("start_pos"), (F.col("begin") + F.col("n") - 1).alias("end_pos"), "base")
+
+
+def aligned(df: DataFrame, id_col: str, piece: str, seq: str, unit: int) -> DataFrame:
+    """(id, piece, at, start, total, seq): the blocks of `unit` characters that start in each piece, `start` a multiple of it.
+
+    Only the last block of a sequence may be short; total is the sequence's length.  A piece where no block starts has no row.
+    """
+    haloed = with_halo(df, id_col, piece, seq, unit - 1)
+    skip = (-F.col("start")) % unit
+    skip = F.when(skip < 0, skip + unit).otherwise(skip)
+    blocks = F.ceil((F.col("length") - skip) / F.lit(unit))
+    own = F.substr(F.concat(seq, "tail"), (skip + 1).cast("int"), (blocks * unit).cast("int"))
+    totals = df.groupBy(F.col(id_col).alias("_id")).agg(F.sum(F.length(seq)).alias("total"))
+    there = haloed.where(F.col("length") > skip).join(totals, F.col(id_col).eqNullSafe(F.col("_id")))
+    return there.select(id_col, piece, "at", (F.col("start") + skip).alias("start"), "total", own.alias(seq))
+
+
+def hamming_encode(df: DataFrame, id_col: str, piece: str = "piece", content: str = "content") -> DataFrame:
+    """(id, piece, at, encoded BINARY, padding INT) of payloads in pieces: four bytes are 56 bits, so only the last piece is padded."""
+    parts = aligned(df.select(id_col, piece, F.hex(content).alias("_hex")), id_col, piece, "_hex", 8)
+    return parts.select(id_col, piece, "at", hamming.encode(F.unhex("_hex")).alias("h")).select(id_col, piece, "at", "h.*")
+
+
+def hamming_decode(df: DataFrame, paddings: DataFrame, id_col: str, piece: str = "piece", encoded: str = "encoded", padding: str = "padding") -> DataFrame:
+    """(id, piece, at, content BINARY, corrected INT, error) of encoded payloads in pieces; paddings has (id, padding), an id once.
+
+    All pieces of a payload that can't be decoded, or that has no padding, carry its error.
+    """
+    parts = aligned(df.select(id_col, piece, F.hex(encoded).alias("_hex")), id_col, piece, "_hex", 14)
+    given = paddings.select(F.col(id_col).alias("_id"), F.col(padding).alias("_padding"))
+    parts = parts.join(given, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    wrong = F.when(F.col("_padding").isNull(), "no padding is given").otherwise(hamming.length_error(F.col("total") / 2, F.col("_padding")))
+    last = F.col("start") + F.length("_hex") == F.col("total")
+    parts = parts.withColumn("error", wrong)
+    decoded = hamming.decode(F.when(F.col("error").isNull(), F.unhex("_hex")), F.when(last, F.col("_padding")).otherwise(0))
+    return parts.select(id_col, piece, "at", decoded.alias("d"), "error").select(id_col, piece, "at", "d.content", "d.corrected", "error")
+
+
+def parity_add(df: DataFrame, id_col: str, piece: str = "piece", seq: str = "dna", k: int = parity.BLOCK) -> DataFrame:
+    """(id, piece, at, seq) of sequences in pieces, with parity nucleotides."""
+    parts = aligned(df.select(id_col, piece, seq), id_col, piece, seq, k)
+    return parts.select(id_col, piece, "at", parity.add(F.col(seq), k).alias(seq))
+
+
+def parity_strip(df: DataFrame, id_col: str, piece: str = "piece", seq: str = "dna", k: int = parity.BLOCK) -> DataFrame:
+    """(id, piece, at, seq, bad_blocks ARRAY<LONG>) of sequences in pieces; blocks are numbered over the whole sequence."""
+    parts = aligned(df.select(id_col, piece, seq), id_col, piece, seq, k + 1)
+    first = F.floor(F.col("start") / F.lit(k + 1))
+    bad = F.transform("s.bad_blocks", lambda b: b + first)
+    return parts.select(id_col, piece, "at", "start", parity.strip(F.col(seq), k).alias("s")).select(id_col, piece, "at", F.col("s.sequence").alias(seq), bad.alias("bad_blocks"))
+
+
+def repeat_decode(df: DataFrame, id_col: str, piece: str = "piece", seq: str = "dna") -> DataFrame:
+    """(id, piece, at, seq, corrected, uncorrectable, error) of triple-repeat sequences in pieces; of a bad length all pieces tell."""
+    parts = aligned(df.select(id_col, piece, seq), id_col, piece, seq, 3)
+    parts = parts.withColumn("error", F.when(F.col("total") % 3 != 0, "length is not a multiple of 3"))
+    voted = repeat.decode(F.when(F.col("error").isNull(), F.col(seq)))
+    return parts.select(id_col, piece, "at", voted.alias("v"), "error").select(id_col, piece, "at", F.col("v.sequence").alias(seq), "v.corrected", "v.uncorrectable", "error")

@@ -249,17 +249,67 @@ _WORDS = _replace_sql(f"translate(flipped, '0123456789abcdef', '{_LETTERS}')", {
 _INDEX = "(w[1:1]::int * 64 + w[2:2]::int * 32 + w[3:3]::int * 16 + w[4:4]::int * 8 + w[5:5]::int * 4 + w[6:6]::int * 2 + w[7:7]::int + 1)"
 
 
+def _flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, encoded, padding): Hamming codes of the texts with one bit flipped."""
+    coded = _docs(spark, sf_dir).select("doc_id", hamming.encode(F.col("content")).alias("h")).withColumn("hexed", F.lower(F.hex("h.encoded")))
+    at = (F.col("doc_id") % F.greatest(F.length("hexed"), F.lit(1))).cast("int")
+    one = F.translate(F.substr("hexed", at + 1, F.lit(1)), "0123456789abcdef", "1032547698badcfe")
+    flipped = F.when(F.col("hexed") == "", F.col("hexed")).otherwise(F.concat(F.substr("hexed", F.lit(1), at), one, F.substr("hexed", at + 2)))
+    return coded.select("doc_id", F.unhex(flipped).alias("encoded"), "h.padding")
+
+
 @_query(
     f"{_HAMMING}, f as (select doc_id, padding, {_FLIPPED} as flipped from h), b as (select doc_id, padding, {_WORDS} as bits from f), "
     f"w as (select doc_id, list_transform(regexp_extract_all(substr(bits, 1, length(bits) - padding), '.......'), lambda w: {_INDEX}) as places from b) "
     f"select doc_id, sha256(array_to_string(list_transform(places, lambda i: substr('{hamming.DIGITS}', i, 1)), '')) as hex_sha256, len(list_filter(places, lambda i: substr('{hamming.FLAGS}', i, 1) = '1'))::int as corrected from w"
 )
 def p12_hamming_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = _docs(spark, sf_dir).select("doc_id", hamming.encode(F.col("content")).alias("h")).withColumn("hexed", F.lower(F.hex("h.encoded")))
-    at = (F.col("doc_id") % F.greatest(F.length("hexed"), F.lit(1))).cast("int")
-    one = F.translate(F.substr("hexed", at + 1, F.lit(1)), "0123456789abcdef", "1032547698badcfe")
-    flipped = F.when(F.col("hexed") == "", F.col("hexed")).otherwise(F.concat(F.substr("hexed", F.lit(1), at), one, F.substr("hexed", at + 2)))
-    return coded.select("doc_id", hamming.decode(F.unhex(flipped), F.col("h.padding")).alias("r")).select("doc_id", _sha(F.lower(F.hex("r.content"))).alias("hex_sha256"), "r.corrected")
+    return _flipped(spark, sf_dir).select("doc_id", hamming.decode(F.col("encoded"), F.col("padding")).alias("r")).select("doc_id", _sha(F.lower(F.hex("r.content"))).alias("hex_sha256"), "r.corrected")
+
+
+#: Bytes or nucleotides of a piece where block codes work on pieces; no multiple of a block.
+UNEVEN = 1001
+
+
+def _owned(n: str, unit: int) -> str:
+    """Pieces, numbered from 0, of values of n bytes or characters, with the blocks from `a` up to `b` that start in each."""
+    return f"unnest(range(0, ({n} + {UNEVEN - 1}) // {UNEVEN}))::int as piece, (piece * {UNEVEN} + {unit - 1}) // {unit} as a, ((piece + 1) * {UNEVEN} + {unit - 1}) // {unit} as b"
+
+
+@_query(
+    f"{WITH_DNA}, p as (select doc_id, {_ADDED} as added from d), h as (select doc_id, {_hurt_sql('added')} as hurt from p), t as (select doc_id, regexp_extract_all(hurt, '.{{1,8}}') as bs, length(hurt) as n from h), "
+    f"o as (select doc_id, bs, {_owned('n', 8)} from t) "
+    f"select doc_id, piece, sha256(array_to_string(list_transform(bs[a + 1:b], lambda x: x[1:length(x) - 1]), '')) as dna_sha256, "
+    f"array_to_string(list_filter(list_transform(bs[a + 1:b], lambda x, i: case when x[length(x):length(x)] <> {_SIGN.format(b='x[1:length(x) - 1]')} then i - 1 + a end), lambda i: i is not null), ',') as bad_blocks from o where len(bs) > a"
+)
+def p10_parity_strip_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parity taken off sequences in pieces, whose borders lie within blocks."""
+    hurt = _dna(spark, sf_dir).withColumn("added", parity.add(F.col("dna"))).select("doc_id", _hurt(F.col("added"), F.col("doc_id")).alias("dna"))
+    parts = pieces.parity_strip(pieces.cut(hurt, "doc_id", "dna", UNEVEN), "doc_id")
+    return parts.select("doc_id", "piece", _sha("dna").alias("dna_sha256"), F.array_join(F.col("bad_blocks").cast("array<string>"), ",").alias("bad_blocks"))
+
+
+@_query(
+    f"{_HAMMING}, o as (select doc_id, hexed, padding, {_owned('octet_length(encode(text))', 4)} from h) "
+    "select doc_id, piece, case when length(hexed) <= b * 14 then padding else 0 end as padding, sha256(substr(hexed, (a * 14 + 1)::int, ((b - a) * 14)::int)) as hex_sha256 from o where length(hexed) > a * 14"
+)
+def p11_hamming_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hamming code of payloads in pieces, whose borders lie within blocks of four bytes."""
+    parts = pieces.hamming_encode(pieces.cut(_docs(spark, sf_dir), "doc_id", "content", UNEVEN), "doc_id")
+    return parts.select("doc_id", "piece", "padding", _sha(F.lower(F.hex("encoded"))).alias("hex_sha256"))
+
+
+@_query(
+    f"{_HAMMING}, f as (select doc_id, padding, {_FLIPPED} as flipped from h), b as (select doc_id, padding, {_WORDS} as bits from f), "
+    f"w as (select doc_id, length(bits) // 8 as n, list_transform(regexp_extract_all(substr(bits, 1, length(bits) - padding), '.......'), lambda w: {_INDEX}) as places from b), "
+    f"o as (select doc_id, places, {_owned('n', 7)} from w) "
+    f"select doc_id, piece, sha256(array_to_string(list_transform(places[a * 8 + 1:b * 8], lambda i: substr('{hamming.DIGITS}', i, 1)), '')) as hex_sha256, len(list_filter(places[a * 8 + 1:b * 8], lambda i: substr('{hamming.FLAGS}', i, 1) = '1'))::int as corrected from o where len(places) > a * 8"
+)
+def p12_hamming_decode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hamming codes in pieces, whose borders lie within blocks of seven bytes, decoded."""
+    coded = _flipped(spark, sf_dir)
+    parts = pieces.hamming_decode(pieces.cut(coded, "doc_id", "encoded", UNEVEN), coded, "doc_id")
+    return parts.select("doc_id", "piece", _sha(F.lower(F.hex("content"))).alias("hex_sha256"), "corrected")
 
 
 _BITS13 = _replace_sql(f"translate({HEXED}, '0123456789abcdef', '{_LETTERS}')", {c: f"{i:04b}" for i, c in enumerate(_LETTERS)})

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import hamming, parity, repeat
 from helixframe.operators import huffman, pieces, statistics
 
 
@@ -84,3 +85,43 @@ def test_group_books_meet_payloads_without_a_shuffle_by_group(spark, groups):
     if groups > 1:
         above = plan[plan.index("BroadcastHashJoin") :].split("InMemoryTableScan")[0]
         assert "Exchange hashpartitioning" not in above
+
+
+def _put_together(df, value, *more):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r["at"]):
+        old = out.get(r["id"])
+        new = (r[value], *(r[c] for c in more))
+        out[r["id"]] = new if old is None else tuple(a + b for a, b in zip(old, new))
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 5])
+def test_block_codes_of_pieces(spark, size):
+    rng = random.Random(9)
+    rows = [(i, bytearray(rng.randrange(256) for _ in range(i)), "".join(rng.choice("ATCGé") for _ in range(i))) for i in (1, 2, 3, 4, 5, 8, 23)] + [(None, bytearray(b"null"), "GCGC"), (90, bytearray(), ""), (91, None, None)]
+    df = spark.createDataFrame(rows, "id long, content binary, dna string").cache()
+    filled = lambda rows: {k: v for k, *v in rows if v[0]}
+    whole = df.select("id", hamming.encode(F.col("content")).alias("h")).select("id", "h.*").cache()
+    coded = pieces.hamming_encode(pieces.cut(df, "id", "content", size).repartition(3), "id")
+    assert _put_together(coded, "encoded", "padding") == {k: tuple(v) for k, v in filled(whole.collect()).items()}
+    hurt = whole.withColumn("encoded", F.when(F.length("encoded") > 0, F.unhex(F.concat(F.lit("0"), F.substr(F.hex("encoded"), F.lit(2))))).otherwise(F.col("encoded")))
+    plain = hurt.select("id", hamming.decode(F.col("encoded"), F.col("padding")).alias("d")).select("id", "d.*").collect()
+    assert _put_together(pieces.hamming_decode(pieces.cut(hurt, "id", "encoded", size), hurt, "id"), "content", "corrected") == {k: tuple(v) for k, v in filled(plain).items()}
+    for k in (1, 3):
+        added = df.select("id", parity.add(F.col("dna"), k).alias("dna")).cache()
+        assert _put_together(pieces.parity_add(pieces.cut(df, "id", "dna", size), "id", k=k), "dna") == {i: (d,) for i, d in added.collect() if d}
+        other = added.withColumn("dna", F.translate("dna", "A", "T"))
+        stripped = other.select("id", parity.strip(F.col("dna"), k).alias("s")).select("id", "s.*").collect()
+        assert _put_together(pieces.parity_strip(pieces.cut(other, "id", "dna", size), "id", k=k), "dna", "bad_blocks") == {k: tuple(v) for k, v in filled(stripped).items()}
+    tripled = df.select("id", F.regexp_replace(repeat.encode(F.col("dna")), "TTT", "TAT").alias("dna")).cache()
+    voted = tripled.select("id", repeat.decode(F.col("dna")).alias("v")).select("id", "v.*").collect()
+    assert _put_together(pieces.repeat_decode(pieces.cut(tripled, "id", "dna", size), "id"), "dna", "corrected", "uncorrectable") == {k: tuple(v) for k, v in filled(voted).items()}
+
+
+def test_pieces_of_codes_of_a_bad_length(spark):
+    parts = spark.createDataFrame([(1, 0, bytearray(b"abc")), (1, 1, bytearray(b"defgh")), (2, 0, bytearray(b"abcdefg"))], "id long, piece int, encoded binary")
+    got = pieces.hamming_decode(parts, spark.createDataFrame([(1, 0)], "id long, padding int"), "id").collect()
+    assert {(r.id, r.error, r.content) for r in got} == {(1, "bits are not a multiple of 7", None), (2, "no padding is given", None)}
+    bad = pieces.repeat_decode(spark.createDataFrame([(1, 0, "AA"), (1, 1, "ATT")], "id long, piece int, dna string"), "id").collect()
+    assert {(r.error, r.dna) for r in bad} == {("length is not a multiple of 3", None)}
