@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import flat
 
 #: Default bounds of GC content, and of run length.
 GC_MIN, GC_MAX, MAX_RUN = 0.45, 0.55, 3
@@ -14,10 +19,27 @@ def gc_content(seq: Column) -> Column:
     return F.when(F.length(seq) == 0, 0.0).otherwise(F.length(F.regexp_replace(seq, "[^GCgc]", "")) / F.length(seq))
 
 
+@F.arrow_udf(T.IntegerType())
+def _longest(column: pa.Array) -> pa.Array:
+    column = flat.large(column)
+    parts = [np.zeros(0, np.int32)]
+    for first, past in flat.pieces(column):
+        codes, offsets = flat.letters(column.slice(first, past - first))
+        begins = np.ones(len(codes) + 1, bool)
+        begins[1:-1] = codes[1:] != codes[:-1]
+        begins[offsets] = True
+        edges = np.flatnonzero(begins)
+        some = np.flatnonzero(np.diff(offsets))
+        out = np.zeros(past - first, np.int32)
+        if len(some):
+            out[some] = np.maximum.reduceat(np.diff(edges), np.searchsorted(edges, offsets[some]))
+        parts.append(out)
+    return pa.array(np.concatenate(parts))
+
+
 def longest_run(seq: Column) -> Column:
     """Length of the longest run of one character, case counting; 0 for an empty sequence."""
-    lengths = F.transform(F.regexp_extract_all(seq, F.lit(r"(?s)((.)\2*)"), F.lit(1)), F.length)
-    return F.when(seq.isNotNull(), F.coalesce(F.array_max(lengths), F.lit(0)))
+    return F.when(seq.isNotNull(), _longest(seq))
 
 
 def has_run_over(seq: Column, most: int) -> Column:
