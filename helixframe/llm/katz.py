@@ -1,21 +1,24 @@
-"""Language-model scores by Katz backoff over bigrams and unigrams.
+"""Language-model scores by Katz backoff over trigrams, bigrams and unigrams.
 
-Tokens are words (A-Z as a-z) and one end token for each text; a begin mark precedes the first.  With training counts c,
-c(h) tokens after h, and Good-Turing discounts d_r for counts up to K:
+Tokens are words (A-Z as a-z) and one end token for each text; begin marks precede the first.  With training counts c, and
+losses l(r) = r (1 - d_r) of Good-Turing's discounts d_r for counts up to K, a small constant TOUCH for larger ones (each order
+has its own):
 
-    P(w | h) = d_c c(h, w) / (c(h) + 1)     where c(h, w) = c > 0
-             = alpha(h) P(w)                otherwise
-    P(w)     = d_c c(w) / N                 where c(w) = c > 0, else what the discounts leave, as one unknown word
+    P(w | u v) = (c(u v w) - l) / c(u v)     where u v w was seen
+               = alpha(u v) P(w | v)         where only u v was, and P(w | v) where u v was not
+    P(w | v)   = (c(v w) - l) / c(v),  alpha(v) P(w)  or  P(w)   in the same way
+    P(w)       = (c(w) - l) / N              where w was seen, else what the discounts leave, as one unknown word
 
-alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of the same words' P(w)) makes P(. | h) sum to 1 exactly; the 1 added to c(h)
-leaves every history some mass.
+alpha(h) = (1 - sum of seen P(w | h)) / (1 - sum of the same words' P(w | shorter h)) makes every P(. | h) sum to 1 exactly.  Plain
+Katz takes nothing from counts above K; TOUCH leaves some mass to histories that have only such counts.
 
 How it runs: counts of words are aggregated; the HOT most frequent words, a table of bounded size, are broadcast.  Every
-task sends its bigrams, with the documents they stand in, to the bucket of their history as compressed columns (words by rank
-in that table where they have one); a very frequent history is dealt over several buckets by its next words.  Where the
-bigrams of all documents meet, counts are exact, and each document gets back the counts of its bigrams.  What depends on sums
-over the whole corpus (discounts, alpha) enters at the end: for seen bigrams through how many of a document's have count r,
-for unseen ones, which only held-out texts have, through joins with the word and history tables.
+task sends its trigrams, with the documents they stand in, to the bucket of their middle word as compressed columns (words by
+rank in that table where they have one).  There both u v w and v w have exact counts, and what alpha needs of u v and of v are
+sums over w: so a very frequent middle word is dealt over several buckets by the word after it, and the sums are added up.  c(u v)
+is a history's count where v is the last word of the trigram before.  Each document gets the counts of its tokens back; what
+depends on sums over the whole corpus (discounts, alpha) enters at the end: for seen n-grams through how many of a document's
+have count r, for unseen ones, which only held-out texts have, through joins with tables of histories and words.
 """
 
 from __future__ import annotations
@@ -31,27 +34,32 @@ from pyspark.sql import functions as F
 
 from .quality import fold
 from .recovery import release, stored
-from .text import hash_words, mix, slices
+from .text import hash_words, lean, mix, slices
 
-K, HOT = 5, 1 << 16
+K, HOT, TOUCH = 5, 1 << 16, 0.1
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 SLICE = 8 << 20
 LEVEL = 4  # of compression, of what travels
 
 
 def discounts(n: list[int]) -> list[float]:
-    """d_1 .. d_K from n_1 .. n_(K+1), the numbers of types with each count: Good-Turing's where it gives factors in (0, 1],
-    falling nowhere below 0; else absolute discounting by (n1 + 0.5) / (n1 + 2 n2 + 1)."""
+    """d_1 .. d_K from n_1 .. n_(K+1), the numbers of types with each count: Good-Turing's where it gives factors between 0 and 1;
+    else absolute discounting by (n1 + 0.5) / (n1 + 2 n2 + 1)."""
     n = [*n, *[0] * (K + 1 - len(n))]
     if all(n):
         cut = (K + 1) * n[K] / n[0]
         d = [((r + 1) * n[r] / (r * n[r - 1]) - cut) / (1 - cut) if cut != 1 else 0 for r in range(1, K + 1)]
-        if all(0 < x <= 1 for x in d) and any(x < 1 for x in d):
+        if all(0 < x < 1 for x in d):
             return d
     less = (n[0] + 0.5) / (n[0] + 2 * n[1] + 1)
     return [(r - less) / r for r in range(1, K + 1)]
 
 
+def losses(n: list[int]) -> list[float]:
+    """What counts 1 .. K lose, and at last what larger counts do."""
+    return [*(r * (1 - d) for r, d in enumerate(discounts(n), 1)), TOUCH]
+
+
 def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with the end token, and the index of each text's first."""
     words, first = hash_words(batch.column("text"))
@@ -85,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Table:
-    """The most frequent words, by hash: count, probability and how many buckets their bigrams are dealt over."""
+    """The most frequent words, by hash: count, probability and how many buckets their trigrams are dealt over."""
 
     def __init__(self, words: list[tuple[int, int]], begins: int, total: int, p1, buckets: int):
         pairs = dict(words) | {int(BEGIN.view(np.int64)): begins}
@@ -101,44 +109,6 @@ class Table:
         return np.where(self.w[at] == h, at, -1)
 
 
-def _common(table, unit: float):
-    """(doc, tokens, known, base, context): what table words give to a text; context holds the -log10(c(h) + 1) of histories."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Table = table.value
-        begin = -math.log10(int(t.c[t.w == BEGIN][0]) + 1)
-        base = np.append(np.log10(t.c + 0.1) - unit, 0.0)
-        context = np.append(-np.log10(t.c + 1.0), 0.0)
-        for batch in slices(batches, "text", SLICE):
-            tokens, first = _tokens(batch)
-            rank = t.rank(tokens)
-            n = np.diff(first)
-            of = np.repeat(np.arange(len(n)), n)
-            sums = lambda x: np.bincount(of, x, len(n))
-            hist = np.where(tokens == END, 0.0, context[rank])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n), pa.array(sums(rank >= 0).astype(np.int64)), pa.array(sums(base[rank])), pa.array(sums(hist) + begin)], ["doc", "tokens", "known", "base", "context"])
-
-    return rows
-
-
-def _rare(table):
-    """(w, doc, n): words outside the table."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t: Table = table.value
-        for batch in slices(batches, "text", SLICE):
-            tokens, first = _tokens(batch)
-            keep = np.flatnonzero(t.rank(tokens) < 0)
-            doc = np.searchsorted(first, keep, "right") - 1
-            w = tokens[keep]
-            order = np.lexsort((w, doc))
-            w, doc = w[order], doc[order]
-            new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])])) if len(w) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)), batch.column("doc").take(pa.array(doc[new])), pa.array(np.diff(new, append=len(w)).astype(np.int32))], ["w", "doc", "n"])
-
-    return rows
-
-
 def _packed(*arrays: np.ndarray) -> bytes:
     planes = [(a.dtype.str, np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)) for a in arrays]
     raw = pickle.dumps(planes, 5)
@@ -157,10 +127,6 @@ def _coded(words: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return code, rare
 
 
-def _words(code: np.ndarray, rare: np.ndarray, t: Table) -> np.ndarray:
-    return np.where(code >= 0, t.w[np.maximum(code, 0)], rare[np.maximum(-1 - code, 0)] if len(rare) else np.uint64(0))
-
-
 def _by_bigram(bucket: np.ndarray, h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     """An order by bucket in which equal bigrams stand together; h and w are well mixed, and 25 bits of each do."""
     pair = (h >> np.uint64(39) << np.uint64(25)) | (w >> np.uint64(39))
@@ -170,33 +136,43 @@ def _by_bigram(bucket: np.ndarray, h: np.ndarray, w: np.ndarray, buckets: int) -
     return order[np.argsort(bucket[order], kind="stable")]
 
 
-def _bigrams(table, buckets: int):
-    """(bucket, payload): bigrams with the texts they stand in and how often, by bucket of their history."""
+def _shifted(x: np.ndarray, first: np.ndarray, begin) -> np.ndarray:
+    """What stands one place before, in each text; `begin` before its first."""
+    out = np.concatenate([x[:1], x[:-1]])
+    out[first[:-1]] = begin
+    return out
+
 
+def _trigrams(table, buckets: int):
+    """(bucket, payload): trigrams with the texts they stand in and how often, by bucket of their middle word."""
+
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Table = table.value
+        begin = int(np.searchsorted(t.w, BEGIN))
         for batch in slices(batches, "text", SLICE):
             w, first = _tokens(batch)
-            h = np.concatenate([[BEGIN], w[:-1]])
-            h[first[:-1]] = BEGIN
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            rh, rw = t.rank(h), t.rank(w)
-            deal = np.where(rh >= 0, t.deal[rh], np.uint64(1))
-            bucket = mix(mix(h) + mix(w) % deal) % np.uint64(buckets)
-            order = _by_bigram(bucket, mix(h), mix(w), buckets)
-            h, w, doc, bucket, rh, rw = (x[order] for x in (h, w, doc, bucket, rh, rw))
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])]))
-            n = np.minimum(np.diff(new, append=len(h)), 2**31 - 1).astype(np.int32)
-            h, w, doc, bucket, rh, rw = (x[new] for x in (h, w, doc, bucket, rh, rw))
+            rw, mw = t.rank(w), mix(w)
+            rv, mv = _shifted(rw, first, begin), _shifted(mw, first, mix(np.array([BEGIN]))[0])
+            bucket = mix(mv + mw % np.where(rv >= 0, t.deal[rv], np.uint64(1))) % np.uint64(buckets)
+            order = _by_bigram(bucket, mv, mw, buckets)
+            del mw, mv
+            v = _shifted(w, first, BEGIN)
+            u, ru = _shifted(v, first, BEGIN), _shifted(rv, first, begin)
+            doc = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(first))
+            u, v, w, ru, rv, rw, doc, bucket = (x[order] for x in (u, v, w, ru, rv, rw, doc, bucket))
+            new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])]))
+            n = np.minimum(np.diff(new, append=len(w)), 2**31 - 1).astype(np.int32)
+            u, v, w, ru, rv, rw, doc, bucket = (x[new] for x in (u, v, w, ru, rv, rw, doc, bucket))
             ids, train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "train"))
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             names, blobs = [], []
             for b in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[b], cut[b + 1])
-                (ch, rare_h), (cw, rare_w) = _coded(h[s], rh[s]), _coded(w[s], rw[s])
+                code, rare = _coded(np.concatenate([u[s], v[s], w[s]]), np.concatenate([ru[s], rv[s], rw[s]]))
                 low = ids[doc[s]].min()
                 names.append(b)
-                blobs.append(_packed(ch, cw, rare_h, rare_w, ids[doc[s]] - low, np.array([low]), n[s], train[doc[s]].astype(np.uint8)))
+                blobs.append(_packed(*np.split(code, 3), rare, ids[doc[s]] - low, np.array([low]), n[s], train[doc[s]].astype(np.uint8)))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "payload"])
 
     return rows
@@ -210,71 +186,124 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
     return by
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _by_count(group: np.ndarray, c: np.ndarray, groups: int) -> list[np.ndarray]:
+    """How many of each group's counts are 1, .. K, and more."""
+    return list(np.bincount(group * (K + 2) + np.minimum(c, K + 1), minlength=groups * (K + 2)).reshape(groups, K + 2)[:, 1:].T)
+
+
 def _met(table, buckets: int):
-    """(bucket, kind, payload) for each bucket of bigrams: counts for documents (kind 0, by bucket of the document), and, for
-    the whole corpus, the numbers of bigrams by count (1), histories (2), their rarer seen words (3) and unseen bigrams (4)."""
+    """(bucket, kind, payload) for each bucket of trigrams: counts for documents (kind 0, by bucket of the document), and, for
+    the whole corpus, the numbers of n-grams by count (1), histories of one word (2), their rarer seen words (3), unseen
+    bigrams (4), histories of two words (5) and unseen trigrams (6)."""
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Table = table.value
         by = _by_bucket(batches)
         while by:
             bucket, blobs = by.popitem()
             parts = [_unpacked(b) for b in blobs]
-            h = np.concatenate([_words(p[0], p[2], t) for p in parts])
-            w = np.concatenate([_words(p[1], p[3], t) for p in parts])
+            rare = np.unique(np.concatenate([p[3] for p in parts]))
+            names = np.concatenate([t.w, rare])
+            local = [np.append(np.searchsorted(rare, p[3]) + len(t.w), 0) for p in parts]
+            u, v, w = (np.concatenate([np.where(p[i] >= 0, p[i], at[-1 - np.minimum(p[i], -1)]) for p, at in zip(parts, local)]) for i in range(3))
             doc = np.concatenate([p[4] + p[5][0] for p in parts])
             n, train = (np.concatenate([p[i] for p in parts]) for i in (6, 7))
-            del parts, blobs
-            order = np.lexsort((mix(w + mix(h)), h))
-            h, w, doc, n, train = (x[order] for x in (h, w, doc, n, train))
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-            c = np.add.reduceat(n.astype(np.int64) * train, new)
-            each = np.repeat(c, np.diff(new, append=len(h)))
-            out = [(bucket, 1, _packed(np.bincount(np.minimum(c, K + 2), minlength=K + 3)))]
-            seen = each > 0
+            del parts, blobs, local
+            bits = len(names).bit_length()
+            order = np.argsort((v << 2 * bits) | (w << bits) | u) if 3 * bits < 64 else np.lexsort((u, w, v))
+            u, v, w, doc, n, train = (x[order] for x in (u, v, w, doc, n, train))
+            learnt = n.astype(np.int64) * train
+            tri, pair, word = _starts(v, w, u), _starts(v, w), _starts(v)
+            c3, c2, cv = (np.add.reduceat(learnt, x) for x in (tri, pair, word))
+            middle = v[word]
+            cv = np.where(middle < len(t.w), np.append(t.c, 0)[np.minimum(middle, len(t.w))], cv)
+            size = lambda x: np.diff(x, append=len(v))
+            each3, each2, eachv = np.repeat(c3, size(tri)), np.repeat(c2, size(pair)), np.repeat(cv, size(word))
+            out = [(bucket, 1, _packed(*(np.bincount(np.minimum(c, K + 2), minlength=K + 3) for c in (c3, c2))))]
+            # to documents: counts of the trigram, of its last two words and, plus 1 or at the begin 0, of the middle one
+            known = np.where(np.repeat(names[middle] == BEGIN, size(word)), 0, eachv + 1)
             to = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            back = np.flatnonzero(seen)
-            back = back[np.lexsort((doc[back], to[back]))]
+            back = np.lexsort((doc, to))
             cut = np.searchsorted(to[back], np.arange(buckets + 1))
+            ended = np.repeat(names[w[pair]] == END, size(pair)).astype(np.uint8)
             for b in np.flatnonzero(np.diff(cut)):
                 i = back[cut[b] : cut[b + 1]]
-                out.append((int(b), 0, _packed(np.diff(doc[i], prepend=doc[i[:1]]), doc[i[:1]], each[i], n[i])))
-            gh, gw = h[new], w[new]
-            start = np.flatnonzero(np.concatenate([[True], gh[1:] != gh[:-1]]))
-            size = np.diff(start, append=len(gh))
-            rank = t.rank(gh[start])
-            wanted = np.add.reduceat((c == 0).astype(np.int64), start) > 0
-            wanted |= (rank >= 0) & (t.deal[rank] > 1)
-            inside = np.repeat(wanted, size) & (c > 0)
-            rw = t.rank(gw)
-            sums = [np.add.reduceat((inside & (c == r)).astype(np.int64), start)[wanted] for r in range(1, K + 1)]
-            mass = np.add.reduceat(np.where(inside & (rw >= 0), t.p1[rw], 0.0), start)[wanted]
-            out.append((bucket, 2, _packed(gh[start][wanted].view(np.int64), *sums, mass)))
-            rare = inside & (rw < 0)
-            out.append((bucket, 3, _packed(gh[rare].view(np.int64), gw[rare].view(np.int64))))
-            out.append((bucket, 4, _packed(h[~seen].view(np.int64), w[~seen].view(np.int64), doc[~seen], n[~seen])))
+                out.append((int(b), 0, _packed(np.diff(doc[i], prepend=doc[i[:1]]), doc[i[:1]], each3[i], each2[i], ended[i], known[i], n[i])))
+            # histories of one word, where a bigram is unseen or other buckets may have one
+            dealt = (middle < len(t.w)) & (np.append(t.deal, 1)[np.minimum(middle, len(t.w))] > 1)
+            in_word = np.searchsorted(word, pair, "right") - 1
+            wanted = dealt | (np.bincount(in_word, c2 == 0, len(word)) > 0)
+            inside = wanted[in_word] & (c2 > 0)
+            after = w[pair]
+            chance = np.where(inside & (after < len(t.w)), np.append(t.p1, 0.0)[np.minimum(after, len(t.w))], 0.0)
+            counts = [x[wanted] for x in _by_count(in_word, c2, len(word))]
+            out.append((bucket, 2, _packed(names[middle][wanted].view(np.int64), *counts, np.bincount(in_word, chance, len(word))[wanted], cv[wanted])))
+            few = inside & (after >= len(t.w))
+            out.append((bucket, 3, _packed(names[v[pair]][few].view(np.int64), names[after][few].view(np.int64))))
+            bare = each2 == 0
+            out.append((bucket, 4, _packed(names[v[bare]].view(np.int64), names[w[bare]].view(np.int64), doc[bare], n[bare])))
+            # histories of two words, in the same way
+            history = (v << bits) | u if 2 * bits < 64 else (mix(names[u] + mix(names[v])) >> np.uint64(1)).astype(np.int64)
+            in_pair, over = np.searchsorted(pair, tri, "right") - 1, dealt[np.searchsorted(word, tri, "right") - 1]
+            asked = np.unique(history[tri][c3 == 0])
+            keep = over | (asked[np.minimum(np.searchsorted(asked, history[tri]), len(asked) - 1)] == history[tri]) if len(asked) else over
+            keep &= c3 > 0
+            tri, c3, in_pair = tri[keep], c3[keep], in_pair[keep]
+            heads, at = np.unique(history[tri], return_inverse=True)
+            some = np.zeros(len(heads), np.int64)
+            some[at] = tri
+            key = mix(names[u[some]] + mix(names[v[some]])).view(np.int64)
+            covered = np.zeros(len(heads), np.int64)
+            np.add.at(covered, at, c2[in_pair])
+            out.append((bucket, 5, _packed(key, *_by_count(at, c3, len(heads)), *_by_count(at, c2[in_pair], len(heads)), covered, eachv[some])))
+            new = each3 == 0
+            out.append((bucket, 6, _packed(mix(names[u[new]] + mix(names[v[new]])).view(np.int64), doc[new], n[new])))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "kind", "payload"])
 
     return rows
 
 
-def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, payload): for each bucket of documents how many of their bigrams have count r, and the sum of log10 c of larger
-    ones (kind 0); other kinds pass."""
-    by: dict[int, list[bytes]] = {}
-    for batch in batches:
-        keep: list[tuple[int, bytes]] = []
-        for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "payload"))):
-            by.setdefault(bucket, []).append(blob) if kind == 0 else keep.append((kind, blob))
-        if keep:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int32()), pa.array([b for _, b in keep], pa.binary())], ["kind", "payload"])
-    for blobs in by.values():
-        parts = [_unpacked(b) for b in blobs]
-        ids, at = np.unique(np.concatenate([np.cumsum(p[0]) + p[1][0] for p in parts]), return_inverse=True)
-        c, n = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
-        hist = [np.bincount(at, n * (c == r), len(ids)) for r in range(1, K + 1)]
-        rest = np.bincount(at, np.where(c > K, n * np.log10(np.maximum(c, 1)), 0.0), len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([_packed(ids, *hist, rest)], pa.binary())], ["kind", "payload"])
+def _returned(begins: int, unit: float):
+    """(kind, payload): for each bucket of documents (kind 0) their tokens, known tokens, base scores, the logarithms that no
+    discount enters, and how many of their seen trigrams, and seen bigrams of unseen trigrams, have count r; other kinds pass."""
+
+    @lean
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[bytes]] = {}
+        for batch in batches:
+            keep: list[tuple[int, bytes]] = []
+            for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "payload"))):
+                by.setdefault(bucket, []).append(blob) if kind == 0 else keep.append((kind, blob))
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int32()), pa.array([b for _, b in keep], pa.binary())], ["kind", "payload"])
+        log = lambda x: np.log10(np.maximum(x, 1e-9))
+        while by:
+            parts = [_unpacked(b) for b in by.popitem()[1]]
+            ids, at = np.unique(np.concatenate([np.cumsum(p[0]) + p[1][0] for p in parts]), return_inverse=True)
+            c3, c2, ended, cv, n = (np.concatenate([p[i] for p in parts]) for i in range(2, 7))
+            del parts
+            sums = lambda x: np.bincount(at, n * x, len(ids))
+            end, word = ended == 1, cv > 0
+            known = np.where(word, cv > 1, False).astype(np.int64) + np.where(end, begins > 0, False)
+            base = np.where(word, log(cv - 0.9) - unit, 0.0) + np.where(end, math.log10(begins + 0.1) - unit, 0.0)
+            lower = (c3 == 0) & (c2 > 0)
+            rest = np.where(c3 > K, log(c3 - TOUCH), 0.0) - np.where(~end & (c2 > 0), log(c2), 0.0)
+            rest += np.where(lower & (c2 > K), log(c2 - TOUCH), 0.0) - np.where(lower, log(cv - 1), 0.0)
+            rest -= np.where(word, 0.0, math.log10(max(begins, 1)))  # the history of a first token
+            hist = [sums(c3 == r) for r in range(1, K + 1)] + [sums(lower & (c2 == r)) for r in range(1, K + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([_packed(ids, sums(1), sums(known), sums(base), sums(rest), *hist)], pa.binary())], ["kind", "payload"])
+
+    return rows
 
 
 def _rows(met: DataFrame, kind: int, schema: str) -> DataFrame:
@@ -323,41 +352,38 @@ def scores(docs: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataF
     got = counts.agg(F.sum("c"), F.count("*"), *[F.sum((F.col("c") == r).cast("long")) for r in range(1, K + 2)]).first()
     total, vocabulary, types = got[0] or 0, got[1], [x or 0 for x in got[2:]]
     begins = docs.where("train").count()
-    d1 = discounts(types)
-    unknown = sum(r * n * (1 - d) for r, n, d in zip(range(1, K + 1), types, d1)) / total if total else 1.0
-    p1 = lambda c: np.where(c > 0, c * np.append([0.0, *d1], 1.0)[np.minimum(c, K + 1)] / max(total, 1), unknown)
+    lost1 = losses(types)
+    unknown = sum(n * x for n, x in zip([*types[:K], vocabulary - sum(types[:K])], lost1)) / total if total else 1.0
+    p1 = lambda c: np.where(c > 0, (c - np.array([0.0, *lost1])[np.minimum(c, K + 1)]) / max(total, 1), unknown)
     least = _threshold(counts, hot)
     frequent = [(r["w"], r["c"]) for r in counts.where(F.col("c") >= least).collect()]  # `hot` rows at most
     table = spark.sparkContext.broadcast(Table(frequent, begins, total + begins, p1, buckets))
     unit = math.log10(total + 0.1 * (vocabulary + 1))
-    common = plain.mapInArrow(_common(table, unit), "doc long, tokens long, known long, base double, context double")
-    rare = plain.mapInArrow(_rare(table), "w long, doc long, n int").join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rare = rare.groupBy("doc").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * (F.log10(F.col("c") + 0.1) - unit)).alias("base"), F.sum(-F.col("n") * F.log10(F.col("c") + 1.0)).alias("context")
-    )
-    words = stored(common.unionByName(rare, allowMissingColumns=True).groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "context")]))
-    release(spark)
-    blob = "bucket int, payload binary"
-    met = plain.mapInArrow(_bigrams(table, buckets), blob).repartition(buckets, "bucket").mapInArrow(_met(table, buckets), "bucket int, kind int, payload binary")
-    met = stored(met.repartition(buckets, "bucket").mapInArrow(_returned, "kind int, payload binary"))
+    met = plain.mapInArrow(_trigrams(table, buckets), "bucket int, payload binary").repartition(buckets, "bucket").mapInArrow(_met(table, buckets), "bucket int, kind int, payload binary")
+    met = stored(met.repartition(buckets, "bucket").mapInArrow(_returned(begins, unit), "kind int, payload binary"))
     release(spark)
-    types = np.zeros(K + 3, np.int64)
+    numbers = np.zeros((2, K + 3), np.int64)
     for r in met.where("kind = 1").select("payload").toLocalIterator():  # a few numbers for each bucket
-        types += _unpacked(bytes(r["payload"]))[0]
-    d2 = discounts(types[1 : K + 2].tolist())
-    names = [f"n{r}" for r in range(1, K + 1)]
-    history = _rows(met, 2, "h long, " + ", ".join(f"{n} long" for n in names) + ", mass double")
-    history = history.groupBy("h").agg(*[F.sum(n).alias(n) for n in names], F.sum("mass").alias("mass"))
-    chance = F.when(F.col("c").isNull(), unknown).otherwise(F.col("c") * F.element_at(F.array(*[F.lit(float(d)) for d in d1], F.lit(1.0)), F.least(F.col("c"), F.lit(K + 1)).cast("int")) / max(total, 1))
+        numbers += np.array(_unpacked(bytes(r["payload"])))
+    lost3, lost2 = (losses(x[1 : K + 2].tolist()) for x in numbers)
+    named = lambda letter, most=K + 1: [f"{letter}{r}" for r in range(1, most + 1)]
+    weighed = lambda letter, lost: sum(F.col(x) * v for x, v in zip(named(letter), lost))
+    longs = lambda names: ", ".join(f"{x} long" for x in names)
+    # alpha(v), of words after which a held-out text has an unseen one
+    chance = F.when(F.col("c").isNull(), unknown).otherwise((F.col("c") - F.element_at(F.array(*map(F.lit, lost1)), F.least(F.col("c"), F.lit(K + 1)).cast("int"))) / max(total, 1))
+    one = _rows(met, 2, f"h long, {longs(named('n'))}, mass double, after long").groupBy("h").agg(*[F.sum(x).alias(x) for x in named("n")], F.sum("mass").alias("mass"), F.max("after").alias("after"))
     seen = _rows(met, 3, "h long, w long").join(counts, "w").groupBy("h").agg(F.sum(chance).alias("rare_mass"))
-    after = counts.select(F.col("w").alias("h"), F.col("c").alias("after")).union(spark.createDataFrame([(int(BEGIN.view(np.int64)), begins)], "h long, after long"))
-    left = (F.lit(1.0) + sum(F.col(n) * (r * (1 - d)) for r, (n, d) in enumerate(zip(names, d2), 1))) / (F.coalesce("after", F.lit(0)) + 1)
     free = F.lit(1.0) - F.col("mass") - F.coalesce("rare_mass", F.lit(0.0))
-    alpha = history.join(seen, "h", "left").join(after, "h", "left").select("h", (F.log10(left / F.greatest(free, F.lit(1e-12))) + F.log10(F.coalesce("after", F.lit(0)) + 1.0)).alias("backoff"))
-    unseen = _rows(met, 4, "h long, w long, doc long, n int").join(alpha, "h").join(counts, "w", "left").groupBy("doc").agg(F.sum(F.col("n") * (F.col("backoff") + F.log10(chance))).alias("unseen"))
-    known = _rows(met, 0, "doc long, " + ", ".join(f"{n} double" for n in names) + ", rest double")
-    known = known.select("doc", (F.col("rest") + sum(F.col(n) * math.log10(r * d) for r, (n, d) in enumerate(zip(names, d2), 1))).alias("seen"))
-    sums = words.unionByName(known, allowMissingColumns=True).unionByName(unseen, allowMissingColumns=True).groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "context", "seen", "unseen")])
+    one = one.where("after > 0").join(seen, "h", "left").select("h", F.log10(weighed("n", lost2) / F.col("after") / F.greatest(free, F.lit(1e-12))).alias("backoff"))
+    bare = _rows(met, 4, "h long, w long, doc long, n int").join(one, "h", "left").join(counts, "w", "left").groupBy("doc").agg(F.sum(F.col("n") * (F.coalesce("backoff", F.lit(0.0)) + F.log10(chance))).alias("score"))
+    # alpha(u v) c(u v): the documents have - log10 c(u v) already
+    two = _rows(met, 5, f"h long, {longs(named('n') + named('m'))}, covered long, after long").groupBy("h").agg(*[F.sum(x).alias(x) for x in [*named("n"), *named("m"), "covered"]], F.max("after").alias("after"))
+    two = two.select("h", F.log10(weighed("n", lost3) / ((F.col("after") - F.col("covered") + weighed("m", lost2)) / F.col("after"))).alias("backoff"))
+    new = _rows(met, 6, "h long, doc long, n int").join(two, "h").groupBy("doc").agg(F.sum(F.col("n") * F.col("backoff")).alias("score"))
+    parts = ("tokens", "known", "base", "rest")
+    back = _rows(met, 0, "doc long, " + ", ".join(f"{x} double" for x in [*parts, *named("t", K), *named("b", K)]))
+    logs = lambda letter, lost: sum(F.col(x) * math.log10(r - lost[r - 1]) for r, x in enumerate(named(letter, K), 1))
+    back = back.select("doc", *parts[:3], (F.col("rest") + logs("t", lost3) + logs("b", lost2)).alias("score"))
+    sums = back.unionByName(bare, allowMissingColumns=True).unionByName(new, allowMissingColumns=True).groupBy("doc").agg(*[F.sum(c).alias(c) for c in (*parts[:3], "score")])
     heads = docs.select("doc", "doc_id", (~F.col("train")).alias("held_out"))
-    score = F.col("context") + F.coalesce("seen", F.lit(0.0)) + F.coalesce("unseen", F.lit(0.0))
-    return heads.join(sums, "doc").select("doc_id", "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
+    return heads.join(sums, "doc").select("doc_id", "held_out", F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -610,32 +610,45 @@ def test_components(spark):
 
 def _katz_brute(rows):
     tokens = [(d, (t or "").encode().lower().split() + ["<e>"], zlib.crc32(str(d if d is not None else "").encode()) % 10 != 0) for d, t in rows]
-    words, pairs, after = Counter(), Counter(), Counter()
+    grams = [Counter(), Counter(), Counter()]
     for _, ts, train in tokens:
         if train:
-            for h, w in zip(["<b>", *ts], ts):
-                words[w] += 1
-                pairs[h, w] += 1
-                after[h] += 1
-    types = lambda c: [sum(1 for x in c.values() if x == r) for r in range(1, katz.K + 2)]
-    d1, d2 = katz.discounts(types(words)), katz.discounts(types(pairs))
-    less = lambda d, c: d[c - 1] if c <= katz.K else 1.0
-    total = sum(words.values())
-    unknown = sum(r * n * (1 - d) for r, n, d in zip(range(1, katz.K + 1), types(words), d1)) / total
-    p1 = lambda w: less(d1, words[w]) * words[w] / total if w in words else unknown
-    follow = defaultdict(list)
-    for (h, w), c in pairs.items():
-        follow[h].append((w, c))
-    alpha = {h: (1 - sum(less(d2, c) * c / (after[h] + 1) for _, c in f)) / (1 - sum(p1(w) for w, _ in f)) for h, f in follow.items()}
-    assert abs(sum(map(p1, words)) + unknown - 1) < 1e-9
-    for h in list(follow)[:20]:  # P(. | h) sums to 1
-        seen = {w for w, _ in follow[h]}
-        assert abs(sum(less(d2, c) * c / (after[h] + 1) for _, c in follow[h]) + alpha[h] * (sum(p1(w) for w in words if w not in seen) + unknown) - 1) < 1e-9
+            for h in zip(["<b>", "<b>", *ts], ["<b>", *ts], ts):
+                for k in range(3):
+                    grams[k][h[2 - k :]] += 1
+    lost = [katz.losses([sum(1 for x in c.values() if x == r) for r in range(1, katz.K + 2)]) for c in grams]
+    total = sum(grams[0].values())
+    less = lambda c, k: c - lost[k][min(c, katz.K + 1) - 1]
+    unknown = sum(c - less(c, 0) for c in grams[0].values()) / total
+    follow, context = [defaultdict(list) for _ in range(3)], [Counter() for _ in range(3)]
+    for k, counts in enumerate(grams):
+        for g, c in counts.items():
+            follow[k][g[:-1]].append(g[-1])
+            context[k][g[:-1]] += c
+    alphas = {}
+
+    def p(h, w):  # h a tuple of at most two words
+        k = len(h)
+        c = grams[k].get((*h, w), 0)
+        if c:
+            return less(c, k) / context[k][h]
+        if not k:
+            return unknown
+        if h not in follow[k]:
+            return p(h[1:], w)
+        if h not in alphas:
+            alphas[h] = (1 - sum(p(h, x) for x in follow[k][h])) / (1 - sum(p(h[1:], x) for x in follow[k][h]))
+        return alphas[h] * p(h[1:], w)
+
+    vocabulary = [w for (w,) in grams[0]] + ["<unknown>"]
+    for k in range(3):  # P(. | h) sums to 1
+        for h in list(follow[k])[:20]:
+            assert abs(sum(p(h, w) for w in vocabulary) - 1) < 1e-9
     out = []
     for d, ts, train in tokens:
-        base = sum(math.log10((words[w] + 0.1) / (total + 0.1 * (len(words) + 1))) for w in ts)
-        full = sum(math.log10(less(d2, pairs[h, w]) * pairs[h, w] / (after[h] + 1)) if (h, w) in pairs else math.log10(alpha.get(h, 1.0) * p1(w)) for h, w in zip(["<b>", *ts], ts))
-        out.append((d, not train, len(ts), sum(w in words for w in ts), total, base, full))
+        base = sum(math.log10((grams[0][(w,)] + 0.1) / (total + 0.1 * (len(grams[0]) + 1))) for w in ts)
+        full = sum(math.log10(p((u, v), w)) for u, v, w in zip(["<b>", "<b>", *ts], ["<b>", *ts], ts))
+        out.append((d, not train, len(ts), sum((w,) in grams[0] for w in ts), total, base, full))
     return out
 
 
@@ -649,7 +662,7 @@ def test_katz(docs, hot):
 
 
 @pytest.mark.parametrize("buckets", [7, 1 << 14, 20_000, 100_000, 1 << 20])
-def test_bigrams_are_sorted_by_bucket_whatever_their_number(buckets):
+def test_trigrams_are_sorted_by_bucket_whatever_their_number(buckets):
     rng = np.random.default_rng(buckets)
     h, w = (rng.integers(0, 2**63, 300, dtype=np.uint64)[rng.integers(0, 300, 5000)] for _ in "hw")
     bucket = (h + w % np.uint64(3)) % np.uint64(buckets)
