@@ -40,6 +40,11 @@ K, HOT, TOUCH = 5, 1 << 16, 0.1
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 SLICE = 8 << 20
 LEVEL = 4  # of compression, of what travels
+PARTS = ("tokens", "known", "base", "rest")
+
+
+def _named(letter: str, most: int = K + 1) -> list[str]:
+    return [f"{letter}{r}" for r in range(1, most + 1)]
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -93,20 +98,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Table:
-    """The most frequent words, by hash: count, probability and how many buckets their trigrams are dealt over."""
+    """The most frequent words, by falling count: hash, count, probability and how many buckets their trigrams are dealt over."""
 
     def __init__(self, words: list[tuple[int, int]], begins: int, total: int, p1, buckets: int):
         pairs = dict(words) | {int(BEGIN.view(np.int64)): begins}
-        w = np.array(list(pairs), np.int64).view(np.uint64)
-        order = np.argsort(w)
-        self.w, self.c = w[order], np.array(list(pairs.values()), np.int64)[order]
+        w, c = np.array(list(pairs), np.int64).view(np.uint64), np.array(list(pairs.values()), np.int64)
+        order = np.lexsort((w, -c))
+        self.w, self.c = w[order], c[order]
+        self.at = np.argsort(self.w)
+        self.sorted = self.w[self.at]
         self.p1 = np.where(self.w == BEGIN, 0.0, p1(self.c))
         self.deal = np.maximum(1, -(-self.c * buckets // max(total, 1))).astype(np.uint64)
 
     def rank(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash in the table, or -1."""
-        at = np.minimum(np.searchsorted(self.w, h), len(self.w) - 1)
-        return np.where(self.w[at] == h, at, -1)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == h, self.at[at], -1).astype(np.int32)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -119,14 +126,6 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view(kind).ravel() if p.size else np.zeros(0, kind) for kind, p in pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))]
 
 
-def _coded(words: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words as rank, or as -1 - index into the returned hashes."""
-    rare, at = np.unique(words[rank < 0], return_inverse=True)
-    code = rank.astype(np.int32)
-    code[rank < 0] = -1 - at
-    return code, rare
-
-
 def _by_bigram(bucket: np.ndarray, h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     """An order by bucket in which equal bigrams stand together; h and w are well mixed, and 25 bits of each do."""
     pair = (h >> np.uint64(39) << np.uint64(25)) | (w >> np.uint64(39))
@@ -143,36 +142,49 @@ def _shifted(x: np.ndarray, first: np.ndarray, begin) -> np.ndarray:
     return out
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _trigrams(table, buckets: int):
     """(bucket, payload): trigrams with the texts they stand in and how often, by bucket of their middle word."""
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Table = table.value
-        begin = int(np.searchsorted(t.w, BEGIN))
+        begin = int(t.rank(np.array([BEGIN]))[0])
         for batch in slices(batches, "text", SLICE):
-            w, first = _tokens(batch)
-            rw, mw = t.rank(w), mix(w)
-            rv, mv = _shifted(rw, first, begin), _shifted(mw, first, mix(np.array([BEGIN]))[0])
-            bucket = mix(mv + mw % np.where(rv >= 0, t.deal[rv], np.uint64(1))) % np.uint64(buckets)
+            hashes, first = _tokens(batch)
+            w, mw = t.rank(hashes), mix(hashes)  # words by rank, or as -1 - index into the slice's rarer ones
+            rarer, at = np.unique(hashes[w < 0], return_inverse=True)
+            w[w < 0] = -1 - at
+            del hashes, at
+            v, mv = _shifted(w, first, begin), _shifted(mw, first, mix(np.array([BEGIN]))[0])
+            u = _shifted(v, first, begin)
+            bucket = mix(mv + mw % np.where(v >= 0, t.deal[np.maximum(v, 0)], np.uint64(1))) % np.uint64(buckets)
             order = _by_bigram(bucket, mv, mw, buckets)
             del mw, mv
-            v = _shifted(w, first, BEGIN)
-            u, ru = _shifted(v, first, BEGIN), _shifted(rv, first, begin)
             doc = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(first))
-            u, v, w, ru, rv, rw, doc, bucket = (x[order] for x in (u, v, w, ru, rv, rw, doc, bucket))
-            new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])]))
+            u, v, w, doc, bucket = (x[order] for x in (u, v, w, doc, bucket))
+            new = _starts(w, v, u, doc)
             n = np.minimum(np.diff(new, append=len(w)), 2**31 - 1).astype(np.int32)
-            u, v, w, ru, rv, rw, doc, bucket = (x[new] for x in (u, v, w, ru, rv, rw, doc, bucket))
+            u, v, w, doc, bucket = (x[new] for x in (u, v, w, doc, bucket))
             ids, train = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "train"))
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             names, blobs = [], []
             for b in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[b], cut[b + 1])
-                code, rare = _coded(np.concatenate([u[s], v[s], w[s]]), np.concatenate([ru[s], rv[s], rw[s]]))
+                code = np.concatenate([u[s], v[s], w[s]])
+                used, at = np.unique(-1 - code[code < 0], return_inverse=True)
+                code[code < 0] = -1 - at
                 low = ids[doc[s]].min()
                 names.append(b)
-                blobs.append(_packed(*np.split(code, 3), rare, ids[doc[s]] - low, np.array([low]), n[s], train[doc[s]].astype(np.uint8)))
+                blobs.append(_packed(*np.split(code, 3), np.diff(rarer[used], prepend=np.uint64(0)), ids[doc[s]] - low, np.array([low]), n[s], train[doc[s]].astype(np.uint8)))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int32)), pa.array(blobs, pa.binary())], ["bucket", "payload"])
 
     return rows
@@ -186,15 +198,6 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
     return by
 
 
-def _starts(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = False
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
 def _by_count(group: np.ndarray, c: np.ndarray, groups: int) -> list[np.ndarray]:
     """How many of each group's counts are 1, .. K, and more."""
     return list(np.bincount(group * (K + 2) + np.minimum(c, K + 1), minlength=groups * (K + 2)).reshape(groups, K + 2)[:, 1:].T)
@@ -212,19 +215,22 @@ def _met(table, buckets: int):
         while by:
             bucket, blobs = by.popitem()
             parts = [_unpacked(b) for b in blobs]
-            rare = np.unique(np.concatenate([p[3] for p in parts]))
+            own = [np.cumsum(p[3], dtype=np.uint64) for p in parts]
+            rare = np.unique(np.concatenate(own))
             names = np.concatenate([t.w, rare])
-            local = [np.append(np.searchsorted(rare, p[3]) + len(t.w), 0) for p in parts]
+            local = [np.append(np.searchsorted(rare, x) + len(t.w), 0).astype(np.int32) for x in own]
             u, v, w = (np.concatenate([np.where(p[i] >= 0, p[i], at[-1 - np.minimum(p[i], -1)]) for p, at in zip(parts, local)]) for i in range(3))
             doc = np.concatenate([p[4] + p[5][0] for p in parts])
             n, train = (np.concatenate([p[i] for p in parts]) for i in (6, 7))
-            del parts, blobs, local
+            del parts, blobs, own, local
             bits = len(names).bit_length()
-            order = np.argsort((v << 2 * bits) | (w << bits) | u) if 3 * bits < 64 else np.lexsort((u, w, v))
+            order = np.argsort((v.astype(np.int64) << 2 * bits) | (w.astype(np.int64) << bits) | u) if 3 * bits < 64 else np.lexsort((u, w, v))
             u, v, w, doc, n, train = (x[order] for x in (u, v, w, doc, n, train))
+            del order
             learnt = n.astype(np.int64) * train
             tri, pair, word = _starts(v, w, u), _starts(v, w), _starts(v)
             c3, c2, cv = (np.add.reduceat(learnt, x) for x in (tri, pair, word))
+            del learnt, train
             middle = v[word]
             cv = np.where(middle < len(t.w), np.append(t.c, 0)[np.minimum(middle, len(t.w))], cv)
             size = lambda x: np.diff(x, append=len(v))
@@ -239,6 +245,7 @@ def _met(table, buckets: int):
             for b in np.flatnonzero(np.diff(cut)):
                 i = back[cut[b] : cut[b + 1]]
                 out.append((int(b), 0, _packed(np.diff(doc[i], prepend=doc[i[:1]]), doc[i[:1]], each3[i], each2[i], ended[i], known[i], n[i])))
+            del to, back, known, ended, i
             # histories of one word, where a bigram is unseen or other buckets may have one
             dealt = (middle < len(t.w)) & (np.append(t.deal, 1)[np.minimum(middle, len(t.w))] > 1)
             in_word = np.searchsorted(word, pair, "right") - 1
@@ -253,7 +260,7 @@ def _met(table, buckets: int):
             bare = each2 == 0
             out.append((bucket, 4, _packed(names[v[bare]].view(np.int64), names[w[bare]].view(np.int64), doc[bare], n[bare])))
             # histories of two words, in the same way
-            history = (v << bits) | u if 2 * bits < 64 else (mix(names[u] + mix(names[v])) >> np.uint64(1)).astype(np.int64)
+            history = (v.astype(np.int64) << bits) | u if 2 * bits < 64 else (mix(names[u] + mix(names[v])) >> np.uint64(1)).astype(np.int64)
             in_pair, over = np.searchsorted(pair, tri, "right") - 1, dealt[np.searchsorted(word, tri, "right") - 1]
             asked = np.unique(history[tri][c3 == 0])
             keep = over | (asked[np.minimum(np.searchsorted(asked, history[tri]), len(asked) - 1)] == history[tri]) if len(asked) else over
@@ -274,18 +281,13 @@ def _met(table, buckets: int):
 
 
 def _returned(begins: int, unit: float):
-    """(kind, payload): for each bucket of documents (kind 0) their tokens, known tokens, base scores, the logarithms that no
-    discount enters, and how many of their seen trigrams, and seen bigrams of unseen trigrams, have count r; other kinds pass."""
+    """For each document its tokens, known tokens, base score, the logarithms that no discount enters, and how many of its seen
+    trigrams, and seen bigrams of unseen trigrams, have count r."""
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[bytes]] = {}
-        for batch in batches:
-            keep: list[tuple[int, bytes]] = []
-            for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "payload"))):
-                by.setdefault(bucket, []).append(blob) if kind == 0 else keep.append((kind, blob))
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int32()), pa.array([b for _, b in keep], pa.binary())], ["kind", "payload"])
+        by = _by_bucket(batches)
+        names = ["doc", *PARTS, *_named("t", K), *_named("b", K)]
         log = lambda x: np.log10(np.maximum(x, 1e-9))
         while by:
             parts = [_unpacked(b) for b in by.popitem()[1]]
@@ -301,7 +303,7 @@ def _returned(begins: int, unit: float):
             rest += np.where(lower & (c2 > K), log(c2 - TOUCH), 0.0) - np.where(lower, log(cv - 1), 0.0)
             rest -= np.where(word, 0.0, math.log10(max(begins, 1)))  # the history of a first token
             hist = [sums(c3 == r) for r in range(1, K + 1)] + [sums(lower & (c2 == r)) for r in range(1, K + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([_packed(ids, sums(1), sums(known), sums(base), sums(rest), *hist)], pa.binary())], ["kind", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, sums(1), sums(known), sums(base), sums(rest), *hist)], names)
 
     return rows
 
@@ -359,31 +361,31 @@ def scores(docs: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataF
     frequent = [(r["w"], r["c"]) for r in counts.where(F.col("c") >= least).collect()]  # `hot` rows at most
     table = spark.sparkContext.broadcast(Table(frequent, begins, total + begins, p1, buckets))
     unit = math.log10(total + 0.1 * (vocabulary + 1))
+    release(spark)
     met = plain.mapInArrow(_trigrams(table, buckets), "bucket int, payload binary").repartition(buckets, "bucket").mapInArrow(_met(table, buckets), "bucket int, kind int, payload binary")
-    met = stored(met.repartition(buckets, "bucket").mapInArrow(_returned(begins, unit), "kind int, payload binary"))
+    met = stored(met)
     release(spark)
     numbers = np.zeros((2, K + 3), np.int64)
     for r in met.where("kind = 1").select("payload").toLocalIterator():  # a few numbers for each bucket
         numbers += np.array(_unpacked(bytes(r["payload"])))
     lost3, lost2 = (losses(x[1 : K + 2].tolist()) for x in numbers)
-    named = lambda letter, most=K + 1: [f"{letter}{r}" for r in range(1, most + 1)]
-    weighed = lambda letter, lost: sum(F.col(x) * v for x, v in zip(named(letter), lost))
+    weighed = lambda letter, lost: sum(F.col(x) * v for x, v in zip(_named(letter), lost))
     longs = lambda names: ", ".join(f"{x} long" for x in names)
     # alpha(v), of words after which a held-out text has an unseen one
     chance = F.when(F.col("c").isNull(), unknown).otherwise((F.col("c") - F.element_at(F.array(*map(F.lit, lost1)), F.least(F.col("c"), F.lit(K + 1)).cast("int"))) / max(total, 1))
-    one = _rows(met, 2, f"h long, {longs(named('n'))}, mass double, after long").groupBy("h").agg(*[F.sum(x).alias(x) for x in named("n")], F.sum("mass").alias("mass"), F.max("after").alias("after"))
+    one = _rows(met, 2, f"h long, {longs(_named('n'))}, mass double, after long").groupBy("h").agg(*[F.sum(x).alias(x) for x in _named("n")], F.sum("mass").alias("mass"), F.max("after").alias("after"))
     seen = _rows(met, 3, "h long, w long").join(counts, "w").groupBy("h").agg(F.sum(chance).alias("rare_mass"))
     free = F.lit(1.0) - F.col("mass") - F.coalesce("rare_mass", F.lit(0.0))
     one = one.where("after > 0").join(seen, "h", "left").select("h", F.log10(weighed("n", lost2) / F.col("after") / F.greatest(free, F.lit(1e-12))).alias("backoff"))
     bare = _rows(met, 4, "h long, w long, doc long, n int").join(one, "h", "left").join(counts, "w", "left").groupBy("doc").agg(F.sum(F.col("n") * (F.coalesce("backoff", F.lit(0.0)) + F.log10(chance))).alias("score"))
     # alpha(u v) c(u v): the documents have - log10 c(u v) already
-    two = _rows(met, 5, f"h long, {longs(named('n') + named('m'))}, covered long, after long").groupBy("h").agg(*[F.sum(x).alias(x) for x in [*named("n"), *named("m"), "covered"]], F.max("after").alias("after"))
+    two = _rows(met, 5, f"h long, {longs(_named('n') + _named('m'))}, covered long, after long").groupBy("h").agg(*[F.sum(x).alias(x) for x in [*_named("n"), *_named("m"), "covered"]], F.max("after").alias("after"))
     two = two.select("h", F.log10(weighed("n", lost3) / ((F.col("after") - F.col("covered") + weighed("m", lost2)) / F.col("after"))).alias("backoff"))
     new = _rows(met, 6, "h long, doc long, n int").join(two, "h").groupBy("doc").agg(F.sum(F.col("n") * F.col("backoff")).alias("score"))
-    parts = ("tokens", "known", "base", "rest")
-    back = _rows(met, 0, "doc long, " + ", ".join(f"{x} double" for x in [*parts, *named("t", K), *named("b", K)]))
-    logs = lambda letter, lost: sum(F.col(x) * math.log10(r - lost[r - 1]) for r, x in enumerate(named(letter, K), 1))
-    back = back.select("doc", *parts[:3], (F.col("rest") + logs("t", lost3) + logs("b", lost2)).alias("score"))
-    sums = back.unionByName(bare, allowMissingColumns=True).unionByName(new, allowMissingColumns=True).groupBy("doc").agg(*[F.sum(c).alias(c) for c in (*parts[:3], "score")])
+    back = met.where("kind = 0").select("bucket", "payload").repartition(buckets, "bucket")
+    back = back.mapInArrow(_returned(begins, unit), "doc long, " + ", ".join(f"{x} double" for x in [*PARTS, *_named("t", K), *_named("b", K)]))
+    logs = lambda letter, lost: sum(F.col(x) * math.log10(r - lost[r - 1]) for r, x in enumerate(_named(letter, K), 1))
+    back = back.select("doc", *PARTS[:3], (F.col("rest") + logs("t", lost3) + logs("b", lost2)).alias("score"))
+    sums = back.unionByName(bare, allowMissingColumns=True).unionByName(new, allowMissingColumns=True).groupBy("doc").agg(*[F.sum(c).alias(c) for c in (*PARTS[:3], "score")])
     heads = docs.select("doc", "doc_id", (~F.col("train")).alias("held_out"))
     return heads.join(sums, "doc").select("doc_id", "held_out", F.col("tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
