@@ -652,10 +652,10 @@ def _katz_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [katz.HOT, 20])
-def test_katz(docs, hot):
+@pytest.mark.parametrize("hot, buckets", [(katz.HOT, None), (20, 64), (1, 1)])
+def test_katz(docs, hot, buckets):
     want = {r[0]: r for r in _katz_brute(ROWS)}
-    got = {r.doc_id: tuple(r) for r in katz.scores(docs, hot=hot).collect()}
+    got = {r.doc_id: tuple(r) for r in katz.scores(docs, buckets, hot).collect()}
     assert got.keys() == want.keys()
     for d, w in want.items():
         assert got[d][:5] == w[:5] and got[d][5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
