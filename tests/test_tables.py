@@ -1,6 +1,7 @@
 """FASTA, Huffman, statistics, jobs and streams over small tables."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +230,22 @@ def test_sequences_beyond_ascii(spark):
     df = spark.createDataFrame([(1, "GGGGééééA"), (2, ""), (3, None), (4, "éAAAA")], "id long, dna string")
     assert sorted(tuple(r) for r in statistics.homopolymer_regions(df, "id").collect()) == [(1, 0, 3, "G"), (1, 4, 7, "É"), (4, 1, 4, "A")]
     assert sorted(tuple(r) for r in statistics.sliding_gc(df, "id", window=5, step=4).collect()) == [(1, 0, 1.0), (1, 4, 0.0), (4, 0, 0.0)]
+
+
+@pytest.mark.parametrize("method", jobs.METHODS)
+@pytest.mark.parametrize("fec", jobs.CODES)
+def test_a_batch_is_coded_in_parts(method, fec):
+    """One step of each way codes a batch of any size, in parts of bounded size, by rows that have several kinds of nulls."""
+    import pyarrow as pa
+
+    from helixframe.functions import flat
+
+    rng = random.Random(5)
+    payloads = [None, b"", *[rng.randbytes(rng.randrange(1, 900)) for _ in range(60)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(payloads))), pa.array(payloads, pa.binary())], ["id", "content"])
+    parts = list(flat.sliced(batch, "content", 4000))
+    assert len(parts) > 5 and all(p.num_rows == 1 or sum(len(c or b"") for c in p.column("content").to_pylist()) <= 4000 for p in parts)
+    assert [c for p in parts for c in p.column("content").to_pylist()] == payloads
+    coded = [x for p in parts for x in jobs.coded(p.column("content"), method, fec, True)[0].to_pylist()]
+    whole = jobs.coded(batch.column("content"), method, fec, True)[0].to_pylist()
+    assert coded == whole and whole[0] is None
