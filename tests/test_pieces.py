@@ -125,3 +125,14 @@ def test_pieces_of_codes_of_a_bad_length(spark):
     assert {(r.id, r.error, r.content) for r in got} == {(1, "bits are not a multiple of 7", None), (2, "no padding is given", None)}
     bad = pieces.repeat_decode(spark.createDataFrame([(1, 0, "AA"), (1, 1, "ATT")], "id long, piece int, dna string"), "id").collect()
     assert {(r.error, r.dna) for r in bad} == {("length is not a multiple of 3", None)}
+
+
+def test_runs_over_many_pieces_of_a_long_sequence(spark):
+    """Borders of all pieces are found in one pass: substrings from the start of the text took quadratic time."""
+    whole = "ATTTTTCG" * 120_000 + "é" + "G" * 9
+    df = spark.createDataFrame([(1, whole), (2, ""), (3, None)], "id long, dna string")
+    parts = pieces.cut(df, "id", "dna", 1000)
+    got = sorted((r.id, r.piece, r.dna) for r in parts.collect())
+    assert [d for i, _, d in got if i == 1] == [whole[a : a + 1000] for a in range(0, len(whole), 1000)]
+    assert [(i, p, d) for i, p, d in got if i != 1] == [(2, 0, "")]
+    assert pieces.homopolymer_regions(parts, "id", min_len=5).count() == 120_001
