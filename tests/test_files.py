@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.plans import jobs
+from helixframe.plans import jobs, queries
 from helixframe.sources import fasta, named
 
 
@@ -141,3 +141,20 @@ def test_audit_of_repeated_ids(spark):
     frame = lambda rows: spark.createDataFrame([(i, bytearray(c) if c is not None else None) for i, c in rows], "id long, content binary")
     got = {(r.id, r.status): r.n for r in jobs.audit(frame(a), frame(b)).groupBy("id", "status").agg(F.count("*").alias("n")).collect()}
     assert got == {(1, "same"): 2400, (1, "differs"): 1, (1, "lost"): 100, (2, "differs"): 1, (3, "same"): 1, (3, "lost"): 1, (None, "same"): 1, (None, "lost"): 1, (4, "same"): 1, (5, "extra"): 1}
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """A folder of many files is listed once, not by a task for each, and a task reads more than 32 of them."""
+    docs = spark.createDataFrame([(i, f"text {i}", "de" if i % 2 else "en") for i in range(400)], "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    context = spark.sparkContext
+    context.setJobGroup("small files", "")
+    try:
+        found = queries.s3_several_folders(spark, str(tmp_path))
+        parts = found.rdd.getNumPartitions()
+        assert found.count() == 400
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("small files") for s in tracker.getJobInfo(j).stageIds]
+    assert parts <= 8 and sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) < 200
