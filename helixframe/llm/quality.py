@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from .recovery import stored
-from .text import hash_spans, utf8, word_bounds
+from .text import SMALL, give_back, hash_spans, utf8, word_bounds
 
 #: Scores from which on a text is kept.
 THRESHOLD = 0.3
 BINS, LOW, HIGH = 1024, -0.5, 1.5
 FIXED = 1 << 16  # z in 1/65536: products below 2^33, so sums of 2^30 rows stay whole
-#: Most bytes of text whose statistics are computed at once.
-BLOCK = 4 << 20
+#: Bytes of text whose statistics are computed at once; they take some 60 times as much memory.
+BLOCK = SMALL
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t", "line": b"\n\r",
@@ -68,7 +68,7 @@ def _block(column: pa.Array) -> np.ndarray:
     line_ends = np.flatnonzero(data == 10)
     cut = np.unique(np.concatenate([offsets[:-1][size > 0], line_ends + 1]))
     cut = cut[cut < len(data)]
-    word_sum = np.concatenate([[0], np.cumsum(hashes)]).astype(np.uint64)
+    word_sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes)])  # whole numbers, or sums would depend on the batch
     at = np.searchsorted(starts, np.append(cut, len(data)))
     lines = word_sum[at[1:]] - word_sum[at[:-1]]
     line_first = np.searchsorted(cut, offsets)
@@ -81,6 +81,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     data_size = max(1, column.nbytes)
     step = max(1, len(column) * BLOCK // data_size)
     parts = [_block(column.slice(i, step)) for i in range(0, len(column), step)]
+    give_back()  # a function of columns is not told where its partition ends
     return np.concatenate(parts) if parts else np.zeros((0, STATISTICS))
 
 

@@ -684,3 +684,40 @@ def test_katz_of_odd_tables(spark, empty, clashing):
 def test_discounts():
     assert all(0 < d <= 1 for d in katz.discounts([100, 40, 25, 18, 13, 10]))
     assert all(0 < d < 1 for d in katz.discounts([0, 0, 0, 0, 0, 0]) + katz.discounts([1, 50, 0, 0, 0, 0]))
+
+
+def test_quality_statistics_do_not_depend_on_batches():
+    rng = random.Random(5)
+    texts = ["\n".join(rng.choice(["one line", "a line of more words", "read on"]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    whole = quality.statistics(pa.array(texts))
+    block, quality.BLOCK = quality.BLOCK, 400
+    try:
+        parts = quality.statistics(pa.array(texts))
+    finally:
+        quality.BLOCK = block
+    again = [len(t.split("\n")) - len(set(t.split("\n"))) for t in texts]
+    assert np.array_equal(whole, parts) and np.allclose(whole[:, -2], [n / len(t.split("\n")) for n, t in zip(again, texts)])
+
+
+def test_few_edits_never_promises_too_much():
+    rng = random.Random(7)
+    words = ["a", "bb", "ccc", *[f"w{i}" for i in range(12)]]
+    sure = 0
+    for _ in range(2000):
+        a = [rng.choice(words) for _ in range(rng.randint(1, 10))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.choice(["x", "yy", "bb", "bbb"])] if rng.random() < 0.6 or len(b) == 1 else []
+        if line_dedup.few_edits(a, b, most := rng.randint(0, 8)):
+            sure += 1
+            assert line_dedup.edit_distance(" ".join(a), " ".join(b)) <= most
+    text = [f"{rng.choice(words)}{i}" for i in range(400)]
+    more = [w for i, w in enumerate(text) if i % 40] + ["an end"]
+    calls, whole = [], line_dedup.edit_distance
+    line_dedup.edit_distance = lambda x, y: calls.append(len(x)) or whole(x, y)
+    try:
+        assert line_dedup.similar(" ".join(text), " ".join(more), 0.9)
+    finally:
+        line_dedup.edit_distance = whole
+    assert sure > 500 and sum(calls) < 200  # before, all of the two texts went through the table
