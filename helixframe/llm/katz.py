@@ -24,7 +24,6 @@ have count r, for unseen ones, which only held-out texts have, through joins wit
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import fold
-from .recovery import release, stored
+from .recovery import freed, release, stored
 from .text import hash_words, lean, mix, slices
 
 K, HOT, TOUCH = 5, 1 << 16, 0.1
@@ -117,13 +116,23 @@ class Table:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    planes = [(a.dtype.str, np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T)) for a in arrays]
-    raw = pickle.dumps(planes, 5)
+    """Arrays as one compressed value: for each its type and length, then its bytes by significance."""
+    parts = [bytes([len(arrays)])]
+    for a in arrays:
+        parts += [a.dtype.str.encode(), len(a).to_bytes(4, "little"), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
+    raw = b"".join(parts)
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def _unpacked(blob: bytes) -> list[np.ndarray]:
-    return [np.ascontiguousarray(p.T).view(kind).ravel() if p.size else np.zeros(0, kind) for kind, p in pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))]
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    out, at = [], 1
+    for _ in range(raw[0]):
+        kind, n = np.dtype(raw[at : at + 3].decode()), int.from_bytes(raw[at + 3 : at + 7], "little")
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at + 7).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel() if n else np.zeros(0, kind))
+        at += 7 + n * kind.itemsize
+    return out
 
 
 def _by_bigram(bucket: np.ndarray, h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
@@ -238,14 +247,21 @@ def _met(table, buckets: int):
             out = [(bucket, 1, _packed(*(np.bincount(np.minimum(c, K + 2), minlength=K + 3) for c in (c3, c2))))]
             # to documents: counts of the trigram, of its last two words and, plus 1 or at the begin 0, of the middle one
             known = np.where(np.repeat(names[middle] == BEGIN, size(word)), 0, eachv + 1)
-            to = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            back = np.lexsort((doc, to))
-            cut = np.searchsorted(to[back], np.arange(buckets + 1))
+            # (in the trigrams' order, in which counts repeat; documents by their place in a list of each payload)
+            ids, whose = np.unique(doc, return_inverse=True)
+            to = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            listed = np.argsort(to, kind="stable")
+            heads = np.searchsorted(to[listed], np.arange(buckets + 1))
+            place = np.empty(len(ids), np.int32)
+            place[listed] = np.arange(len(ids)) - heads[to[listed]]
+            goes = to[whose]
+            back = np.argsort(goes.astype(np.uint16) if buckets <= 1 << 16 else goes, kind="stable")
+            cut = np.searchsorted(goes[back], np.arange(buckets + 1))
             ended = np.repeat(names[w[pair]] == END, size(pair)).astype(np.uint8)
             for b in np.flatnonzero(np.diff(cut)):
-                i = back[cut[b] : cut[b + 1]]
-                out.append((int(b), 0, _packed(np.diff(doc[i], prepend=doc[i[:1]]), doc[i[:1]], each3[i], each2[i], ended[i], known[i], n[i])))
-            del to, back, known, ended, i
+                i, some = back[cut[b] : cut[b + 1]], ids[listed[heads[b] : heads[b + 1]]]
+                out.append((int(b), 0, _packed(np.diff(some, prepend=some[:1]), some[:1], place[whose[i]], each3[i], each2[i], ended[i], known[i], n[i])))
+            del ids, whose, to, listed, heads, place, goes, back, known, ended, i, some
             # histories of one word, where a bigram is unseen or other buckets may have one
             dealt = (middle < len(t.w)) & (np.append(t.deal, 1)[np.minimum(middle, len(t.w))] > 1)
             in_word = np.searchsorted(word, pair, "right") - 1
@@ -292,7 +308,9 @@ def _returned(begins: int, unit: float):
         while by:
             parts = [_unpacked(b) for b in by.popitem()[1]]
             ids, at = np.unique(np.concatenate([np.cumsum(p[0]) + p[1][0] for p in parts]), return_inverse=True)
-            c3, c2, ended, cv, n = (np.concatenate([p[i] for p in parts]) for i in range(2, 7))
+            lists = np.cumsum([0, *(len(p[0]) for p in parts)])
+            at = np.concatenate([at[k + p[2]] for k, p in zip(lists, parts)])
+            c3, c2, ended, cv, n = (np.concatenate([p[i] for p in parts]) for i in range(3, 8))
             del parts
             sums = lambda x: np.bincount(at, n * x, len(ids))
             end, word = ended == 1, cv > 0
@@ -362,8 +380,9 @@ def scores(docs: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataF
     table = spark.sparkContext.broadcast(Table(frequent, begins, total + begins, p1, buckets))
     unit = math.log10(total + 0.1 * (vocabulary + 1))
     release(spark)
-    met = plain.mapInArrow(_trigrams(table, buckets), "bucket int, payload binary").repartition(buckets, "bucket").mapInArrow(_met(table, buckets), "bucket int, kind int, payload binary")
-    met = stored(met)
+    with freed(spark):  # the exchanged trigrams are the most that is on disk at once
+        met = plain.mapInArrow(_trigrams(table, buckets), "bucket int, payload binary").repartition(buckets, "bucket").mapInArrow(_met(table, buckets), "bucket int, kind int, payload binary")
+        met = stored(met)
     release(spark)
     numbers = np.zeros((2, K + 3), np.int64)
     for r in met.where("kind = 1").select("payload").toLocalIterator():  # a few numbers for each bucket

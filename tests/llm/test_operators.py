@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe, components, decontam, fingerprint, katz, line_dedup, minhash, pii, quality, suffix_dedup, warc
+from helixframe.llm import bpe, components, decontam, fingerprint, katz, line_dedup, minhash, pii, quality, recovery, suffix_dedup, warc
 from helixframe.llm.queries import vocabulary_path
 from helixframe.llm.text import hash_words, shingles, slices
 
@@ -681,6 +682,26 @@ def test_katz_of_odd_tables(spark, empty, clashing):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
+def test_what_travels_is_small_and_comes_back_whole():
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(-9, 2**40, 50), np.zeros(0, np.int64), rng.integers(0, 99, 7).astype(np.int32), np.array([2**64 - 1], np.uint64), np.ones(3, np.uint8)]
+    for a, b in zip(arrays, katz._unpacked(katz._packed(*arrays)), strict=True):
+        assert a.dtype == b.dtype and np.array_equal(a, b)
+    assert len(katz._packed(*[np.zeros(0, np.int64)] * 8)) < 60
+
+
+def test_stored_tables_leave_no_exchanged_rows_behind(spark):
+    ids = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if b.isShuffle()}
+    before, setting = ids(), spark.conf.get(recovery.CLEANUP, None)
+    with recovery.freed(spark):
+        rows = spark.range(1000).repartition(3, "id").where("id >= 0")
+        kept = recovery.stored(rows)
+    end = time.time() + 20
+    while ids() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not ids() - before and kept.count() == 1000 and spark.conf.get(recovery.CLEANUP, None) == setting
+
+
 def test_discounts():
     assert all(0 < d <= 1 for d in katz.discounts([100, 40, 25, 18, 13, 10]))
     assert all(0 < d < 1 for d in katz.discounts([0, 0, 0, 0, 0, 0]) + katz.discounts([1, 50, 0, 0, 0, 0]))
