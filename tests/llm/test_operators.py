@@ -742,3 +742,39 @@ def test_few_edits_never_promises_too_much():
     finally:
         line_dedup.edit_distance = whole
     assert sure > 500 and sum(calls) < 200  # before, all of the two texts went through the table
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 12, 63, 64, 65, 130])
+def test_edit_distances_of_many_pairs_are_those_of_each(most):
+    rng = random.Random(most)
+    xs, ys = [], []
+    while len(xs) < 60:
+        letters = rng.choice(["ab", "abcdefgh ", "a\u00e9\u65e5\U0001f642"])
+        x = [rng.choice(letters) for _ in range(rng.choice([1, 5, 63, 64, 65, 128, 300]))]
+        y = list(x)
+        for _ in range(rng.randint(0, most * 3 // 2 + 1)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        x, y = sorted(("".join(x), "".join(y)), key=len, reverse=True)
+        if len(x) - len(y) <= most:
+            xs.append(x)
+            ys.append(y)
+    for x, y, got in zip(xs, ys, line_dedup.edit_distances(xs, ys, most), strict=True):
+        true = line_dedup.edit_distance(x, y)
+        assert got == true if true <= most else got > most
+
+
+def test_unlike_lines_share_one_table_of_edits():
+    rng = random.Random(9)
+    base = [_prose(rng, rng.randint(60, 80)).split(" ") for _ in range(60)]
+    xs = [" ".join(b) for b in base]
+    ys = [" ".join(rng.choice(WORDS) if rng.random() < share else w for w in b) for b, share in zip(base, [0.05, 0.1, 0.15, 0.3] * 15)]
+    want = [line_dedup.similar(x, y, 0.9) for x, y in zip(xs, ys)]
+    calls, whole = [], line_dedup.edit_distance
+    line_dedup.edit_distance = lambda x, y: calls.append(len(x)) or whole(x, y)
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array(xs), pa.array(ys)], ["u", "v", "fu", "fv"])
+        got = [u for b in line_dedup._similar(0.9)(iter([batch])) for u in b.column("u").to_pylist()]
+    finally:
+        line_dedup.edit_distance = whole
+    assert 0 < sum(want) < 60 and got == [i for i, w in enumerate(want) if w] and not calls
