@@ -778,3 +778,50 @@ def test_unlike_lines_share_one_table_of_edits():
     finally:
         line_dedup.edit_distance = whole
     assert 0 < sum(want) < 60 and got == [i for i, w in enumerate(want) if w] and not calls
+
+
+@pytest.mark.parametrize("n", [64, 65, 4096, 4097, 600_000])
+def test_a_word_has_its_hash_beside_very_long_ones_too(n):
+    """Before, a word of more than 4,096 bytes changed the hashes of those around it."""
+    got, first = hash_words(pa.array(["Foo bar " + "y" * n + " foo", "x" * n, "y" * n]))
+    assert first.tolist() == [0, 4, 5, 6] and got[0] == got[3] == hash_words(pa.array(["foo"]))[0][0]
+    assert got[1] == hash_words(pa.array(["bar"]))[0][0] and got[2] == got[5] != got[4]
+
+
+def test_few_edits_finds_a_passage_put_into_a_text_whose_words_come_again():
+    rng = random.Random(14)
+    one = [rng.choice(WORDS) for _ in range(3000)]
+    two = one[:1000] + [rng.choice(WORDS) for _ in range(100)] + one[1000:1400] + ["other"] + one[1402:]
+    x, y = " ".join(one), " ".join(two)
+    calls, whole = [], line_dedup.edit_distance
+    line_dedup.edit_distance = lambda a, b: calls.append(len(a)) or whole(a, b)
+    try:
+        assert line_dedup.similar_pairs([x, y], [y, x], 0.9).tolist() == [True, True]
+    finally:
+        line_dedup.edit_distance = whole
+    assert sum(calls) < 2000  # before, the two texts went through the table whole
+
+
+def test_nodes_are_dealt_by_parts_with_all_their_keys(spark):
+    """Texts are read once, and what goes to a part goes in few rows: before, each key was a row."""
+    rng = random.Random(15)
+    texts = ["\n".join(_prose(rng, rng.randint(1, 30)) for _ in range(40)) for _ in range(5)]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, digest long, text string").coalesce(1)
+    lines = line_dedup.lines_of(docs)
+    tables = lines.where("table is not null").select("table")
+    nodes = np.concatenate([np.frombuffer(r.table, line_dedup._NODE) for r in tables.collect()])
+    assert set(nodes["id"].tolist()) == {r.node for r in lines.select("node").collect()} and nodes["n"].min() >= 1
+    rows = tables.mapInArrow(line_dedup._dealt(8), "part int, rows binary").collect()
+    dealt = np.concatenate([np.frombuffer(r.rows, line_dedup._ROW) for r in rows])
+    assert len(rows) <= 8 and all({int(k) % 2**64 % 8 for k in np.frombuffer(r.rows, line_dedup._ROW)["key"]} == {r.part} for r in rows)
+    want = {(int(k), int(r["id"]), int(r["sim"]), int(r["turns"]), int(r["size"])) for r in nodes for k in r["keys"][: r["n"]]}
+    assert {tuple(r) for r in dealt.tolist()} == want and len(dealt) == nodes["n"].sum()
+
+
+def test_forms_are_normal_forms(spark):
+    texts = ["A  b-C\n\n..É, d\t(X)  z\nlast", "日本  (Go!)"]
+    asked = [[{"line_no": 2, "node": 7}, {"line_no": 0, "node": 8}], [{"line_no": 0, "node": 9}]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(asked, pa.list_(pa.struct([("line_no", pa.int32()), ("node", pa.int64())])))], ["text", "wanted"])
+    (got,) = line_dedup._forms(iter([batch]))
+    assert got.column("node").to_pylist() == [7, 8, 9]
+    assert got.column("form").to_pylist() == [line_dedup.normal_form(x) for x in (texts[0].split("\n")[2], texts[0].split("\n")[0], texts[1])]
