@@ -136,3 +136,25 @@ def test_runs_over_many_pieces_of_a_long_sequence(spark):
     assert [d for i, _, d in got if i == 1] == [whole[a : a + 1000] for a in range(0, len(whole), 1000)]
     assert [(i, p, d) for i, p, d in got if i != 1] == [(2, 0, "")]
     assert pieces.homopolymer_regions(parts, "id", min_len=5).count() == 120_001
+
+
+def test_hamming_codes_in_pieces_are_made_twice_and_shuffled_once(spark):
+    """One pass for lengths and heads, one for the codes; before, six passes made the pieces, and several joins moved them."""
+    rng = random.Random(21)
+    payloads = [(i, bytearray(rng.randrange(256) for _ in range(rng.randint(0, 90)))) for i in range(40)] + [(None, bytearray(b"xyz"))]
+    coded = spark.createDataFrame(payloads, "id long, content binary").select("id", hamming.encode(F.col("content")).alias("h")).select("id", "h.*").cache()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    cut = pieces.cut(coded, "id", "encoded", 5).localCheckpoint()
+    parts = cut.mapInArrow(counted, cut.schema)
+    got = {}
+    for r in sorted(pieces.hamming_decode(parts, coded, "id").collect(), key=lambda r: r["at"]):
+        assert r.error is None
+        got[r.id] = got.get(r.id, b"") + bytes(r.content)
+    assert got == {i: bytes(c) for i, c in payloads if c}
+    assert seen.value == 2 * cut.count()
