@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.plans import jobs, queries
-from helixframe.sources import fasta, named
+from helixframe.sources import fasta, folders, named, payloads
 
 
 @pytest.fixture
@@ -158,3 +158,30 @@ def test_many_small_files_take_few_tasks(spark, tmp_path):
     tracker = context.statusTracker()
     stages = [s for j in tracker.getJobIdsForGroup("small files") for s in tracker.getJobInfo(j).stageIds]
     assert parts <= 8 and sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s))) < 200
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """Before, Spark's sources listed every file in the driver, and kept the list as long as the DataFrame."""
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    want = {"a b.txt": b"\xff\0", "deep/c.txt": b"c" * 9_000_000, "d.gz.txt": b"d"}
+    for name, content in {**want, "none.txt": b"", "e.bin": b"e", "_f.txt": b"f", ".g.txt": b"g"}.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    top = str(tmp_path / "in")
+    got = payloads.read_files(spark, [top], "*.txt")
+    assert not any(f.endswith(".txt") for f in got.inputFiles())  # no file source of Spark's has them
+    assert {r.path: (r.length, bytes(r.content)) for r in got.collect()} == {f"file:{top}/{n}": (len(c), c) for n, c in want.items()}
+    theirs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(top)
+    assert {tuple(r) for r in got.select("path", "length").collect()} == {tuple(r) for r in theirs.select("path", "length").collect()}
+    assert folders.listed(spark, f"{top}/*.txt") is None and folders.listed(spark, f"{top}/e.bin") is None and folders.listed(spark, top, "[a]*") is None
+    many = tmp_path / "fasta"
+    many.mkdir()
+    for i in range(5):
+        (many / f"{i}.fasta").write_text(f"junk\n >n{i} \r\nAC GT\n\nA\n>second\nT\n" + (">third\n" + "ACGT\n" * 200 if i == 3 else ""))
+    small, folders.SMALL = folders.SMALL, 500
+    try:
+        assert any("/fasta-" in f for f in fasta.read(spark, str(many), first_only=True).inputFiles())  # the large one by byte ranges
+        for first in (True, False):
+            rows = lambda df: sorted((r.path.rsplit("/", 1)[-1], r.record_no, r.header, r.sequence) for r in df.collect())
+            assert rows(fasta.read(spark, str(many), first_only=first)) == rows(fasta.read(spark, f"{many}/*.fasta", first_only=first))
+    finally:
+        folders.SMALL = small
