@@ -440,6 +440,50 @@ def test_near_lines_of_8_to_50_words_are_found(spark):
     assert sum(g for g, a in zip(gone, alike) if a) >= 0.97 * sum(alike)
 
 
+def test_all_lines_that_share_a_block_are_compared(spark):
+    """Before, six blocks of a line were keys, and lines that shared others only were not compared."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    base, near = [], []
+    for _ in range(120):
+        line = [word() for _ in range(60)]
+        base.append(" ".join(line))
+        for at in range(rng.randint(0, 3), 60, 4):  # no run of four is left but one at the end
+            if at < 54:
+                line[at] = line[at][:3] + "0" + line[at][4:]
+        near.append(" ".join(line))
+    docs = spark.createDataFrame(list(enumerate(base + near)), SCHEMA)
+    keys = {}
+    for r in line_dedup.lines_of(docs.selectExpr("doc_id as doc", "0L as digest", "text").coalesce(1)).where("table is not null").collect():
+        for node in np.frombuffer(r.table, line_dedup._NODE):
+            keys.setdefault(int(node["id"]), []).append(node)
+    assert len(keys) == 240 and all(sum(int(n["n"]) for n in nodes) == 57 for nodes in keys.values())
+    by_line = {r.doc: keys[r.node] for r in line_dedup.lines_of(docs.selectExpr("doc_id as doc", "0L as digest", "text").coalesce(1)).collect()}
+    apart = lambda x, y: sum(((int(x[c]) ^ int(y[c])) & (2**64 - 1)).bit_count() for c in ("sim", "turns"))
+    want = [i for i in range(120) if apart(by_line[i][0], by_line[120 + i][0]) <= line_dedup.DISTANCE]
+    assert len(want) > 60 and all(line_dedup.similar(base[i], near[i], 0.9) for i in want)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(got[120 + i] == "" for i in want) and all(got[i] == base[i] for i in range(120))
+
+
+def test_pairs_that_a_leader_does_not_link_are_verified():
+    """All near pairs of a bucket that are not in one group: before, only those with a leader."""
+    rows = np.zeros(600, line_dedup._LABELLED)
+    rows["key"], rows["id"], rows["label"], rows["size"] = np.arange(600) // 200, np.arange(600), np.arange(600), 100
+    rows["label"][400:] = 7  # one group
+    rows["sim"][::2] = 2**62 - 1  # far from the others
+    rows["size"][:20] = 50
+    rows["size"][20:40] = 91
+    batch = pa.RecordBatch.from_arrays([pa.array([rows[i::3].tobytes() for i in range(3)], pa.binary())], ["rows"])
+    some, line_dedup.PAIRS = line_dedup.PAIRS, 500
+    try:
+        got = [p for b in line_dedup._across(40, 0.9)(iter([batch])) for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
+    finally:
+        line_dedup.PAIRS = some
+    want = {(u, v) for u in range(400) for v in range(u) if u // 200 == v // 200 and (u - v) % 2 == 0 and min(rows["size"][[u, v]]) >= 0.9 * max(rows["size"][[u, v]])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_lines_without_blanks(spark):
     rng = random.Random(12)
     long = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(40)), "".join(chr(rng.randint(0xE01, 0xE2E)) for _ in range(60)), "版权所有"]
